@@ -1,8 +1,10 @@
 """Query-log work on token arrays: templates, their tokens and frequencies, and lineage.
 
-Every SQL text is cut into tokens and each token gets a role from its neighbours and from the
-catalog of its database. Roles are computed inside the row, so a log of any size is scanned
-once and only the catalog words of each database are joined in.
+Every SQL text is cut into tokens; texts that differ only in literals share a shape. Shapes are
+made distinct first, with a map-side combine, and each token of a shape gets a role from its
+neighbours and from the catalog of its database. The log itself only meets the small table
+of shapes again, in a join that adaptive execution turns into a broadcast when it is small
+and splits where one shape is hot.
 """
 
 from __future__ import annotations
@@ -48,14 +50,51 @@ def _bare(t: Column) -> Column:
     return F.when(t.rlike(r'^(?:"|`|\[)'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
-def _classified(log: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Add ``_t``: an array of (tok, up, role) and ``parsable``.
+# What the quick way of finding literals cannot tell apart from names and comments.
+_NEEDS_TOKENS = r"[\"`\[]|--|/\*"
+_LITERAL = r"'[^']*+(?:''[^']*+)*+'|(?<![\p{L}\p{N}_$.])(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
+_STATEMENT = r"(?i)^[\s(]*+(?:SELECT|WITH|INSERT|UPDATE|DELETE|VALUES)\b"
+
+
+def _with_shapes(log: DataFrame) -> DataFrame:
+    """Add ``parsable`` and ``_shape``: the text with literals replaced and blanks evened out.
+
+    A text that is no statement, or has unbalanced quotes or parentheses, is its own shape.
+    Rows only see cheap string functions; texts with quoted names or comments are cut into tokens.
+    """
+    sql = F.coalesce("sql", F.lit(""))
+    quick = F.regexp_replace(F.regexp_replace(sql, _LITERAL, VALUE.replace("[", r"\[")), r"\s+", " ")
+    shape = F.when(sql.rlike(_NEEDS_TOKENS), F.array_join(sql_tokens(sql), " ")).otherwise(quick)
+    shaped = log.withColumn("_s", shape)
+
+    def count(mark: str) -> Column:
+        return F.length("_s") - F.length(F.replace("_s", F.lit(mark), F.lit("")))
+
+    parsable = F.col("_s").rlike(_STATEMENT) & (count("(") == count(")")) & ~F.contains("_s", F.lit("'"))
+    return shaped.withColumn("parsable", parsable).withColumn(
+        "_shape", F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))).drop("_s")
+
+
+def _distinct_shapes(shaped: DataFrame) -> DataFrame:
+    """The distinct (db_id, _shape) of statements: a log of any size has few of them."""
+    return shaped.where("parsable").select("db_id", "_shape").dropDuplicates()
+
+
+def _onto(shaped: DataFrame, found: DataFrame) -> DataFrame:
+    """Join what was worked out per shape back to the log."""
+    right = found.withColumnRenamed("db_id", "_db").withColumnRenamed("_shape", "_s")
+    same = F.col("db_id").eqNullSafe(F.col("_db")) & (F.col("_shape") == F.col("_s")) & F.col("parsable")
+    return shaped.join(right, same, "left").drop("_db", "_s")
+
+
+def _classified(shapes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Add ``_t`` to distinct shapes: an array of (tok, up, role).
 
     Roles: keyword, value, function, qualifier, table, column, alias, implicit (an alias without
     AS), cte, mark.
     """
     words = catalog.groupBy("db_id").agg(F.collect_set(F.lower("table_name")).alias("_tables"))
-    base = log.withColumn("_raw", sql_tokens(F.col("sql"))).join(words, "db_id", "left")
+    base = shapes.withColumn("_raw", sql_tokens(F.col("_shape"))).join(words, "db_id", "left")
     # Step 1: what each token is by itself, and the clause it stands in.
     kinds = F.transform("_raw", lambda t: F.struct(
         t.alias("tok"), F.upper(t).alias("up"),
@@ -96,13 +135,7 @@ def _classified(log: DataFrame, catalog: DataFrame) -> DataFrame:
             .otherwise("column"))
 
     roles = F.transform("_k", lambda x, i: F.struct(x["tok"], x["up"], role(x, i).alias("role")))
-    first = F.coalesce(F.get("_k", F.lit(0))["up"], F.lit(""))
-    opened = F.size(F.filter("_raw", lambda t: t == "("))
-    closed = F.size(F.filter("_raw", lambda t: t == ")"))
-    stray = F.exists("_raw", lambda t: t.isin("'", '"', "`"))
-    parsable = (
-        first.isin("SELECT", "WITH", "INSERT", "UPDATE", "DELETE", "VALUES", "(") & (opened == closed) & ~stray)
-    return base.withColumn("_t", roles).withColumn("parsable", parsable).drop("_raw", "_k", "_c", "_tables")
+    return base.withColumn("_t", roles).drop("_raw", "_k", "_c", "_tables")
 
 
 def _skeleton() -> Column:
@@ -135,21 +168,24 @@ def sql_skeletons(log: DataFrame, catalog: DataFrame) -> DataFrame:
     Aliases, qualifiers, function names and keywords stay. A text that is no statement or has
     unbalanced quotes or parentheses keeps its own text and has ``parsable`` false.
     """
-    roles = _classified(log, catalog)
-    return roles.withColumn("skeleton", F.when(F.col("parsable"), _skeleton()).otherwise(F.col("sql"))).drop("_t")
+    shaped = _with_shapes(log)
+    found = _classified(_distinct_shapes(shaped), catalog).select("db_id", "_shape", _skeleton().alias("skeleton"))
+    return _onto(shaped, found).withColumn("skeleton", F.coalesce("skeleton", "sql")).drop("_shape")
 
 
 def template_counts(log: DataFrame, catalog: DataFrame, weight: str | None = None) -> DataFrame:
     """(db_id, skeleton, n, sample_sql): how often each template occurs in each database.
 
     Texts that only differ in literals are merged by a first aggregation, which combines on the
-    map side, so roles are worked out once per distinct literal-free text. ``weight`` names a
-    column with the number of occurrences of a row.
+    map side; roles are worked out once per shape. ``weight`` names a column with the number of
+    occurrences of a row.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    shapes = log.groupBy("db_id", sql_tokens(F.col("sql")).alias("_shape")).agg(
-        n.alias("_n"), F.min("sql").alias("sql"))
-    return sql_skeletons(shapes, catalog).groupBy("db_id", "skeleton").agg(
+    shapes = _with_shapes(log).groupBy("db_id", "_shape", "parsable").agg(n.alias("_n"), F.min("sql").alias("sql"))
+    statements = _classified(shapes.where("parsable"), catalog).withColumn("skeleton", _skeleton())
+    kept = ["db_id", "skeleton", "_n", "sql"]
+    others = shapes.where(~F.col("parsable")).withColumn("skeleton", F.col("sql"))
+    return statements.select(kept).unionByName(others.select(kept)).groupBy("db_id", "skeleton").agg(
         F.sum("_n").alias("n"), F.min("sql").alias("sample_sql"))
 
 
@@ -187,7 +223,9 @@ def template_tokens(skeleton: Column, mode: str = "compat") -> Column:
 
 def skeleton_tokens(skeletons: DataFrame, key: str = "qid", mode: str = "compat") -> DataFrame:
     """(key, pos, token): the token table of templates."""
-    return skeletons.select(key, F.posexplode(template_tokens(F.col("skeleton"), mode)).alias("pos", "token"))
+    return skeletons.select(
+        key, F.posexplode_outer(template_tokens(F.col("skeleton"), mode)).alias("pos", "token")).where(
+        F.col("token").isNotNull())
 
 
 def token_frequencies(skeletons: DataFrame, mode: str = "compat") -> DataFrame:
@@ -196,7 +234,9 @@ def token_frequencies(skeletons: DataFrame, mode: str = "compat") -> DataFrame:
     Equal templates are merged first, so tokens are cut once per distinct template.
     """
     distinct = skeletons.groupBy("skeleton").agg(F.count(F.lit(1)).alias("_w"))
-    tokens = distinct.select("_w", F.explode(template_tokens(F.col("skeleton"), mode)).alias("token"), "skeleton")
+    tokens = distinct.select(
+        "_w", F.explode_outer(template_tokens(F.col("skeleton"), mode)).alias("token"), "skeleton").where(
+        F.col("token").isNotNull())
     per_template = tokens.groupBy("token", "skeleton").agg(F.sum("_w").alias("_n"), F.max("_w").alias("_w"))
     return per_template.groupBy("token").agg(F.sum("_n").alias("n"), F.sum("_w").alias("n_skeletons"))
 
@@ -209,7 +249,8 @@ def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple
     names of common table expressions count as tables. Texts that are no statement go to
     the quarantine with a reason.
     """
-    roles = _classified(log, catalog)
+    shaped = _with_shapes(log)
+    roles = _classified(_distinct_shapes(shaped), catalog)
     # A table and the alias that follows it; without one the table goes by its own name.
     def entry(x: Column, i: Column) -> Column:
         after, second = F.get("_t", i + 1), F.get("_t", i + 2)
@@ -222,7 +263,7 @@ def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple
         return F.when(x["role"] == "column", F.struct(owner.alias("owner"), _bare(x["tok"]).alias("name")))
 
     refs = roles.select(
-        "db_id", key, "sql", "parsable",
+        "db_id", "_shape",
         F.filter(F.transform("_t", entry), lambda e: e.isNotNull()).alias("_tables"),
         F.filter(F.transform("_t", column), lambda e: e.isNotNull()).alias("_columns"))
     names = F.array_distinct(F.transform("_tables", lambda e: e["alias"]))
@@ -238,7 +279,11 @@ def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple
             F.lit("table").alias("kind"), t.alias("item"))),
         F.transform(F.array_distinct(F.transform("_columns", lambda c: F.concat(
             owner_of(c), F.lit("."), c["name"]))), lambda t: F.struct(F.lit("column").alias("kind"), t.alias("item"))))
-    rows = refs.where("parsable").select("db_id", key, F.explode(items).alias("i")).select(
+    per_shape = refs.select("db_id", "_shape", items.alias("_items"))
+    # explode() would add a size filter that repeats the whole expression below the projections.
+    rows = _onto(shaped.where("parsable").select("db_id", key, "_shape", "parsable"), per_shape).select(
+        "db_id", key, F.explode_outer("_items").alias("i")).where(F.col("i").isNotNull()).select(
         "db_id", key, "i.kind", "i.item")
-    bad = refs.where(~F.col("parsable")).select("db_id", key, "sql", F.lit("not a complete SQL statement").alias("reason"))
+    bad = shaped.where(~F.col("parsable")).select(
+        "db_id", key, "sql", F.lit("not a complete SQL statement").alias("reason"))
     return rows, bad

@@ -39,7 +39,7 @@ def question_skeletons(examples: DataFrame, catalog: DataFrame, min_df: int = 2)
     words = F.array_distinct(F.transform(
         F.filter("_p", lambda p: p.rlike(r"^[\p{L}_]")), lambda p: F.lower(p)))
     # A word with its frequency and, as long as it is rare, the examples it occurs in.
-    seen = cut.select("example_id", F.explode(words).alias("w"))
+    seen = cut.select("example_id", F.explode_outer(words).alias("w")).where(F.col("w").isNotNull())
     frequency = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     hot = frequency.where(F.col("df") >= max(min_df, HOT_FROM)).orderBy(F.desc("df"), "w").limit(HOT_WORDS)
     few = frequency.where(F.col("df") < min_df).select("w")

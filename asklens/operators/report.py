@@ -47,7 +47,8 @@ def execution_times() -> Column:
 
 def report_times(records: DataFrame, approximate: bool = False) -> DataFrame:
     """Execution-time statistics in milliseconds; ``approximate=True`` takes the median from a sketch."""
-    ms = records.select(F.explode(execution_times()).alias("s")).select((F.col("s") * 1000.0).alias("ms"))
+    seconds = records.select(F.explode_outer(execution_times()).alias("s")).where(F.col("s").isNotNull())
+    ms = seconds.select((F.col("s") * 1000.0).alias("ms"))
     middle = F.percentile_approx("ms", 0.5, 10000) if approximate else F.lit(exact_median(ms, "ms")).cast("double")
     return ms.agg(
         F.count("ms").alias("total_queries_executed"),
@@ -107,7 +108,7 @@ def report_generation(records: DataFrame, approximate: bool = False) -> DataFram
         F.coalesce(F.sum("valid_count"), F.lit(0)).alias("valid_executions"),
         F.coalesce(F.sum("error_count"), F.lit(0)).alias("execution_errors"),
         F.coalesce(F.avg(F.size("variations")), F.lit(0.0)).alias("avg_unique_sql_variations_per_question"))
-    texts = counted.select(F.explode("variations").alias("t"))
+    texts = counted.select(F.explode_outer("variations").alias("t")).where(F.col("t").isNotNull())
     if approximate:
         unique = texts.agg(F.approx_count_distinct("t").alias("unique_sql_variations"))
     else:

@@ -133,33 +133,40 @@ def _note_text(c: Column) -> Column:
     return F.when(text.startswith("```"), strip(inner)).otherwise(text)
 
 
-def _section_items(lines: Column, heads: Column, heading: str) -> Column:
+def _section_items(lines: Column, marks: Column, heading: str) -> Column:
     """Items of one section: the lines after its heading up to the next other heading.
 
-    A heading repeated before any other one restarts the section; later ones are ignored.
+    ``marks`` are the (place, heading) of all heading lines. A heading repeated before any other
+    one restarts the section; later ones are ignored.
     """
-    at = F.array_position(heads, heading).cast("int")
-    tail = F.slice(heads, at + 1, F.size(heads))
-    # Place of the first other heading in the tail, and of the last repetition before it.
-    other = F.transform(tail, lambda h: (h != "") & (h != heading))
-    stop = F.array_position(other, True).cast("int")
-    upto = F.when(stop > 0, stop - 1).otherwise(F.size(tail))
-    again = F.array_max(F.transform(
-        F.slice(tail, F.lit(1), upto), lambda h, i: F.when(h == heading, i + 1).otherwise(0)))
-    skip = F.coalesce(again, F.lit(0))
-    body = F.slice(lines, at + 1 + skip, upto - skip)
-    items = F.transform(body, lambda x: strip(F.regexp_replace(x, r"^-", "")))
-    return F.when(at > 0, F.filter(items, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    def place(found: Column) -> Column:
+        return F.get(found, F.lit(0))["i"]
+
+    def items(last: Column, stop: Column) -> Column:
+        body = F.slice(lines, last + 2, stop - last - 1)
+        return F.filter(F.transform(body, lambda x: strip(F.regexp_replace(x, r"^-", ""))), lambda x: x != "")
+
+    def from_first(first: Column) -> Column:
+        end = F.coalesce(place(F.filter(marks, lambda m: (m["h"] != heading) & (m["i"] > first))), F.size(lines))
+        return let(end, lambda stop: let(
+            F.element_at(F.filter(marks, lambda m: (m["h"] == heading) & (m["i"] < stop)), F.lit(-1))["i"],
+            lambda last: items(last, stop)))
+
+    own = F.filter(marks, lambda m: m["h"] == heading)
+    return let(place(own), lambda first: F.when(first.isNotNull(), from_first(first)).otherwise(
+        F.array().cast("array<string>")))
 
 
 def _sections(notes: DataFrame, col: str) -> DataFrame:
     lines = F.filter(stripped_lines(F.col("raw_output")), lambda x: x != "")
-    heads = F.transform("_lines", lambda x: F.when(
-        x.endswith(":"), F.lower(F.regexp_replace(x, r"\s*:$", ""))).otherwise(""))
-    out = notes.withColumn("raw_output", _note_text(F.col(col))).withColumn("_lines", lines).withColumn("_heads", heads)
+    marks = F.filter(
+        F.transform("_lines", lambda x, i: F.when(x.endswith(":"), F.struct(
+            i.alias("i"), F.lower(F.regexp_replace(x, r"\s*:$", "")).alias("h")))),
+        lambda m: m.isNotNull())
+    out = notes.withColumn("raw_output", _note_text(F.col(col))).withColumn("_lines", lines).withColumn("_marks", marks)
     return out.withColumns({
-        name: _section_items(F.col("_lines"), F.col("_heads"), heading)
-        for name, heading in NOTE_SECTIONS.items()}).drop("_lines", "_heads")
+        name: _section_items(F.col("_lines"), F.col("_marks"), heading)
+        for name, heading in NOTE_SECTIONS.items()}).drop("_lines", "_marks")
 
 
 def notes_struct(notes: DataFrame, col: str, key: str = "note_id") -> DataFrame:
@@ -194,4 +201,6 @@ def notes_long(notes: DataFrame, col: str, key: str = "note_id") -> DataFrame:
             F.lit(name).alias("section"), i.alias("pos"), x.alias("item")))
 
     stacked = F.flatten(F.array(*[tagged(name) for name in NOTE_SECTIONS]))
-    return s.select(key, F.explode(stacked).alias("x")).select(key, "x.section", "x.pos", "x.item")
+    # explode() would add a size filter that repeats the whole expression.
+    return s.select(key, F.explode_outer(stacked).alias("x")).where(F.col("x").isNotNull()).select(
+        key, "x.section", "x.pos", "x.item")

@@ -282,7 +282,7 @@ def s7(spark, sf):
 
 @query("s11_write_logs", """
 SELECT question_id, coalesce(nullif(difficulty, ''), 'unknown') AS difficulty,
-       CASE WHEN coalesce(generated_sql, '') <> '' THEN 1.0 ELSE 0.0 END AS winner_confidence,
+       cast(CASE WHEN coalesce(generated_sql, '') <> '' THEN 1 ELSE 0 END AS double) AS winner_confidence,
        round(execution_time, 6) AS best_time, 0 - 7 AS row_count_difference,
        CASE WHEN coalesce(execution_error, '') <> '' THEN 1 ELSE 0 END AS execution_errors,
        CASE WHEN coalesce(generated_sql, '') <> '' THEN 1 ELSE 0 END AS valid_generations,

@@ -1 +1,492 @@
+"""Readers, writers, preparation, schema text and merging of example corpora."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asklens.operators import prepare, prompts, responses, schema
+from asklens.operators.log import query_lineage, sql_skeletons
+from asklens.plans import joined, query, rounded
+from asklens.session import fresh_path, written
+from asklens.sources import catalog as cat
+from asklens.sources import corpus_store, examples, records
+from asklens.streaming import running
+from asklens.views import stored_catalog, table, view
+
+# Rows per staged JSON document; a document is parsed by one task.
+DOCUMENT_ROWS = 500
+
+
+def _documents(rows: DataFrame, entry: Column, path: str, wrap: str = "%s") -> None:
+    """Stage rows as text files that each hold one JSON document with a list of ``entry``."""
+    buckets = max(rows.count() // DOCUMENT_ROWS, 1)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("doc")
+    lists = rows.select(part, F.to_json(entry).alias("e")).groupBy("doc").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("e"), ",\n"), F.lit("]")).alias("list"))
+    text = F.format_string(wrap, "list") if wrap != "%s" else F.col("list")
+    lists.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
+
+
+# --- readers and writers --------------------------------------------------------------------
+
+
+@query("s1_read_examples", """
+SELECT example_id, question, CASE WHEN db_id LIKE '%7' THEN NULL ELSE sql END AS sql, db_id,
+       CASE WHEN db_id LIKE '%7' THEN 'bad' ELSE 'good' END AS status FROM v_examples
+""")
+def s1(spark, sf):
+    ex = view(spark, sf, "v_examples")
+    lacking, other = ex.where("db_id LIKE '%7'"), ex.where("db_id NOT LIKE '%7'")
+    path = fresh_path(spark, "examples")
+    _documents(lacking, F.struct("example_id", "question", "db_id"), path + "/a")
+    # Upper-case keys for some databases, lower-case ones for the rest.
+    upper = F.col("db_id").rlike("[0-4]$")
+    _documents(other.where(upper), F.struct(
+        "example_id", F.col("question").alias("Question"), F.col("sql").alias("SQL"), "db_id"), path + "/b")
+    _documents(other.where(~upper), F.struct("example_id", "question", "sql", "db_id"), path + "/c")
+    good, bad = None, None
+    for folder in ("/a", "/b", "/c"):
+        g, b = examples.read_examples(spark, path + folder)
+        good, bad = (g, b) if good is None else (good.unionByName(g), bad.unionByName(b))
+    return good.withColumn("status", F.lit("good")).unionByName(
+        bad.drop("found_keys").withColumn("status", F.lit("bad")))
+
+
+@query("s1_read_examples_lines", "SELECT example_id, question, sql, db_id FROM v_log_examples")
+def s1_lines(spark, sf):
+    path = fresh_path(spark, "example-lines")
+    examples.write_examples(view(spark, sf, "v_log_examples"), path)
+    good, _ = examples.read_examples(spark, path, lines=True)
+    return good
+
+
+@query("s2_read_spider", """
+SELECT example_id, question, CASE WHEN db_id LIKE '%3' THEN '' ELSE sql END AS sql, db_id FROM v_examples
+""")
+def s2(spark, sf):
+    ex = view(spark, sf, "v_examples")
+    path = fresh_path(spark, "spider")
+    # The query key is absent for some rows; extra keys are ignored.
+    asked = F.when(~F.col("db_id").like("%3"), F.col("sql")).alias("query")
+    _documents(ex, F.struct("example_id", "db_id", "question", asked, F.split("question", " ").alias("question_toks")), path)
+    return examples.read_spider(spark, path)
+
+
+@query("s3_read_example_dir", "SELECT example_id, question, sql, db_id FROM v_examples")
+def s3(spark, sf):
+    ex = view(spark, sf, "v_examples")
+    path = fresh_path(spark, "mixed")
+    entry = F.struct("example_id", "db_id", "question", F.col("sql").alias("query"))
+    kind = F.pmod("example_id", F.lit(3))
+    _documents(ex.where(kind == 0), entry, path + "/kind=list")
+    _documents(ex.where(kind == 1), entry, path + "/kind=data", '{"data": %s}')
+    _documents(ex.where(kind == 2), entry, path + "/kind=examples", '{"name": "x", "examples": %s}')
+    schemas = F.struct(F.array("c_name").alias("table_names_original"))
+    table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("doc")).agg(F.min("c_name").alias("c_name")).select(
+        "doc", F.to_json(schemas).alias("value")).write.partitionBy("doc").text(path + "/kind=schema")
+    return examples.read_example_dir(spark, path, pattern="*.txt")
+
+
+def _spider_schema(rows: DataFrame) -> DataFrame:
+    """(db_id, value): catalog rows as Spider schema JSON, one text per database."""
+    tables = F.array_sort(F.collect_set(F.struct("table_idx", "table_name")))
+    cols = F.array_sort(F.collect_list(F.struct("table_idx", "col_idx", "col_name", "col_type", "col_desc")))
+    per_db = rows.groupBy("db_id").agg(tables.alias("t"), cols.alias("c"))
+    # Table numbers in the file are places in the list of tables.
+    place = F.transform("c", lambda c: F.array_position(
+        F.transform("t", lambda t: t["table_idx"]), c["table_idx"]) - 1)
+    pairs = F.zip_with(place, "c", lambda p, c: F.concat(F.lit("["), p, F.lit(',"'), c["col_name"], F.lit('"]')))
+
+    def texts(field: str) -> Column:
+        return F.to_json(F.concat(F.array(F.lit("")), F.transform("c", lambda c: F.coalesce(c[field], F.lit("")))))
+
+    return per_db.select("db_id", F.concat(
+        F.lit('{"db_id":"'), "db_id", F.lit('","table_names_original":'),
+        F.to_json(F.transform("t", lambda t: t["table_name"])),
+        F.lit(',"column_names_original":[[-1,"*"],'), F.array_join(pairs, ","),
+        F.lit('],"column_types":'), texts("col_type"), F.lit(',"column_descriptions":'), texts("col_desc"),
+        F.lit("}")).alias("value"))
+
+
+_NUMBERED = """
+SELECT db_id, cast(dense_rank() OVER (PARTITION BY db_id ORDER BY table_idx) - 1 AS int) AS table_idx, table_name,
+       cast(row_number() OVER (PARTITION BY db_id, table_idx ORDER BY col_idx) - 1 AS int) AS col_idx, col_name,
+       coalesce(col_type, '') AS col_type, nullif(col_desc, '') AS col_desc FROM v_catalog
+"""
+
+
+@query("s4_read_catalog", _NUMBERED)
+def s4(spark, sf):
+    path = fresh_path(spark, "schemas")
+    docs = _spider_schema(view(spark, sf, "v_catalog"))
+    docs.repartition(F.col("db_id")).withColumnRenamed("db_id", "db").write.partitionBy("db").text(path)
+    # The place of a column counts over its table only, as the catalog numbers it.
+    rows = cat.read_catalog(spark, path, pattern="*.txt")
+    return rows
+
+
+@query("s5_catalog_from_tables", """
+WITH used AS (SELECT 'lineitem' AS table_name, sum(n) AS n FROM v_query_log WHERE sql LIKE '%FROM lineitem%'
+              UNION ALL SELECT 'orders', sum(n) FROM v_query_log WHERE sql LIKE '%JOIN orders%' OR sql LIKE '%FROM orders%'
+              UNION ALL SELECT 'customer', sum(n) FROM v_query_log WHERE sql LIKE '%FROM customer%')
+SELECT s.table_name, s.col_name, s.col_idx, s.col_type, cast(coalesce(u.n, 0) AS bigint) AS queries
+FROM v_stored s LEFT JOIN used u ON u.table_name = s.table_name WHERE s.db_id = 'db0'
+""")
+def s5(spark, sf):
+    """Stored columns with the number of logged queries that touch their table."""
+    stored = cat.catalog_from_tables(spark, {t: f"{sf}/{t}.parquet" for t in _stored_names()}, "stored")
+    log = view(spark, sf, "v_query_log")
+    lineage, _ = query_lineage(log.select("db_id", "qid", "sql"), stored)
+    used = lineage.where("kind = 'table'").join(log.select("db_id", "qid", "n"), ["db_id", "qid"]).groupBy(
+        F.col("item").alias("table_name")).agg(F.sum("n").alias("queries"))
+    return stored.join(used, "table_name", "left").select(
+        "table_name", "col_name", "col_idx", "col_type", F.coalesce("queries", F.lit(0)).alias("queries"))
+
+
+def _stored_names():
+    from asklens.views import TABLES
+
+    return TABLES
+
+
+@query("s6_read_descriptions", """
+SELECT db_id || '__' || table_name AS table_name,
+       'Table: ' || db_id || '__' || table_name || chr(10) || string_agg(
+         '  - ' || col_name || CASE WHEN coalesce(col_type, '') <> '' THEN ' (' || col_type || ')' ELSE '' END
+         || CASE WHEN coalesce(col_desc, '') <> '' THEN ': "' || col_desc || '", x' ELSE ': , x' END, chr(10) ORDER BY col_idx) AS description
+FROM v_catalog GROUP BY db_id, table_name
+""")
+def s6(spark, sf):
+    rows = view(spark, sf, "v_catalog").withColumn("t", F.concat_ws("__", "db_id", "table_name"))
+
+    def quoted(c: str) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+    # Descriptions hold quotes and commas; one header spelling per table number.
+    desc = F.when(F.coalesce("col_desc", F.lit("")) != "", F.concat(F.lit('"'), "col_desc", F.lit('", x'))).otherwise(", x")
+    line = F.concat_ws(",", "col_name", quoted("col_type"), quoted("d"))
+    header = F.element_at(F.array(
+        F.lit("column_name,data_type,description"), F.lit("Column,Type,Description"),
+        F.lit("COLUMN_NAME,DATA_TYPE,COMMENT")), F.pmod("table_idx", F.lit(3)) + 1)
+    docs = rows.withColumn("d", desc).groupBy("t", "table_idx").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("col_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    path = fresh_path(spark, "descriptions")
+    docs.select("t", F.concat(header, F.lit("\n"), "body", F.lit("\n,NUMBER,no name\n")).alias("value")).repartition(
+        F.col("t")).write.partitionBy("t").text(path)
+    return cat.description_text(cat.read_descriptions(spark, path, pattern="*.txt", folder_key="t"))
+
+
+@query("s8_read_linking", """
+SELECT cast(note_id AS string) AS question_id, 'db' || cast(note_id % 10 AS string) AS db_id,
+       CASE WHEN c_acctbal > 3000 THEN 'orders|customer' ELSE 'orders' END AS tables,
+       CASE WHEN c_acctbal > 3000 THEN 'orders.o_custkey = customer.c_custkey' ELSE '' END AS joins,
+       'find ' || o_orderpriority || ' orders' AS intent
+FROM v_notes JOIN orders ON o_orderkey = note_id JOIN customer ON c_custkey = o_custkey
+""")
+def s8(spark, sf):
+    linked = _linked_notes(spark, sf)
+    path = fresh_path(spark, "linking")
+    records.linking_file(linked).write.json(path)
+    back = records.read_linking(spark, path, lines=True)
+    s = F.col("schema_linking")
+    return back.select("question_id", "db_id", joined(s["tables"]).alias("tables"),
+                       joined(s["joins"]).alias("joins"), s["intent"].alias("intent"))
+
+
+def _linked_notes(spark: SparkSession, sf: str) -> DataFrame:
+    notes = responses.notes_struct(view(spark, sf, "v_notes"), "text")
+    return notes.select(
+        F.col("note_id").alias("question_id"), F.concat(F.lit("db"), F.pmod("note_id", F.lit(10))).alias("db_id"),
+        F.struct("tables", "columns", "joins", "filters", "intent").alias("schema_linking"))
+
+
+@query("s9_pairs_round_trip", "SELECT 'Q: ' || question AS input, sql AS output, db_id FROM v_examples")
+def s9(spark, sf):
+    pairs = view(spark, sf, "v_examples").select(
+        F.concat(F.lit("Q: "), "question").alias("input"), F.col("sql").alias("output"), "db_id", "example_id")
+    path = fresh_path(spark, "pairs")
+    examples.write_pairs(pairs, path)
+    return examples.read_pairs(spark, path)
+
+
+# --- filters, joins, merging ----------------------------------------------------------------
+
+_P1 = """
+x AS (SELECT e.*, CASE WHEN question = '' OR sql = '' THEN 'missing question or sql'
+             WHEN db_id LIKE 'lost%' THEN 'no schema for database' WHEN sql LIKE 'no idea%' THEN 'no labels' END AS reason
+      FROM v_log_examples e)"""
+
+
+def _usable(spark, sf):
+    ex = view(spark, sf, "v_log_examples")
+    lineage, _ = query_lineage(ex.select("db_id", "example_id", "sql"), stored_catalog(spark, sf), key="example_id")
+    return prepare.usable_examples(ex, view(spark, sf, "v_catalog"), lineage)
+
+
+@query("p1_usable_examples", f"WITH {_P1.strip()} SELECT example_id, question, sql, db_id FROM x WHERE reason IS NULL")
+def p1(spark, sf):
+    return _usable(spark, sf)[0].select("example_id", "question", "sql", "db_id")
+
+
+@query("p1_skipped_by_reason", f"WITH {_P1.strip()} SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY reason")
+def p1_skipped(spark, sf):
+    return _usable(spark, sf)[1]
+
+
+def _gappy(spark, sf) -> DataFrame:
+    """Examples whose empty texts are absent instead."""
+    return view(spark, sf, "v_log_examples").withColumns({
+        "question": F.nullif("question", F.lit("")), "sql": F.when(~F.col("sql").like("no idea%"), F.col("sql"))})
+
+
+@query("p4_validation_report", """
+SELECT count(*) AS total, count(*) FILTER (question <> '' AND sql NOT LIKE 'no idea%') AS valid,
+       count(*) FILTER (question = '' OR sql LIKE 'no idea%') AS invalid FROM v_log_examples
+""")
+def p4(spark, sf):
+    return prepare.validation_report(_gappy(spark, sf))[0]
+
+
+@query("p4_validation_errors", """
+SELECT example_id, 'question' AS field, 'Example ' || cast(example_id AS string) || ': Missing ''question'' field' AS message
+FROM v_log_examples WHERE question = ''
+UNION ALL SELECT example_id, 'sql', 'Example ' || cast(example_id AS string) || ': Missing ''sql'' field'
+FROM v_log_examples WHERE sql LIKE 'no idea%'
+""")
+def p4_errors(spark, sf):
+    return prepare.validation_report(_gappy(spark, sf))[1]
+
+
+_COMPACT = """
+lines AS (SELECT db_id, table_idx, table_name || '(' || string_agg(col_name, ', ' ORDER BY col_idx) || ')' AS line
+          FROM v_catalog GROUP BY db_id, table_idx, table_name),
+texts AS (SELECT db_id, string_agg(line, chr(10) ORDER BY table_idx) AS schema_text FROM lines GROUP BY db_id)"""
+
+
+@query("j1_attach_schema", f"""
+WITH {_COMPACT.strip()}
+SELECT e.example_id, e.db_id, coalesce(t.schema_text, '(no schema)') AS schema_text
+FROM v_examples e LEFT JOIN texts t ON t.db_id = e.db_id
+""")
+def j1(spark, sf):
+    ok, missing = schema.attach_schema(view(spark, sf, "v_examples"), schema.schema_text(view(spark, sf, "v_catalog")))
+    return ok.select("example_id", "db_id", "schema_text").unionByName(
+        missing.select("example_id", "db_id", F.lit("(no schema)").alias("schema_text")))
+
+
+@query("j2_resolve_database", """
+WITH i AS (SELECT DISTINCT path FROM v_inventory),
+s AS (SELECT 'db' || cast(s_suppkey AS string) AS db_id, CASE WHEN s_nationkey > 3 THEN 'T(a)' ELSE '' END AS t FROM supplier),
+x AS (SELECT e.example_id, e.db_id, coalesce(a.path, b.path) AS db_path, s.t
+      FROM v_log_examples e LEFT JOIN i a ON a.path = e.db_id || '/' || e.db_id || '.sqlite'
+      LEFT JOIN i b ON b.path = e.db_id || '.sqlite' LEFT JOIN s ON s.db_id = e.db_id)
+SELECT example_id, db_id, db_path, CASE WHEN db_path IS NULL THEN 'Missing database file for ' || db_id
+       WHEN coalesce(t, '') = '' THEN 'Schema load failed for ' || db_id END AS error FROM x
+""")
+def j2(spark, sf):
+    schemas = table(spark, sf, "supplier").select(
+        F.concat(F.lit("db"), "s_suppkey").alias("db_id"), F.when(F.col("s_nationkey") > 3, "T(a)").otherwise("").alias("schema_text"))
+    out = schema.resolve_database(view(spark, sf, "v_log_examples"), view(spark, sf, "v_inventory"), schemas)
+    return out.select("example_id", "db_id", "db_path", "error")
+
+
+_SCHEMA_JSON = """
+typed AS (SELECT db_id, table_idx, table_name, string_agg(CASE WHEN coalesce(col_type, '') <> '' OR true THEN
+            '{"name":"' || col_name || '","type":"' || CASE WHEN col_type = 'DECIMAL(10,2)' THEN 'DECIMAL(10' ELSE coalesce(col_type, '') END
+            || '"}' END, ',' ORDER BY col_idx) AS cols
+          FROM v_catalog GROUP BY db_id, table_idx, table_name),
+docs AS (SELECT db_id, '{"tables":[' || string_agg('{"name":"' || table_name || '","columns":[' || cols || ']}', ',' ORDER BY table_idx)
+                || ']}' AS schema_json FROM typed GROUP BY db_id)"""
+
+
+def _schema_json(spark, sf):
+    return schema.schema_json(schema.schema_text_rows(schema.schema_text(view(spark, sf, "v_catalog"), "typed")))
+
+
+@query("j3_schema_for_question", f"""
+WITH {_SCHEMA_JSON.strip()},
+linked AS (SELECT note_id, '{{"tables":[' || CASE WHEN c_acctbal > 3000 THEN '1,2' ELSE '1' END || ']}}' AS j
+           FROM v_notes JOIN orders ON o_orderkey = note_id JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
+q AS (SELECT o_orderkey AS question_id, 'db' || cast(o_custkey AS string) AS db_id FROM orders)
+SELECT q.question_id, md5(coalesce(l.j, d.schema_json)) AS schema_md5, l.j IS NOT NULL AS schema_linking_used
+FROM q LEFT JOIN linked l ON l.note_id = q.question_id LEFT JOIN docs d ON d.db_id = q.db_id
+""")
+def j3(spark, sf):
+    orders = table(spark, sf, "orders")
+    questions = orders.select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("db"), "o_custkey").alias("db_id"))
+    finished = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("note_id"))
+    notes = responses.notes_struct(view(spark, sf, "v_notes").join(finished, "note_id"), "text")
+    numbers = F.transform("tables", lambda t, i: i + 1)
+    linking = notes.select(F.col("note_id").cast("string").alias("question_id"),
+                           F.to_json(F.struct(numbers.alias("tables"))).alias("schema_json"))
+    out = schema.schema_for_question(questions, linking, _schema_json(spark, sf))
+    return out.select("question_id", F.md5("schema_json").alias("schema_md5"), "schema_linking_used")
+
+
+_RENDER = {
+    "compact": ("col_name", "table_name || '('"),
+    "typed": ("col_name || '(' || coalesce(col_type, '') || ')'", "table_name || '('"),
+    "detailed": ("concat_ws(' ', col_name, col_type, '\"' || col_desc || '\"')", "table_name || '('"),
+    "listing": ("col_name || ' ' || coalesce(col_type, '')", "'Table: ' || table_name || ' ('"),
+}
+A1_CHECK = " UNION ALL ".join(f"""
+SELECT db_id, '{style}' AS style, string_agg(line, chr(10) ORDER BY table_idx) AS schema_text FROM (
+  SELECT db_id, table_idx, {opening} || string_agg({col}, ', ' ORDER BY col_idx) || ')' AS line
+  FROM v_catalog GROUP BY db_id, table_idx, table_name) GROUP BY db_id""" for style, (col, opening) in _RENDER.items())
+
+
+@query("a1_schema_text", A1_CHECK)
+def a1(spark, sf):
+    rows = view(spark, sf, "v_catalog")
+    out = None
+    for style in schema.STYLES:
+        one = schema.schema_text(rows, style).withColumn("style", F.lit(style))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+F4_CHECK = """
+SELECT db_id, cast(dense_rank() OVER (PARTITION BY db_id ORDER BY table_idx) - 1 AS int) AS table_idx, table_name,
+  cast(row_number() OVER (PARTITION BY db_id, table_idx ORDER BY col_idx) - 1 AS int) AS col_idx, col_name, {kind} AS col_type
+FROM v_catalog
+"""
+
+
+@query("f4_schema_text_rows", F4_CHECK.format(
+    kind="CASE WHEN col_type = 'DECIMAL(10,2)' THEN 'DECIMAL(10' ELSE coalesce(col_type, '') END"))
+def f4(spark, sf):
+    return schema.schema_text_rows(schema.schema_text(view(spark, sf, "v_catalog"), "typed"))
+
+
+@query("f4_schema_text_rows_strict", F4_CHECK.format(kind="coalesce(col_type, '')"))
+def f4_strict(spark, sf):
+    return schema.schema_text_rows(schema.schema_text(view(spark, sf, "v_catalog"), "typed"), strict=True)
+
+
+@query("f4_schema_json", f"WITH {_SCHEMA_JSON.strip()} SELECT db_id, schema_json FROM docs")
+def f4_json(spark, sf):
+    return _schema_json(spark, sf)
+
+
+@query("f5_linking_to_schema", """
+SELECT note_id AS question_id,
+  '{"tables":[{"name":"orders","columns":['
+  || CASE WHEN o_orderpriority = '2-HIGH' THEN '' WHEN o_orderpriority = '1-URGENT' THEN '{"name":"o_totalprice"}'
+          ELSE '{"name":"o_orderkey"},{"name":"o_custkey"}' END || ']}'
+  || CASE WHEN c_acctbal > 3000 THEN ',{"name":"customer","columns":['
+       || CASE WHEN o_orderpriority = '2-HIGH' THEN '' ELSE '{"name":"c_custkey"},{"name":"' || lower(c_mktsegment) || '"}' END || ']}' ELSE '' END
+  || '],"joins":[' || CASE WHEN c_acctbal > 3000 THEN '"orders.o_custkey = customer.c_custkey"' ELSE '' END
+  || '],"filters":[' || CASE WHEN o_orderstatus <> 'O' THEN '"o_orderstatus = ' || o_orderstatus || '"' ELSE '' END
+  || '],"intent":"find ' || o_orderpriority || ' orders"}' AS schema_json
+FROM v_notes JOIN orders ON o_orderkey = note_id JOIN customer ON c_custkey = o_custkey
+""")
+def f5(spark, sf):
+    linked = _linked_notes(spark, sf)
+    # The other producer's field names, for half of the notes.
+    other = F.struct(
+        F.col("schema_linking.tables").alias("tables"), F.col("schema_linking.columns").alias("columns"),
+        F.lit(None).cast("array<string>").alias("joins"), F.col("schema_linking.joins").alias("join_relationships"),
+        F.lit(None).cast("array<string>").alias("filters"), F.col("schema_linking.filters").alias("filters_constraints"),
+        F.lit(None).cast("string").alias("intent"), F.col("schema_linking.intent").alias("question_intent"))
+    return schema.linking_to_schema(linked.withColumn("schema_linking", other)).select("question_id", "schema_json")
+
+
+@query("u1_merge_examples", """
+WITH old AS (SELECT * FROM v_log_examples WHERE quantity <= 10),
+new AS (SELECT * FROM v_log_examples WHERE quantity > 10),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY question, sql ORDER BY example_id, db_id, quantity) AS r FROM new)
+SELECT example_id, question, sql, db_id FROM old
+UNION ALL
+SELECT example_id, question, sql, db_id FROM firsts f WHERE r = 1
+  AND NOT EXISTS (SELECT 1 FROM old WHERE old.question = f.question AND old.sql = f.sql)
+""")
+def u1(spark, sf):
+    ex = view(spark, sf, "v_log_examples")
+    return prepare.merge_examples(ex.where("quantity <= 10"), ex.where("quantity > 10")).drop("quantity")
+
+
+@query("u4_append_examples", """
+WITH old AS (SELECT * FROM v_log_examples WHERE quantity <= 10),
+new AS (SELECT * FROM v_log_examples WHERE quantity > 10),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY question, sql ORDER BY example_id, db_id, quantity) AS r FROM new),
+m AS (SELECT example_id, question, sql, db_id FROM old UNION ALL
+      SELECT example_id, question, sql, db_id FROM firsts f WHERE r = 1
+        AND NOT EXISTS (SELECT 1 FROM old WHERE old.question = f.question AND old.sql = f.sql)),
+s AS (SELECT *, CASE WHEN sql LIKE 'no idea%' THEN sql ELSE
+        'SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE] AND [COLUMN] = [VALUE]' END AS skeleton FROM m)
+SELECT example_id, question, sql, db_id, skeleton, cast(length(skeleton) % 8 AS int) AS cell FROM s
+""")
+def u4(spark, sf):
+    ex = view(spark, sf, "v_log_examples")
+    stored = stored_catalog(spark, sf)
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return sql_skeletons(rows, stored).drop("parsable").withColumn(
+            "cell", F.pmod(F.length("skeleton"), F.lit(8)).cast("int"))
+
+    path = fresh_path(spark, "corpus")
+    corpus_store.write_index(derive(ex.where("quantity <= 10").drop("quantity")), path)
+    new = ex.where("quantity > 10").drop("quantity")
+    corpus_store.append_index(prepare.append_examples(corpus_store.read_index(spark, path), new, derive), path)
+    return corpus_store.read_index(spark, path).select("example_id", "question", "sql", "db_id", "skeleton", "cell")
+
+
+_GENERATED = """
+g AS (SELECT e.example_id, e.sql, e.db_id, e.question, length(question) % 4 AS m, md5(question) AS h FROM v_examples e),
+x AS (SELECT example_id, question, sql, db_id,
+  CASE m WHEN 0 THEN NULL WHEN 1 THEN 'first ' || h ELSE 'one ' || h END AS q1,
+  CASE m WHEN 0 THEN NULL WHEN 1 THEN 'a {b}' ELSE 'x' END AS reasoning1,
+  CASE m WHEN 0 THEN NULL WHEN 1 THEN 'second ' || h ELSE '' END AS q2,
+  CASE m WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'y' END AS reasoning2,
+  CASE m WHEN 0 THEN 'JSON parsing failed' END AS error,
+  CASE m WHEN 0 THEN 'Sorry, {"q1": no' END AS raw_response FROM g)"""
+
+
+def _enhanced(spark, sf):
+    good, bad = responses.extract_json(view(spark, sf, "v_variations"), "response", prepare.VARIATION)
+    return prepare.merge_generated(view(spark, sf, "v_examples"), good, bad)
+
+
+@query("j6_merge_generated", f"WITH {_GENERATED.strip()} SELECT * FROM x")
+def j6(spark, sf):
+    return _enhanced(spark, sf)
+
+
+@query("f12_variants_long", f"""
+WITH {_GENERATED.strip()}
+SELECT example_id, 1 AS variant, q1 AS question, reasoning1 AS reasoning, sql, db_id FROM x WHERE q1 <> ''
+UNION ALL SELECT example_id, 2, q2, reasoning2, sql, db_id FROM x WHERE q2 <> ''
+""")
+def f12(spark, sf):
+    return prepare.variants_long(_enhanced(spark, sf))[0]
+
+
+@query("f12_variants_merged", f"""
+WITH {_GENERATED.strip()}
+SELECT question, sql, db_id FROM v_examples UNION ALL SELECT q1, sql, db_id FROM x WHERE q1 <> ''
+UNION ALL SELECT q2, sql, db_id FROM x WHERE q2 <> ''
+""")
+def f12_merged(spark, sf):
+    rows, _ = prepare.variants_long(written(_enhanced(spark, sf), "enhanced"))
+    return prepare.merge_examples(view(spark, sf, "v_examples"), rows.drop("variant", "reasoning")).select(
+        "question", "sql", "db_id")
+
+
+@query("w6_split_pairs", """
+WITH o AS (SELECT example_id, quantity, row_number() OVER (ORDER BY md5('42:' || cast(example_id AS string)), example_id) AS r,
+                  count(*) OVER () AS n FROM v_log_examples)
+SELECT example_id, CASE WHEN r <= cast(floor(n * (1 - 0.1::DOUBLE)) AS bigint) THEN 'train' ELSE 'validation' END AS split FROM o
+""")
+def w6(spark, sf):
+    return prompts.split_pairs(view(spark, sf, "v_log_examples").select("example_id"))
+
+
+@query("x2_stream_examples", "SELECT DISTINCT question, sql FROM v_log_examples")
+def x2(spark, sf):
+    ex = view(spark, sf, "v_log_examples").drop("quantity")
+    folder = fresh_path(spark, "growth")
+    ex.write.parquet(folder + "/in")
+    stream = spark.readStream.schema(ex.schema).option("maxFilesPerTrigger", 4).parquet(folder + "/in")
+    running.stream_examples(stream, folder + "/out", folder + "/state").awaitTermination()
+    return spark.read.schema(ex.schema).parquet(folder + "/out").select("question", "sql")

@@ -14,7 +14,7 @@ def _file_stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def read_catalog(spark: SparkSession, path: str, combined: bool = False) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, combined: bool = False, pattern: str = "*.json") -> DataFrame:
     """Catalog rows from Spider schema JSON.
 
     ``path`` is one combined file holding a list (``combined=True``) or a folder with one object
@@ -25,21 +25,21 @@ def read_catalog(spark: SparkSession, path: str, combined: bool = False) -> Data
     if combined:
         schemas = spark.read.schema(SPIDER_SCHEMA_FILE).json(path, multiLine=True)
     else:
-        text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select("value", _file_stem().alias("stem"))
+        text = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select("value", _file_stem().alias("stem"))
         objects = text.where(~F.regexp_replace("value", r"^\s+", "").startswith("["))
         schemas = objects.select(F.from_json("value", SPIDER_SCHEMA_FILE).alias("s"), "stem").select(
             F.coalesce("s.db_id", "stem").alias("db_id"), "s.table_names_original", "s.column_names_original",
             "s.column_types", "s.column_descriptions")
         schemas = schemas.where(F.col("table_names_original").isNotNull())
     none = F.array().cast("array<string>")
-    tables = schemas.select(
-        "db_id", F.posexplode("table_names_original").alias("table_idx", "table_name"),
-        F.arrays_zip(
-            F.transform("column_names_original", lambda c: c[0].cast("int")).alias("t"),
-            F.transform("column_names_original", lambda c: c[1]).alias("name"),
-            F.coalesce("column_types", none).alias("type"),
-            F.coalesce("column_descriptions", none).alias("desc")).alias("cols"))
-    # The columns of a table are picked inside its own database row, so no join is needed.
+    columns = schemas.select(
+        "db_id", "table_names_original",
+        F.transform("column_names_original", lambda c, i: F.struct(
+            c[0].cast("int").alias("t"), c[1].alias("name"),
+            F.get(F.coalesce("column_types", none), i).alias("type"),
+            F.get(F.coalesce("column_descriptions", none), i).alias("desc"))).alias("cols"))
+    tables = columns.select("db_id", "cols", F.posexplode("table_names_original").alias("table_idx", "table_name"))
+    # A table's columns are picked inside its own database's row, so no join is needed.
     own = tables.withColumn("cols", F.filter("cols", lambda c: c["t"] == F.col("table_idx")))
     rows = own.select("db_id", "table_idx", "table_name", F.posexplode_outer("cols").alias("col_idx", "c"))
     return rows.select(
@@ -87,17 +87,21 @@ DESCRIPTION_HEADERS = {
 }
 
 
-def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+def read_descriptions(spark: SparkSession, path: str, pattern: str = "*.csv",
+                      folder_key: str | None = None) -> DataFrame:
     """Column descriptions from CSV files named after their table.
 
+    With ``folder_key`` the table's name comes from folders ``<folder_key>=<table>`` instead.
+
     A spelling is chosen by which header the file has, not by which cell is filled. Rows without a
     column name are dropped. Gives (table_name, pos, col_name, col_type, col_desc, line).
 
     Each file is parsed whole, which keeps its header with its rows; such files describe the
     columns of one table and are small.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(
-        F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\r\n|\n|\r").alias("ls"), _file_stem().alias("table_name"))
+    named = F.col(folder_key).cast("string") if folder_key else _file_stem()
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
+        F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\r\n|\n|\r").alias("ls"), named.alias("table_name"))
     # Headers differ per file, so cells are addressed by their place in the file's own header.
     header = F.transform(_csv_cells(F.col("ls")[0]), lambda h: F.regexp_replace(h, "^﻿", ""))
     lines = files.select(
@@ -112,13 +116,13 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
             place = F.when(at > 0, at).otherwise(place)
         return F.coalesce(F.get("c", (place - 1).cast("int")), F.lit(""))
 
-    named = rows.select("table_name", "pos", *[cell(f).alias(f) for f in DESCRIPTION_HEADERS]).where(
+    filled = rows.select("table_name", "pos", *[cell(f).alias(f) for f in DESCRIPTION_HEADERS]).where(
         F.col("col_name") != "")
     line = F.concat(
         F.lit("  - "), F.col("col_name"),
         F.when(F.col("col_type") != "", F.concat(F.lit(" ("), "col_type", F.lit(")"))).otherwise(""),
         F.when(F.col("col_desc") != "", F.concat(F.lit(": "), "col_desc")).otherwise(""))
-    return named.withColumn("line", line)
+    return filled.withColumn("line", line)
 
 
 def _csv_cells(line: Column) -> Column:

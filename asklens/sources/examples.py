@@ -69,13 +69,13 @@ def read_spider(spark: SparkSession, path: str, limit: int | None = None, lines:
         F.coalesce(F.col("o")["db_id"], empty).alias("db_id"))
 
 
-def read_example_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Examples from a directory of JSON files of mixed shapes.
 
     A file is a list of examples, or an object holding such a list under ``data`` or
     ``examples``, or one bare example. Files describing a schema are skipped.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
         F.regexp_replace("value", r"^\s+", "").alias("v"))
     whole = F.from_json("v", _OBJECT)
     listed = F.col("v").startswith("[")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asklens.schemas import LINKING, LINKING_FILE, RECORD
+from asklens.schemas import LINKING_FILE, RECORD
 
 _LISTED = T.ArrayType(RECORD)
 WRAPPER = T.StructType(RECORD.fields + [
@@ -33,9 +33,12 @@ def unwrap_records(documents: DataFrame) -> DataFrame:
     return rows.where(F.greatest(*[F.col(f"r.{n}").isNotNull() for n in RECORD.names])).select("r.*")
 
 
-def read_linking(spark: SparkSession, path: str) -> DataFrame:
-    """Schema-linking output keyed by question id, as (question_id text, schema_linking struct)."""
-    files = spark.read.schema(LINKING_FILE).json(path, multiLine=True)
+def read_linking(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Schema-linking output keyed by question id: (question_id as text, db_id, schema_linking).
+
+    A file is one document, or with ``lines=True`` one document per line.
+    """
+    files = spark.read.schema(LINKING_FILE).json(path, multiLine=not lines)
     rows = files.select(F.explode("by_question_id").alias("question_id", "r"))
     return rows.select("question_id", F.col("r.db_id").alias("db_id"), F.col("r.schema_linking").alias("schema_linking"))
 

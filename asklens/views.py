@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part "
@@ -23,7 +24,7 @@ VIEWS: dict[str, str] = {}
 # A user turn followed by an assistant turn is a question with its answer text.
 VIEWS["v_examples"] = """
 SELECT q.conv_id * 100000 + q.turn AS example_id, q.text AS question, a.text AS sql,
-       'db' || cast(q.conv_id % 10 AS string) AS db_id
+       'db' || cast(q.conv_id + 5 AS string) AS db_id
 FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
 WHERE q.role = 'user' AND a.role = 'assistant'
 """
@@ -47,19 +48,45 @@ SELECT db_id, md5(sql) AS qid, sql, count(*) AS n FROM (
 GROUP BY db_id, sql
 """
 
-# Questions over logged SQL: the text asked for and the statement that answers it.
+# Questions over the line items: many repeat, some lack a question, a statement or a database.
 VIEWS["v_log_examples"] = """
-SELECT row_id AS example_id, question, sql, db_id FROM (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id,
-    CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN '' ELSE
-      'Which ' || CASE l_returnflag WHEN 'A' THEN 'orders' WHEN 'N' THEN 'customer rows' ELSE 'lineitem parts' END
-      || ' of supplier ' || cast(l_suppkey AS string) || ' have l_linestatus ' || chr(34) || l_linestatus || chr(34)
-      || ' on line ' || cast(l_linenumber AS string) || '?' END AS question,
-    CASE WHEN l_linestatus = 'F' AND l_linenumber = 6 THEN 'no idea (' ELSE
-      'SELECT l_orderkey FROM lineitem WHERE l_suppkey = ' || cast(l_suppkey AS string)
-      || ' AND l_linenumber = ' || cast(l_linenumber AS string) END AS sql,
-    'db' || cast(l_suppkey % 11 AS string) AS db_id
-  FROM lineitem) t
+SELECT (l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS example_id,
+  CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN '' ELSE
+    'Which ' || CASE l_returnflag WHEN 'A' THEN 'orders' WHEN 'N' THEN 'customer rows' ELSE 'lineitem parts' END
+    || ' of supplier ' || cast(l_suppkey AS string) || ' have l_linestatus ' || chr(34) || l_linestatus || chr(34)
+    || ' on line ' || cast(l_linenumber AS string) || '?' END AS question,
+  CASE WHEN l_linestatus = 'F' AND l_linenumber = 6 THEN 'no idea (' ELSE
+    'SELECT l_orderkey FROM lineitem WHERE l_suppkey = ' || cast(l_suppkey AS string)
+    || ' AND l_linenumber = ' || cast(l_linenumber AS string) END AS sql,
+  CASE WHEN l_quantity >= 48 THEN 'lost' ELSE 'db' END || cast(l_suppkey AS string) AS db_id,
+  l_quantity AS quantity
+FROM lineitem
+"""
+
+# One database per supplier, one table per line number, one column per part supplied there.
+VIEWS["v_catalog"] = """
+SELECT DISTINCT 'db' || cast(l_suppkey AS string) AS db_id, l_linenumber AS table_idx,
+  'line_' || cast(l_linenumber AS string) AS table_name, cast(l_partkey AS int) AS col_idx,
+  'part_' || cast(l_partkey AS string) AS col_name,
+  CASE WHEN p_size < 15 THEN 'INTEGER' WHEN p_size < 30 THEN 'TEXT' WHEN p_size < 40 THEN 'DECIMAL(10,2)' END AS col_type,
+  CASE WHEN p_size >= 10 THEN p_name END AS col_desc
+FROM lineitem JOIN part ON p_partkey = l_partkey
+"""
+
+# Files in which databases are stored: in a folder of their own, flat, both ways, or not at all.
+VIEWS["v_inventory"] = """
+SELECT 'db' || cast(s_suppkey AS string) || '/db' || cast(s_suppkey AS string) || '.sqlite' AS path
+FROM supplier WHERE s_acctbal > 2000
+UNION ALL
+SELECT 'db' || cast(s_suppkey AS string) || '.sqlite' FROM supplier WHERE s_acctbal BETWEEN 0 AND 5000
+"""
+
+# What a model answered when asked to rephrase each question.
+VIEWS["v_variations"] = """
+SELECT example_id, CASE WHEN length(question) % 4 = 0 THEN 'Sorry, {"q1": no'
+  WHEN length(question) % 4 = 1 THEN '{"q1": "first ' || md5(question) || '", "reasoning1": "a {b}", "q2": "second ' || md5(question) || '"}'
+  ELSE 'Sure: {"q1": "one ' || md5(question) || '", "reasoning1": "x", "q2": "", "reasoning2": "y"} ok' END AS response
+FROM v_examples
 """
 
 VIEWS["v_results"] = """
@@ -161,16 +188,16 @@ FROM orders JOIN customer ON c_custkey = o_custkey
 
 VIEWS["v_scored"] = "SELECT user_id AS query_id, event_id AS id, value AS score FROM events"
 
-# The stored tables' columns, repeated for the nine databases db0..db8; db9 has no schema.
-CATALOG_DBS = 9
+# The stored tables' own columns, repeated for the databases db0..db8; db9 has no schema.
+STORED_DBS = 9
 CHECK_TYPES = {"BIGINT": "BIGINT", "INTEGER": "INTEGER", "VARCHAR": "TEXT", "DOUBLE": "REAL", "TIMESTAMP": "TIMESTAMP"}
-CATALOG_CHECK = (
+STORED_CHECK = (
     "SELECT 'db' || cast(g.i AS string) AS db_id, t.* FROM (SELECT cast(dense_rank() OVER (ORDER BY table_name) - 1 AS int) "
     "AS table_idx, table_name, cast(ordinal_position - 1 AS int) AS col_idx, column_name AS col_name, CASE data_type "
     + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CHECK_TYPES.items())
     + " ELSE 'ARRAY<FLOAT>' END AS col_type FROM information_schema.columns WHERE table_name IN ("
     + ", ".join(f"'{t}'" for t in TABLES)
-    + f")) t, (SELECT unnest(range({CATALOG_DBS})) AS i) g"
+    + f")) t, (SELECT unnest(range({STORED_DBS})) AS i) g"
 )
 
 
@@ -178,8 +205,8 @@ def _needs(sql: str) -> list[str]:
     """Views named in ``sql``, dependencies first."""
     found: list[str] = []
     for name in re.findall(r"\bv_\w+", sql):
-        if name == "v_catalog":
-            text = CATALOG_CHECK
+        if name == "v_stored":
+            text = STORED_CHECK
         elif name in VIEWS:
             text = VIEWS[name]
         else:
@@ -192,7 +219,7 @@ def _needs(sql: str) -> list[str]:
 
 def with_views(sql: str) -> str:
     """``sql`` with the views it uses in front of it as common table expressions."""
-    parts = [f"{v} AS ({(CATALOG_CHECK if v == 'v_catalog' else VIEWS[v]).strip()})" for v in _needs(sql)]
+    parts = [f"{v} AS ({(STORED_CHECK if v == 'v_stored' else VIEWS[v]).strip()})" for v in _needs(sql)]
     body = sql.strip()
     if not parts:
         return body
@@ -214,3 +241,12 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
         elif used in TABLES:
             table(spark, sf, used).createOrReplaceTempView(used)
     return spark.sql(sql)
+
+
+def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The view ``v_stored``: catalog rows read from the tables' file footers, per database."""
+    from asklens.sources.catalog import catalog_from_tables
+
+    rows = catalog_from_tables(spark, {t: f"{sf}/{t}.parquet" for t in TABLES}, "stored")
+    dbs = F.transform(F.sequence(F.lit(0), F.lit(STORED_DBS - 1)), lambda i: F.concat(F.lit("db"), i))
+    return rows.withColumn("db_id", F.explode(dbs))
