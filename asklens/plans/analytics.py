@@ -324,3 +324,24 @@ def x1(spark, sf):
     stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 3).parquet(folder + "/in")
     running.running_stats(stream, folder + "/out", folder + "/state").awaitTermination()
     return rounded(running.current_stats(spark, folder + "/out"))
+
+
+@query("u2_a3_execution_accuracy", f"""
+WITH s AS (SELECT question_id, k, amt, bool_or(side = 'generated') AS g, bool_or(side = 'gold') AS e
+           FROM v_results GROUP BY question_id, k, amt),
+p AS (SELECT question_id, bool_and(g AND e) AS ok, count(*) FILTER (g) AS n FROM s GROUP BY question_id),
+r AS (SELECT 'nation' || cast(q.db_no AS string) AS db_id, coalesce(ok, true) AS is_correct, coalesce(n, 0) > 0 AS valid,
+             cast(coalesce(n, 0) AS double) / 8 AS execution_time, cast(NULL AS string) AS error
+      FROM v_questions q LEFT JOIN p ON p.question_id = q.question_id)
+SELECT CASE WHEN g = 1 THEN 'overall' ELSE 'database' END AS level, db_id, {_RATIOS}
+FROM (SELECT db_id, grouping(db_id) AS g, {_TOTALS} FROM r GROUP BY ROLLUP (db_id))
+""")
+def accuracy(spark, sf):
+    """Generated results against gold results, then accuracy per database and overall."""
+    questions = view(spark, sf, "v_questions")
+    compared = compare.compare_results(view(spark, sf, "v_results"), questions)
+    outcome = compared.join(questions, "question_id").select(
+        "question_id", F.concat(F.lit("nation"), "db_no").alias("db_id"), F.col("execution_match").alias("is_correct"),
+        (F.col("generated_distinct") > 0).alias("valid"),
+        (F.col("generated_distinct") / 8.0).alias("execution_time"), F.lit(None).cast("string").alias("error"))
+    return rounded(evaluate.stats_rollup(outcome))

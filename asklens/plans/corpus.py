@@ -151,28 +151,29 @@ def _stored_names():
 
 
 @query("s6_read_descriptions", """
-SELECT db_id || '__' || table_name AS table_name,
-       'Table: ' || db_id || '__' || table_name || chr(10) || string_agg(
-         '  - ' || col_name || CASE WHEN coalesce(col_type, '') <> '' THEN ' (' || col_type || ')' ELSE '' END
-         || CASE WHEN coalesce(col_desc, '') <> '' THEN ': "' || col_desc || '", x' ELSE ': , x' END, chr(10) ORDER BY col_idx) AS description
-FROM v_catalog GROUP BY db_id, table_name
+SELECT db_id AS table_name, 'Table: ' || db_id || chr(10) || string_agg(
+         '  - ' || table_name || '_' || col_name || CASE WHEN coalesce(col_type, '') <> '' THEN ' (' || col_type || ')' ELSE '' END
+         || CASE WHEN coalesce(col_desc, '') <> '' THEN ': "' || col_desc || '", x' ELSE ': , x' END, chr(10)
+         ORDER BY table_idx, col_idx) AS description
+FROM v_catalog GROUP BY db_id
 """)
 def s6(spark, sf):
-    rows = view(spark, sf, "v_catalog").withColumn("t", F.concat_ws("__", "db_id", "table_name"))
+    # One description file per database, whose columns are those of all its tables.
+    rows = view(spark, sf, "v_catalog").withColumn("name", F.concat_ws("_", "table_name", "col_name"))
 
     def quoted(c: str) -> Column:
         return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
-    # Descriptions hold quotes and commas; one header spelling per table number.
+    # Descriptions hold quotes and commas; the header spelling varies with the name.
     desc = F.when(F.coalesce("col_desc", F.lit("")) != "", F.concat(F.lit('"'), "col_desc", F.lit('", x'))).otherwise(", x")
-    line = F.concat_ws(",", "col_name", quoted("col_type"), quoted("d"))
-    header = F.element_at(F.array(
+    line = F.concat_ws(",", "name", quoted("col_type"), quoted("d"))
+    spelling = F.element_at(F.array(
         F.lit("column_name,data_type,description"), F.lit("Column,Type,Description"),
-        F.lit("COLUMN_NAME,DATA_TYPE,COMMENT")), F.pmod("table_idx", F.lit(3)) + 1)
-    docs = rows.withColumn("d", desc).groupBy("t", "table_idx").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("col_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+        F.lit("COLUMN_NAME,DATA_TYPE,COMMENT")), F.pmod(F.length("t"), F.lit(3)) + 1)
+    docs = rows.withColumn("d", desc).groupBy(F.col("db_id").alias("t")).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("table_idx", "col_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     path = fresh_path(spark, "descriptions")
-    docs.select("t", F.concat(header, F.lit("\n"), "body", F.lit("\n,NUMBER,no name\n")).alias("value")).repartition(
+    docs.select("t", F.concat(spelling, F.lit("\n"), "body", F.lit("\n,NUMBER,no name\n")).alias("value")).repartition(
         F.col("t")).write.partitionBy("t").text(path)
     return cat.description_text(cat.read_descriptions(spark, path, pattern="*.txt", folder_key="t"))
 

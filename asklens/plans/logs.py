@@ -1 +1,215 @@
+"""Query-log queries: templates, tokens, lineage, training pairs, edit-distance neighbours."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from asklens.operators import compare, log, prompts, responses, schema, similarity
+from asklens.plans import query, rounded
+from asklens.views import stored_catalog, table, view
+
+# The check's own way: tokens as rows, neighbours by window, names by the stored columns.
+_TOKENS = r"""
+d AS (SELECT DISTINCT db_id, qid, sql FROM v_query_log),
+t AS (SELECT db_id, qid, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM (
+        SELECT db_id, qid, regexp_extract_all(sql, '''[^'']*''|[A-Za-z_]+|[0-9]+|[^ ]') AS toks FROM d)),
+w AS (SELECT *, lag(tok) OVER o AS before, lag(tok, 2) OVER o AS before2, lead(tok) OVER o AS after FROM t
+      WINDOW o AS (PARTITION BY db_id, qid ORDER BY i)),
+cols AS (SELECT DISTINCT col_name FROM v_stored),
+r AS (SELECT w.*, CASE WHEN tok[1] IN ('''', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') THEN '[VALUE]'
+                  WHEN before IN ('FROM', 'JOIN') AND tok <> '(' THEN '[TABLE]'
+                  WHEN c.col_name IS NOT NULL THEN '[COLUMN]' ELSE tok END AS shown
+      FROM w LEFT JOIN cols c ON c.col_name = w.tok)"""
+_SKELETONS = _TOKENS + r""",
+k AS (SELECT db_id, qid, string_agg(CASE WHEN i = 1 OR tok IN (',', ')', '.') OR before IN ('(', '.')
+                OR (tok = '(' AND before IN ('COUNT', 'SUM', 'AVG')) THEN '' ELSE ' ' END || shown, '' ORDER BY i) AS skeleton
+      FROM r GROUP BY db_id, qid)"""
+
+
+@query("f6_sql_skeletons", f"WITH {_SKELETONS.strip()} SELECT db_id, qid, skeleton, true AS parsable FROM k")
+def f6(spark, sf):
+    rows = log.sql_skeletons(view(spark, sf, "v_query_log"), stored_catalog(spark, sf))
+    return rows.select("db_id", "qid", "skeleton", "parsable")
+
+
+@query("f6_sql_skeletons_unparsable", """
+SELECT example_id, sql NOT LIKE 'no idea%' AS parsable, CASE WHEN sql LIKE 'no idea%' THEN sql ELSE
+       'SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE] AND [COLUMN] = [VALUE]' END AS skeleton FROM v_log_examples
+""")
+def f6_examples(spark, sf):
+    rows = log.sql_skeletons(view(spark, sf, "v_log_examples"), stored_catalog(spark, sf))
+    return rows.select("example_id", "skeleton", "parsable")
+
+
+_COMPAT = "'(?i)" + "|".join(log.COMPAT_TOKENS).replace("'", "''") + "'"
+
+
+@query("f7_token_frequencies", f"""
+WITH {_SKELETONS.strip()},
+x AS (SELECT qid, db_id, unnest(list_transform(regexp_extract_all(skeleton, {_COMPAT}), lambda y: upper(y))) AS token FROM k)
+SELECT token, count(*) AS n, count(DISTINCT db_id || qid) AS n_skeletons FROM x GROUP BY token
+""")
+def f7(spark, sf):
+    return log.token_frequencies(f6(spark, sf))
+
+
+@query("f7_skeleton_tokens", f"""
+WITH {_SKELETONS.strip()},
+x AS (SELECT db_id || ':' || qid AS key, list_transform(regexp_extract_all(skeleton, {_COMPAT}), lambda y: upper(y)) AS l FROM k)
+SELECT key, cast(unnest(range(0, len(l))) AS int) AS pos, unnest(l) AS token FROM x
+""")
+def f7_tokens(spark, sf):
+    rows = f6(spark, sf).withColumn("key", F.concat_ws(":", "db_id", "qid"))
+    return log.skeleton_tokens(rows, key="key")
+
+
+@query("a14_template_counts", f"""
+WITH {_SKELETONS.strip()}
+SELECT k.db_id, k.skeleton, cast(sum(l.n) AS bigint) AS n, min(l.sql) AS sample_sql
+FROM k JOIN v_query_log l ON l.db_id = k.db_id AND l.qid = k.qid GROUP BY k.db_id, k.skeleton
+""")
+def a14(spark, sf):
+    return log.template_counts(view(spark, sf, "v_query_log"), stored_catalog(spark, sf), weight="n")
+
+
+_LINEAGE = _TOKENS + r""",
+tables AS (SELECT DISTINCT db_id, qid, tok AS name FROM r WHERE shown = '[TABLE]'),
+aliases AS (SELECT db_id, qid, CASE WHEN after = 'AS' THEN (CASE tok WHEN 'lineitem' THEN 'l' ELSE 'o' END) ELSE tok END AS alias,
+                   tok AS name FROM r WHERE shown = '[TABLE]'),
+sizes AS (SELECT db_id, qid, count(DISTINCT alias) AS n, max(name) AS name FROM aliases GROUP BY db_id, qid),
+refs AS (SELECT db_id, qid, tok AS col, CASE WHEN before = '.' THEN before2 END AS owner FROM r WHERE shown = '[COLUMN]'),
+columns AS (SELECT DISTINCT c.db_id, c.qid, CASE WHEN owner IS NULL THEN CASE WHEN s.n = 1 THEN s.name ELSE '?' END
+                   ELSE coalesce(a.name, owner) END || '.' || col AS item
+            FROM refs c JOIN sizes s ON s.db_id = c.db_id AND s.qid = c.qid
+            LEFT JOIN aliases a ON a.db_id = c.db_id AND a.qid = c.qid AND a.alias = c.owner),
+lineage AS (SELECT db_id, qid, 'table' AS kind, name AS item FROM tables UNION ALL SELECT db_id, qid, 'column', item FROM columns)"""
+
+
+@query("j4_query_lineage", f"WITH {_LINEAGE.strip()} SELECT * FROM lineage")
+def j4(spark, sf):
+    return log.query_lineage(view(spark, sf, "v_query_log"), stored_catalog(spark, sf))[0]
+
+
+@query("j4_lineage_quarantine", """
+SELECT db_id, example_id, sql, 'not a complete SQL statement' AS reason FROM v_log_examples WHERE sql LIKE 'no idea%'
+""")
+def j4_quarantine(spark, sf):
+    return log.query_lineage(view(spark, sf, "v_log_examples"), stored_catalog(spark, sf), key="example_id")[1]
+
+
+_QUESTION = "'What does statement ' || qid || ' of \"' || db_id || '\" return, asked for in more than eighty characters?'"
+_PAIR_CHECK = f"""
+WITH {_LINEAGE.strip()},
+lines AS (SELECT db_id, table_idx, table_name || '(' || string_agg(col_name, ', ' ORDER BY col_idx) || ')' AS line
+          FROM v_stored GROUP BY db_id, table_idx, table_name),
+texts AS (SELECT db_id, string_agg(line, chr(10) ORDER BY table_idx) AS schema_text FROM lines GROUP BY db_id),
+q AS (SELECT db_id, qid, {_QUESTION} AS question FROM v_query_log),
+parts AS (SELECT l.db_id, l.qid, kind, string_agg('{{"name": ' || cast(to_json(item) AS string) || ', "reason": '
+            || cast(to_json(CASE kind WHEN 'table' THEN 'Used in the query to answer the question: '
+                                      ELSE 'Referenced in the query to answer: ' END || substring(question, 1, 80)) AS string) || '}}', ', ' ORDER BY item) AS list
+          FROM lineage l JOIN q ON q.db_id = l.db_id AND q.qid = l.qid GROUP BY l.db_id, l.qid, kind)
+SELECT q.db_id || ':' || q.qid AS example_id, q.db_id,
+  md5({{input}}) AS input_md5,
+  '{{"tables": [' || coalesce(a.list, '') || '], "columns": [' || coalesce(b.list, '') || ']}}' AS output
+FROM q JOIN texts ON texts.db_id = q.db_id
+LEFT JOIN parts a ON a.db_id = q.db_id AND a.qid = q.qid AND a.kind = 'table'
+LEFT JOIN parts b ON b.db_id = q.db_id AND b.qid = q.qid AND b.kind = 'column'
+"""
+
+
+def sql_text(template: str, **fields: str) -> str:
+    """A template as an SQL expression over the given expressions, for the checks."""
+    out = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for name, expression in fields.items():
+        out = out.replace("{" + name + "}", f"' || {expression} || '")
+    return out
+
+
+@query("a2_training_pairs", _PAIR_CHECK.replace("{{input}}", "{input}").replace("{input}", sql_text(
+    prompts.LINKING_TEMPLATE, schema_text="schema_text", question="question")))
+def a2(spark, sf):
+    rows = view(spark, sf, "v_query_log").withColumn("example_id", F.concat_ws(":", "db_id", "qid"))
+    asked = rows.select("example_id", "db_id", "sql", F.concat(
+        F.lit("What does statement "), "qid", F.lit(' of "'), "db_id",
+        F.lit('" return, asked for in more than eighty characters?')).alias("question"))
+    stored = stored_catalog(spark, sf)
+    lineage, _ = log.query_lineage(asked, stored, key="example_id")
+    pairs = prompts.training_pairs(asked, lineage.drop("db_id"), schema.schema_text(stored))
+    return pairs.select("example_id", "db_id", F.md5("input").alias("input_md5"), "output")
+
+
+# Tokens as one ASCII character each, so that the engine's byte-wise distance counts tokens.
+@query("w5_edit_top_n", f"""
+WITH {_SKELETONS.strip()},
+s AS (SELECT DISTINCT skeleton FROM k),
+x AS (SELECT skeleton, list_transform(regexp_extract_all(skeleton, {_COMPAT}), lambda y: upper(y)) AS l FROM s),
+vocabulary AS (SELECT token, chr(cast(32 + row_number() OVER (ORDER BY token) AS int)) AS c FROM (SELECT DISTINCT unnest(l) AS token FROM x)),
+flat AS (SELECT skeleton, unnest(l) AS token, unnest(range(0, len(l))) AS i FROM x),
+coded AS (SELECT skeleton, string_agg(c, '' ORDER BY i) AS code FROM flat JOIN vocabulary USING (token) GROUP BY skeleton),
+templates AS (SELECT DISTINCT db_id || ' ' || skeleton AS id, skeleton FROM k),
+scored AS (SELECT a.skeleton AS asked, t.id, 1 - levenshtein(a.code, b.code) / greatest(length(a.code), length(b.code)) AS score
+           FROM coded a, coded b JOIN templates t ON t.skeleton = b.skeleton),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) AS rank FROM scored)
+SELECT k.db_id || ':' || k.qid AS query_id, r.id, round(r.score, 6) AS score, cast(r.rank AS int) AS rank
+FROM k JOIN ranked r ON r.asked = k.skeleton WHERE r.rank <= 12
+""")
+def w5(spark, sf):
+    asked = f6(spark, sf).select(F.concat_ws(":", "db_id", "qid").alias("query_id"), "skeleton")
+    templates = a14(spark, sf).select(F.concat_ws(" ", "db_id", "skeleton").alias("id"), "skeleton")
+    return rounded(similarity.edit_top_n(asked, templates, 12))
+
+
+_TRUTH = """
+truth AS (SELECT o_orderkey AS note_id, 'table' AS kind, 'orders' AS item FROM orders
+          UNION ALL SELECT o_orderkey, 'table', 'customer' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 1000
+          UNION ALL SELECT o_orderkey, 'column', 'orders.o_orderkey' FROM orders
+          UNION ALL SELECT o_orderkey, 'column', 'orders.o_totalprice' FROM orders WHERE o_totalprice > 200000)"""
+_PREDICTED = """
+base AS (SELECT o_orderkey AS note_id, o_orderpriority AS p, c_acctbal > 3000 AS both_tables, lower(c_mktsegment) AS seg
+         FROM orders JOIN customer ON c_custkey = o_custkey),
+predicted AS (SELECT note_id, 'table' AS kind, 'orders' AS item FROM base
+  UNION ALL SELECT note_id, 'table', 'customer' FROM base WHERE both_tables
+  UNION ALL SELECT note_id, 'column', 'nation.n_name' FROM base WHERE p = '2-HIGH'
+  UNION ALL SELECT note_id, 'column', 'orders.o_totalprice' FROM base WHERE p = '1-URGENT'
+  UNION ALL SELECT note_id, 'column', unnest(['orders.o_orderkey', 'orders.o_custkey']) FROM base WHERE p NOT IN ('1-URGENT', '2-HIGH')
+  UNION ALL SELECT note_id, 'column', unnest(['customer.c_custkey', 'customer.' || seg]) FROM base WHERE both_tables AND p <> '2-HIGH')"""
+_SCORES = f"""
+WITH {_TRUTH.strip()}, {_PREDICTED.strip()},
+m AS (SELECT coalesce(p.note_id, t.note_id) AS note_id, coalesce(p.kind, t.kind) AS kind, p.item IS NOT NULL AS p, t.item IS NOT NULL AS t
+      FROM predicted p FULL OUTER JOIN truth t ON t.note_id = p.note_id AND t.kind = p.kind AND t.item = p.item),
+c AS (SELECT note_id, kind, count(*) FILTER (p) AS n_predicted, count(*) FILTER (t) AS n_true, count(*) FILTER (p AND t) AS n_hit
+      FROM m GROUP BY note_id, kind)"""
+_F1 = """round(n_hit / greatest(n_predicted, 1), 6) AS precision, round(n_hit / greatest(n_true, 1), 6) AS recall,
+round(2 * n_hit / greatest(n_predicted + n_true, 1), 6) AS f1"""
+
+
+def _scores(spark, sf):
+    notes = responses.notes_struct(view(spark, sf, "v_notes"), "text")
+    columns = notes.select("note_id", F.explode_outer("columns").alias("t", "cs")).select(
+        "note_id", F.lit("column").alias("kind"), F.explode_outer("cs").alias("c"), "t").where("c IS NOT NULL").select(
+        "note_id", "kind", F.concat_ws(".", "t", "c").alias("item"))
+    predicted = notes.select("note_id", F.lit("table").alias("kind"), F.explode_outer("tables").alias("item")).where("item IS NOT NULL").unionByName(columns)
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+
+    def item(kind, name, condition="true"):
+        return F.when(F.expr(condition), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("item")))
+
+    truth = orders.select(F.col("o_orderkey").alias("note_id"), F.explode(F.array(
+        item("table", "orders"), item("table", "customer", "c_acctbal > 1000"), item("column", "orders.o_orderkey"),
+        item("column", "orders.o_totalprice", "o_totalprice > 200000"))).alias("x")).where(
+        F.col("x").isNotNull()).select("note_id", "x.kind", "x.item")
+    return compare.linking_scores(predicted, truth, key="note_id")
+
+
+@query("j7_linking_scores", f"{_SCORES} SELECT note_id, kind, n_predicted, n_true, n_hit, {_F1} FROM c")
+def j7(spark, sf):
+    return rounded(_scores(spark, sf))
+
+
+@query("j7_linking_scores_overall", f"""{_SCORES},
+o AS (SELECT kind, cast(sum(n_predicted) AS bigint) AS n_predicted, cast(sum(n_true) AS bigint) AS n_true, cast(sum(n_hit) AS bigint) AS n_hit
+      FROM c GROUP BY kind)
+SELECT kind, n_predicted, n_true, n_hit, {_F1} FROM o
+""")
+def j7_overall(spark, sf):
+    return rounded(compare.linking_scores_overall(_scores(spark, sf)))

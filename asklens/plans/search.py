@@ -1 +1,129 @@
+"""Similarity queries over the stored vectors and scored candidates."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asklens.operators import masking, prompts, similarity
+from asklens.plans import query, rounded
+from asklens.session import fresh_path, written
+from asklens.sources import corpus_store
+from asklens.views import stored_catalog, table, view
+
+N = 5
+CELLS, PROBES = 10, 3
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector asks for its neighbours among all vectors."""
+    return corpus(spark, sf).withColumnRenamed("id", "query_id")
+
+
+@query("w1_top_n", """
+SELECT query_id, id, score, rank FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS int) AS rank FROM v_scored) WHERE rank <= 5
+""")
+def w1(spark, sf):
+    return similarity.top_n(view(spark, sf, "v_scored"), N)
+
+
+_PAIRS = """
+v AS (SELECT vec_id AS id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.id AS query_id, b.id, a.e AS x, b.e AS y FROM v a, v b)"""
+_COSINE = "least(greatest(list_cosine_similarity(x, y), 0), 1)"
+COSINE_CHECK = f"""
+WITH {_PAIRS.strip()}, s AS (SELECT query_id, id, {_COSINE} AS score FROM p),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS int) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= {N}
+"""
+KNN_CHECK = f"""
+WITH {_PAIRS.strip()}, s AS (SELECT query_id, id, list_distance(x, y) ** 2 AS d FROM p),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS int) AS rank FROM s)
+SELECT query_id, id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score, rank FROM r WHERE rank <= {N}
+"""
+
+
+@query("j5_cosine_join", COSINE_CHECK)
+def j5(spark, sf):
+    return rounded(similarity.cosine_join(asked(spark, sf), corpus(spark, sf), N))
+
+
+@query("j5_cosine_of_pairs", f"""
+WITH {_PAIRS.strip()} SELECT query_id, id, round({_COSINE}, 6) AS score FROM p WHERE id = query_id + 1
+""")
+def j5_pairs(spark, sf):
+    left = asked(spark, sf).select("query_id", F.col("embedding").alias("a"), (F.col("query_id") + 1).alias("id"))
+    right = corpus(spark, sf).withColumnRenamed("embedding", "b")
+    scored = similarity.cosine_of_pairs(left.join(right, "id"))
+    return rounded(scored.select("query_id", "id", "score"))
+
+
+@query("w2_knn_exact", KNN_CHECK)
+def w2(spark, sf):
+    return rounded(similarity.knn_exact(asked(spark, sf), corpus(spark, sf), N))
+
+
+@query("w2_knn_exact_pruned", KNN_CHECK)
+def w2_pruned(spark, sf):
+    return rounded(similarity.knn_exact(asked(spark, sf), corpus(spark, sf), N, cells=12))
+
+
+def _stored_cells(spark, sf):
+    """A corpus stored by cell, and the centres that route to it."""
+    rows = corpus(spark, sf)
+    centres = similarity.train_cells(rows, CELLS)
+    path = fresh_path(spark, "vectors")
+    corpus_store.write_index(similarity.assign_cells(rows, centres), path)
+    return corpus_store.read_index(spark, path), centres
+
+
+@query("w3_knn_cells")
+def w3(spark, sf):
+    stored, centres = _stored_cells(spark, sf)
+    return rounded(similarity.knn_cells(asked(spark, sf), stored, N, centres, PROBES))
+
+
+@query("w3_recall")
+def w3_recall(spark, sf):
+    stored, centres = _stored_cells(spark, sf)
+    found = similarity.knn_cells(asked(spark, sf), stored, N, centres, PROBES)
+    return rounded(similarity.recall(found, similarity.knn_exact(asked(spark, sf), corpus(spark, sf), N)))
+
+
+@query("w4_knn_lsh")
+def w4(spark, sf):
+    return rounded(similarity.knn_lsh(asked(spark, sf), corpus(spark, sf), N, bucket_length=0.5, tables=6))
+
+
+@query("s10_index_round_trip", """
+SELECT vec_id AS id, label AS cell, len(embedding) AS dim, round(list_sum(cast(embedding AS DOUBLE[])), 6) AS total FROM embeddings
+""")
+def s10(spark, sf):
+    path = fresh_path(spark, "index")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cell"))
+    corpus_store.write_index(rows, path, files_per_cell=2)
+    back = corpus_store.read_index(spark, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return rounded(back.select("id", "cell", F.size("embedding").alias("dim"), total.alias("total")))
+
+
+@query("f9_text_vectors")
+def f9(spark, sf):
+    masked = masking.question_skeletons(view(spark, sf, "v_examples"), stored_catalog(spark, sf))
+    return masking.text_vectors(masked.select("example_id", "question_skeleton"), "question_skeleton")
+
+
+@query("w2_similar_questions")
+def similar_questions(spark, sf):
+    """Question templates to vectors to neighbours to few-shot blocks, all questions at once."""
+    examples = view(spark, sf, "v_examples")
+    masked = masking.question_skeletons(examples, view(spark, sf, "v_catalog"))
+    vectors = written(masking.text_vectors(masked, "question_skeleton").select("example_id", "embedding"), "vectors")
+    hits = similarity.knn_exact(
+        vectors.withColumnRenamed("example_id", "query_id"), vectors.withColumnRenamed("example_id", "id"), 3)
+    return prompts.fewshot_context(hits, examples.select("example_id", "question", "sql"))

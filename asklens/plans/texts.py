@@ -1 +1,276 @@
+"""Generated texts, notes, question templates, prompts and batched scoring."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from asklens.functions.batch_score import batch_score
+from asklens.operators import masking, prompts, responses
+from asklens.plans import joined, query
+from asklens.plans.logs import sql_text
+from asklens.views import stored_catalog, table, view
+
+# The cleaning steps in the checking engine's functions, one expression per step.
+_F = "'```'"
+
+
+def _clean_check(limit: int | None, keep_blank: bool) -> str:
+    keep = "true" if keep_blank else "x <> ''"
+    cut = "c6" if limit is None else (
+        f"CASE WHEN length(c6) > {limit} THEN rtrim(substring(c6, 1, {limit})) || CASE WHEN "
+        f"substring(c6, 1, {limit}) LIKE '%;%' THEN '' ELSE ';' END ELSE c6 END")
+    return rf"""
+a1 AS (SELECT answer_id, regexp_replace(coalesce(answer, ''), '^\s+|\s+$', '', 'g') AS c1 FROM v_answers),
+a2 AS (SELECT answer_id, regexp_replace(c1, '^(SQL:|SQLite:|Query:|Answer:)\s*', '', 'i') AS c2 FROM a1),
+a3 AS (SELECT answer_id, CASE WHEN starts_with(c2, {_F} || 'sql') THEN substring(c2, 7) WHEN starts_with(c2, {_F}) THEN substring(c2, 4) ELSE c2 END AS c3 FROM a2),
+a4 AS (SELECT answer_id, regexp_replace(CASE WHEN ends_with(c3, {_F}) THEN substring(c3, 1, length(c3) - 3) ELSE c3 END, '^\s+|\s+$', '', 'g') AS c4 FROM a3),
+a5 AS (SELECT answer_id, trim(array_to_string(list_filter(list_transform(string_split(c4, chr(10)), lambda x: trim(x)),
+         lambda x: {keep} AND (contains(upper(x), 'SELECT') OR contains(upper(x), 'WITH') OR NOT (starts_with(x, '#') OR starts_with(x, '--')))), ' ')) AS c5 FROM a4),
+p5 AS (SELECT answer_id, c5, instr(upper(c5), 'SELECT') AS s, instr(upper(c5), 'WITH') AS w FROM a5),
+a6 AS (SELECT answer_id, CASE WHEN s > 0 AND (w = 0 OR s < w) THEN substring(c5, s) WHEN w > 0 THEN substring(c5, w) ELSE c5 END AS c FROM p5),
+a7 AS (SELECT answer_id, CASE WHEN contains(c, ';') THEN split_part(c, ';', 1) || ';' ELSE c END AS c6 FROM a6),
+a8 AS (SELECT answer_id, {cut} AS c7 FROM a7),
+cleaned AS (SELECT answer_id, CASE WHEN upper(c7) IN ('SELECT ...', 'SELECT ...;', 'SELECT ???', 'SELECT ???;', 'WITH ...', 'WITH ...;')
+            THEN '' ELSE trim(c7) END AS clean_sql FROM a8),
+judged AS (SELECT *, CASE WHEN clean_sql = '' THEN 'Empty SQL after cleanup' WHEN NOT (starts_with(upper(clean_sql), 'SELECT')
+            OR starts_with(upper(clean_sql), 'WITH')) THEN 'SQL must start with SELECT or WITH' END AS reason FROM cleaned)"""
+
+
+_NEW, _OLD = _clean_check(4000, False).strip(), _clean_check(None, True).strip()
+
+
+@query("f1_clean_answers", f"WITH {_NEW} SELECT answer_id, clean_sql, reason FROM judged")
+def f1(spark, sf):
+    return responses.clean_answers(view(spark, sf, "v_answers"), "answer").select("answer_id", "clean_sql", "reason")
+
+
+@query("f1_clean_answers_uncapped", f"WITH {_OLD} SELECT answer_id, clean_sql, reason FROM judged")
+def f1_old(spark, sf):
+    rows = responses.clean_answers(view(spark, sf, "v_answers"), "answer", limit=None, keep_blank=True)
+    return rows.select("answer_id", "clean_sql", "reason")
+
+
+@query("f1_reason_counts", f"WITH {_NEW} SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM judged GROUP BY 1")
+def f1_counts(spark, sf):
+    return responses.reason_counts(f1(spark, sf))
+
+
+@query("p2_validate_answers", f"""
+WITH {_NEW} SELECT answer_id, CASE WHEN reason IS NULL THEN clean_sql ELSE '' END AS sql, reason IS NULL AS valid,
+reason AS validation_error FROM judged
+""")
+def p2(spark, sf):
+    return responses.validate_answers(view(spark, sf, "v_answers"), "answer").drop("answer")
+
+
+_SECOND = """CASE length(answer) % 3 WHEN 0 THEN 'cannot say' WHEN 1 THEN '' ELSE 'SELECT 2;' END"""
+
+
+@query("p3_choose_answer", f"""
+WITH {_NEW},
+b AS (SELECT v.answer_id, coalesce(answer, '') AS raw, CASE WHEN reason IS NULL THEN clean_sql ELSE '' END AS ok1,
+             CASE WHEN length(answer) % 3 = 2 THEN 'SELECT 2;' ELSE '' END AS ok2, length(answer) % 5 = 0 AS quiet
+      FROM v_answers v JOIN judged j ON j.answer_id = v.answer_id),
+f AS (SELECT *, coalesce(nullif(ok2, ''), nullif(ok1, ''), raw) AS pick FROM b),
+g AS (SELECT f.*, ok2 <> '' OR ok1 <> '' AS valid FROM f)
+SELECT g.answer_id, pick AS final_sql, CASE WHEN quiet OR quiet IS NULL THEN 'first' ELSE 'second' END AS final_reasoning,
+       valid AS final_valid, CASE WHEN NOT valid THEN j.reason END AS final_validation_error
+FROM g JOIN judged j ON j.answer_id = g.answer_id
+""")
+def p3(spark, sf):
+    answers = view(spark, sf, "v_answers")
+    first = answers.select("answer_id", F.col("answer").alias("sql"), F.lit("first").alias("reasoning"))
+    second = answers.where("answer IS NOT NULL").select(
+        "answer_id", F.expr(_SECOND).alias("sql"),
+        F.when(F.length("answer") % 5 == 0, "").otherwise("second").alias("reasoning"))
+    return responses.choose_answer(first, second, key="answer_id")
+
+
+_OBJECT = T.StructType([T.StructField("k", T.IntegerType())])
+_HAS_OBJECT = r"regexp_extract(response, '\{[^{}]*\}')"
+
+
+@query("f2_extract_json", rf"""
+SELECT id, cast(json_extract({_HAS_OBJECT}, '$.k') AS int) AS k FROM v_responses WHERE {_HAS_OBJECT} <> ''
+""")
+def f2(spark, sf):
+    return responses.extract_json(view(spark, sf, "v_responses"), "response", _OBJECT)[0]
+
+
+@query("f2_extract_json_greedy", rf"""
+SELECT id, cast(json_extract(regexp_extract(response, '(?s)\{{.*\}}'), '$.k') AS int) AS k
+FROM v_responses WHERE json_valid(nullif(regexp_extract(response, '(?s)\{{.*\}}'), ''))
+""")
+def f2_greedy(spark, sf):
+    return responses.extract_json(view(spark, sf, "v_responses"), "response", _OBJECT, mode="greedy")[0]
+
+
+@query("f2_quarantine", rf"""
+SELECT id, 'JSON parsing failed' AS error, response AS raw_response FROM v_responses WHERE {_HAS_OBJECT} = ''
+""")
+def f2_bad(spark, sf):
+    return responses.extract_json(view(spark, sf, "v_responses"), "response", _OBJECT)[1]
+
+
+# Notes the check's way: lines as rows, runs of headings by windows.
+_NOTES = r"""
+l0 AS (SELECT note_id, string_split(text, chr(10)) AS ls FROM v_notes),
+l1 AS (SELECT note_id, trim(unnest(ls)) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l0),
+l2 AS (SELECT * FROM l1 WHERE line <> '' AND NOT starts_with(line, '```')),
+l3 AS (SELECT *, CASE WHEN ends_with(line, ':') THEN lower(trim(left(line, length(line) - 1))) END AS head FROM l2),
+l4 AS (SELECT *, last_value(head IGNORE NULLS) OVER o AS cur, max(CASE WHEN head IS NOT NULL THEN i END) OVER o AS head_i FROM l3
+       WINDOW o AS (PARTITION BY note_id ORDER BY i)),
+h AS (SELECT note_id, head, i, lag(head) OVER (PARTITION BY note_id ORDER BY i) AS before FROM l3 WHERE head IS NOT NULL),
+runs AS (SELECT *, sum(CASE WHEN before = head THEN 0 ELSE 1 END) OVER (PARTITION BY note_id ORDER BY i) AS run FROM h),
+firsts AS (SELECT note_id, head, min(run) AS run FROM runs GROUP BY note_id, head),
+live AS (SELECT r.note_id, r.head, max(r.i) AS i FROM runs r JOIN firsts f ON f.note_id = r.note_id AND f.head = r.head AND f.run = r.run
+         GROUP BY r.note_id, r.head),
+raw AS (SELECT l4.note_id, cur, i, trim(CASE WHEN starts_with(line, '-') THEN substring(line, 2) ELSE line END) AS item
+        FROM l4 WHERE head IS NULL AND EXISTS (SELECT 1 FROM live WHERE live.note_id = l4.note_id AND live.head = l4.cur AND live.i = l4.head_i)),
+items AS (SELECT note_id, CASE cur WHEN 'relevant tables' THEN 'tables' WHEN 'relevant columns' THEN 'columns' WHEN 'join relationships' THEN 'joins'
+               WHEN 'filters / constraints' THEN 'filters' WHEN 'question intent' THEN 'intent' END AS section, i, item FROM raw WHERE item <> ''),
+long AS (SELECT note_id, section, cast(row_number() OVER (PARTITION BY note_id, section ORDER BY i) - 1 AS int) AS pos, item
+         FROM items WHERE section IS NOT NULL)"""
+
+
+@query("f3_notes_long", f"WITH {_NOTES.strip()} SELECT note_id, section, pos, item FROM long")
+def f3_long(spark, sf):
+    return responses.notes_long(view(spark, sf, "v_notes"), "text")
+
+
+@query("f3_notes_struct", f"""
+WITH {_NOTES.strip()},
+c0 AS (SELECT note_id, pos, trim(split_part(item, ':', 1)) AS k, list_filter(list_transform(string_split(substring(item, instr(item, ':') + 1), ','),
+         lambda x: trim(x)), lambda x: x <> '') AS v FROM long WHERE section = 'columns' AND contains(item, ':')),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY note_id, k ORDER BY pos DESC) AS r FROM c0 WHERE k <> '' AND len(v) > 0),
+c AS (SELECT note_id, string_agg(k || '=' || array_to_string(v, ','), ';' ORDER BY k) AS columns FROM c1 WHERE r = 1 GROUP BY note_id),
+s AS (SELECT note_id, string_agg(item, '|' ORDER BY pos) FILTER (section = 'tables') AS tables,
+             string_agg(item, '|' ORDER BY pos) FILTER (section = 'joins') AS joins,
+             string_agg(item, '|' ORDER BY pos) FILTER (section = 'filters') AS filters,
+             max(item) FILTER (section = 'intent' AND pos = 0) AS intent FROM long GROUP BY note_id)
+SELECT n.note_id, coalesce(tables, '') AS tables, coalesce(columns, '') AS columns, coalesce(joins, '') AS joins,
+       coalesce(filters, '') AS filters, coalesce(intent, '') AS intent
+FROM v_notes n LEFT JOIN s ON s.note_id = n.note_id LEFT JOIN c ON c.note_id = n.note_id
+""")
+def f3(spark, sf):
+    rows = responses.notes_struct(view(spark, sf, "v_notes"), "text")
+    columns = F.transform(F.array_sort(F.map_entries("columns")), lambda e: F.concat(
+        e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return rows.select("note_id", joined("tables").alias("tables"), joined(columns, ";").alias("columns"),
+                       joined("joins").alias("joins"), joined("filters").alias("filters"), "intent")
+
+
+def _masking_check(source: str, names: str) -> str:
+    """Pieces as rows, word frequencies by group, names by membership in the database's catalog."""
+    return rf"""
+WITH e AS (SELECT example_id, db_id, regexp_extract_all(question,
+             '(?s)"[^"]*"|''[^'']*''|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}_](?:[\p{{L}}\p{{N}}_]|''|’|-)*|\s+|.') AS ps FROM {source}),
+p AS (SELECT example_id, db_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM e),
+w AS (SELECT *, CASE WHEN regexp_matches(p, '^[\p{{L}}_]') THEN lower(p) END AS w FROM p),
+df AS (SELECT w, count(DISTINCT example_id) AS df FROM w WHERE w IS NOT NULL GROUP BY w),
+t AS (SELECT DISTINCT db_id, lower(table_name) AS w FROM {names}), c AS (SELECT DISTINCT db_id, lower(col_name) AS w FROM {names}),
+m AS (SELECT w.example_id, w.i, CASE WHEN regexp_matches(p, '^([0-9]|"|''.)') THEN '[VALUE]' WHEN t.w IS NOT NULL THEN '[ENTITY]'
+        WHEN c.w IS NOT NULL THEN '[ATTRIBUTE]' WHEN df.df < 2 THEN '[ENTITY]' ELSE p END AS s
+      FROM w LEFT JOIN df ON df.w = w.w LEFT JOIN t ON t.db_id = w.db_id AND t.w = w.w LEFT JOIN c ON c.db_id = w.db_id AND c.w = w.w)
+SELECT e.example_id, coalesce(trim(regexp_replace(string_agg(s, '' ORDER BY i), '\s+', ' ', 'g')), '') AS question_skeleton
+FROM e LEFT JOIN m ON m.example_id = e.example_id GROUP BY e.example_id
+"""
+
+
+@query("f8_question_skeletons", _masking_check(
+    "(SELECT min(example_id) AS example_id, question, db_id FROM v_log_examples GROUP BY question, db_id)", "v_stored"))
+def f8(spark, sf):
+    ex = view(spark, sf, "v_log_examples").groupBy("question", "db_id").agg(F.min("example_id").alias("example_id"))
+    return masking.question_skeletons(ex, stored_catalog(spark, sf)).select("example_id", "question_skeleton")
+
+
+@query("f8_question_skeletons_prose", _masking_check("v_examples", "v_stored"))
+def f8_prose(spark, sf):
+    return masking.question_skeletons(view(spark, sf, "v_examples"), stored_catalog(spark, sf)).select(
+        "example_id", "question_skeleton")
+
+
+_CONTEXT = """
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM v_scored),
+ctx AS (SELECT b.query_id, string_agg('Question: event ' || e.event_type || chr(10) || 'SQL: SELECT ' || e.props{skeleton},
+          chr(10) || chr(10) ORDER BY r) AS context
+        FROM b JOIN events e ON e.event_id = b.id WHERE r <= 3 GROUP BY b.query_id)"""
+
+
+def _contexts(spark, sf, with_skeleton: bool):
+    from asklens.operators.similarity import top_n
+
+    hits = top_n(view(spark, sf, "v_scored"), 5)
+    events = table(spark, sf, "events").select(
+        F.col("event_id").alias("example_id"), F.concat(F.lit("event "), "event_type").alias("question"),
+        F.concat(F.lit("SELECT "), "props").alias("sql"), F.concat(F.lit("SELECT "), "event_type").alias("skeleton"))
+    questions = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"))
+    return prompts.fewshot_context(hits, events, 3, with_skeleton, questions)
+
+
+@query("w7_fewshot_context", f"""
+WITH {_CONTEXT.format(skeleton="").strip()}
+SELECT c_custkey AS query_id, coalesce(context, '(none provided)') AS context FROM customer LEFT JOIN ctx ON query_id = c_custkey
+""")
+def w7(spark, sf):
+    return _contexts(spark, sf, False)
+
+
+@query("w7_structural_context", f"""
+WITH {_CONTEXT.format(skeleton=" || chr(10) || 'SQL Skeleton: SELECT ' || e.event_type").strip()}
+SELECT c_custkey AS query_id, coalesce(context, '(none provided)') AS context FROM customer LEFT JOIN ctx ON query_id = c_custkey
+""")
+def w7_structural(spark, sf):
+    return _contexts(spark, sf, True)
+
+
+_PROMPT = sql_text(
+    prompts.DRAFT_TEMPLATE, schema_json="coalesce('S' || cast(c_nationkey AS string), '')", question="c_name",
+    evidence="CASE WHEN c_acctbal > 0 THEN 'balance ' || c_mktsegment ELSE '(none provided)' END",
+    context="coalesce(context, '(none provided)')")
+
+
+def _prompts(spark, sf):
+    customers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("question_id"), F.col("c_name").alias("question"), F.col("c_nationkey").alias("db_id"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit("balance "), "c_mktsegment")).otherwise("").alias("evidence"))
+    schemas = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("db_id"), F.concat(F.lit("S"), "n_nationkey").alias("schema_json"))
+    return prompts.prompt_table(customers, schemas, _contexts(spark, sf, False), prompts.DRAFT_TEMPLATE)
+
+
+@query("f10_prompt_table", f"""
+WITH {_CONTEXT.format(skeleton="").strip()}
+SELECT c_custkey AS question_id, {_PROMPT} AS prompt FROM customer LEFT JOIN ctx ON query_id = c_custkey
+""")
+def f10(spark, sf):
+    return _prompts(spark, sf).select("question_id", "prompt")
+
+
+@query("f10_split_prompt", """
+SELECT c_custkey AS question_id, c_name AS question, 'S' || cast(c_nationkey AS string) AS schema_json,
+       CASE WHEN c_acctbal > 0 THEN 'balance ' || c_mktsegment ELSE '(none provided)' END AS evidence FROM customer
+""")
+def f10_split(spark, sf):
+    return prompts.split_prompt(f10(spark, sf), prompts.DRAFT_TEMPLATE, ["question", "schema_json", "evidence"]).drop("prompt")
+
+
+def _stub():
+    """Stands in for a model: answers with the prompt's length and fails on some prompts."""
+    def answer(texts: list[str]) -> list[str]:
+        if any("BUILDING" in t for t in texts):
+            raise ValueError("no BUILDING")
+        return [f"SELECT {len(t)}" for t in texts]
+
+    return answer
+
+
+@query("g1_batch_score", f"""
+WITH {_CONTEXT.format(skeleton="").strip()},
+p AS (SELECT c_custkey AS question_id, {_PROMPT} AS prompt FROM customer LEFT JOIN ctx ON query_id = c_custkey)
+SELECT question_id, CASE WHEN prompt NOT LIKE '%BUILDING%' THEN 'SELECT ' || cast(length(prompt) AS string) END AS response,
+       CASE WHEN prompt LIKE '%BUILDING%' THEN 'no BUILDING' END AS error FROM p
+""")
+def g1(spark, sf):
+    return batch_score(_prompts(spark, sf), _stub)
