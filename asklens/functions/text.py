@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|\n|\r"
 
+# Characters that count as blank at the ends of a text.
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+def strip(c: Column | str) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def stripped_lines(c: Column) -> Column:

@@ -53,7 +53,7 @@ def _bare(t: Column) -> Column:
 # What the quick way of finding literals cannot tell apart from names and comments.
 _NEEDS_TOKENS = r"[\"`\[]|--|/\*"
 _LITERAL = r"'[^']*+(?:''[^']*+)*+'|(?<![\p{L}\p{N}_$.])(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
-_STATEMENT = r"(?i)^[\s(]*+(?:SELECT|WITH|INSERT|UPDATE|DELETE|VALUES)\b"
+_STATEMENT = r"(?is)^[\s(]*+(?:SELECT|WITH|INSERT|UPDATE|DELETE|VALUES)\b[^']*+$"
 
 
 def _with_shapes(log: DataFrame) -> DataFrame:
@@ -67,17 +67,19 @@ def _with_shapes(log: DataFrame) -> DataFrame:
     shape = F.when(sql.rlike(_NEEDS_TOKENS), F.array_join(sql_tokens(sql), " ")).otherwise(quick)
     shaped = log.withColumn("_s", shape)
 
-    def count(mark: str) -> Column:
-        return F.length("_s") - F.length(F.replace("_s", F.lit(mark), F.lit("")))
-
-    parsable = F.col("_s").rlike(_STATEMENT) & (count("(") == count(")")) & ~F.contains("_s", F.lit("'"))
-    return shaped.withColumn("parsable", parsable).withColumn(
-        "_shape", F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))).drop("_s")
+    # Few references to the shape, since a filter on this flag repeats the expression.
+    parsable = F.col("_s").rlike(_STATEMENT) & (
+        F.length(F.translate("_s", "(", "")) == F.length(F.translate("_s", ")", "")))
+    # The last coalesce makes the shape a non-null column: joining on it then adds no null filter,
+    # which would repeat the expression on the scan.
+    own = F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))
+    return shaped.withColumn("parsable", parsable).withColumn("_shape", F.coalesce(own, F.lit(""))).drop("_s")
 
 
 def _distinct_shapes(shaped: DataFrame) -> DataFrame:
     """The distinct (db_id, _shape) of statements: a log of any size has few of them."""
-    return shaped.where("parsable").select("db_id", "_shape").dropDuplicates()
+    # The flag is an aggregate here: a filter on it stays above the aggregation.
+    return shaped.groupBy("db_id", "_shape").agg(F.bool_or("parsable").alias("parsable")).where("parsable").drop("parsable")
 
 
 def _onto(shaped: DataFrame, found: DataFrame) -> DataFrame:
@@ -181,7 +183,8 @@ def template_counts(log: DataFrame, catalog: DataFrame, weight: str | None = Non
     occurrences of a row.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    shapes = _with_shapes(log).groupBy("db_id", "_shape", "parsable").agg(n.alias("_n"), F.min("sql").alias("sql"))
+    shapes = _with_shapes(log).groupBy("db_id", "_shape").agg(
+        n.alias("_n"), F.min("sql").alias("sql"), F.bool_or("parsable").alias("parsable"))
     statements = _classified(shapes.where("parsable"), catalog).withColumn("skeleton", _skeleton())
     kept = ["db_id", "skeleton", "_n", "sql"]
     others = shapes.where(~F.col("parsable")).withColumn("skeleton", F.col("sql"))
@@ -281,7 +284,7 @@ def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple
             owner_of(c), F.lit("."), c["name"]))), lambda t: F.struct(F.lit("column").alias("kind"), t.alias("item"))))
     per_shape = refs.select("db_id", "_shape", items.alias("_items"))
     # explode() would add a size filter that repeats the whole expression below the projections.
-    rows = _onto(shaped.where("parsable").select("db_id", key, "_shape", "parsable"), per_shape).select(
+    rows = _onto(shaped.select("db_id", key, "_shape", "parsable"), per_shape).select(
         "db_id", key, F.explode_outer("_items").alias("i")).where(F.col("i").isNotNull()).select(
         "db_id", key, "i.kind", "i.item")
     bad = shaped.where(~F.col("parsable")).select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asklens.functions.quantile import exact_median
+from asklens.functions.text import strip
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -68,7 +69,7 @@ def sql_variations() -> Column:
     texts = F.concat(
         F.array("round_1_sql", "round_2_sql", "generated_sql", "winner_sql", F.col("selection.selected_sql")),
         alternatives)
-    stripped = F.transform(texts, lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    stripped = F.transform(texts, lambda t: strip(t))
     return F.array_distinct(F.filter(stripped, lambda t: F.length(t) > 0))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asklens.functions.text import LONGEST_SQL, clean_sql, let, strip, stripped_lines
+from asklens.functions.text import LONGEST_SQL, clean_sql, let, strip
 
 EMPTY_ANSWER = "Empty SQL after cleanup"
 WRONG_START = "SQL must start with SELECT or WITH"
@@ -133,40 +135,28 @@ def _note_text(c: Column) -> Column:
     return F.when(text.startswith("```"), strip(inner)).otherwise(text)
 
 
-def _section_items(lines: Column, marks: Column, heading: str) -> Column:
-    """Items of one section: the lines after its heading up to the next other heading.
-
-    ``marks`` are the (place, heading) of all heading lines. A heading repeated before any other
-    one restarts the section; later ones are ignored.
-    """
-    def place(found: Column) -> Column:
-        return F.get(found, F.lit(0))["i"]
+# A line that is no heading, in a text whose lines have no blank ends.
+_BODY = r"(?:[^\n]*+(?<!:)\n)*+"
 
-    def items(last: Column, stop: Column) -> Column:
-        body = F.slice(lines, last + 2, stop - last - 1)
-        return F.filter(F.transform(body, lambda x: strip(F.regexp_replace(x, r"^-", ""))), lambda x: x != "")
 
-    def from_first(first: Column) -> Column:
-        end = F.coalesce(place(F.filter(marks, lambda m: (m["h"] != heading) & (m["i"] > first))), F.size(lines))
-        return let(end, lambda stop: let(
-            F.element_at(F.filter(marks, lambda m: (m["h"] == heading) & (m["i"] < stop)), F.lit(-1))["i"],
-            lambda last: items(last, stop)))
+def _section_items(lines: Column, heading: str) -> Column:
+    """Items of one section: the lines after its heading up to the next other heading.
 
-    own = F.filter(marks, lambda m: m["h"] == heading)
-    return let(place(own), lambda first: F.when(first.isNotNull(), from_first(first)).otherwise(
-        F.array().cast("array<string>")))
+    A heading repeated before any other one restarts the section; later ones are ignored.
+    """
+    head = re.escape(heading) + r"\s*:\n"
+    body = F.regexp_extract(lines, rf"(?i)\n(?:{head}{_BODY})*{head}({_BODY})", 1)
+    items = F.transform(F.split(body, "\n"), lambda x: F.when(
+        x.startswith("-"), strip(F.substring(x, F.lit(2), F.length(x)))).otherwise(x))
+    return F.filter(items, lambda x: x != "")
 
 
 def _sections(notes: DataFrame, col: str) -> DataFrame:
-    lines = F.filter(stripped_lines(F.col("raw_output")), lambda x: x != "")
-    marks = F.filter(
-        F.transform("_lines", lambda x, i: F.when(x.endswith(":"), F.struct(
-            i.alias("i"), F.lower(F.regexp_replace(x, r"\s*:$", "")).alias("h")))),
-        lambda m: m.isNotNull())
-    out = notes.withColumn("raw_output", _note_text(F.col(col))).withColumn("_lines", lines).withColumn("_marks", marks)
+    # Lines without blank ends and without empty ones, each between two line feeds.
+    lines = F.concat(F.lit("\n"), F.regexp_replace("raw_output", r"[^\S\r\n]*+[\r\n]\s*+", "\n"), F.lit("\n"))
+    out = notes.withColumn("raw_output", _note_text(F.col(col))).withColumn("_lines", lines)
     return out.withColumns({
-        name: _section_items(F.col("_lines"), F.col("_marks"), heading)
-        for name, heading in NOTE_SECTIONS.items()}).drop("_lines", "_marks")
+        name: _section_items(F.col("_lines"), heading) for name, heading in NOTE_SECTIONS.items()}).drop("_lines")
 
 
 def notes_struct(notes: DataFrame, col: str, key: str = "note_id") -> DataFrame:
@@ -181,7 +171,7 @@ def notes_struct(notes: DataFrame, col: str, key: str = "note_id") -> DataFrame:
         F.transform(F.filter("columns", lambda x: x.contains(":")), lambda x: F.struct(
             strip(F.substring_index(x, ":", 1)).alias("k"),
             F.filter(
-                F.transform(F.split(F.regexp_replace(x, r"^[^:]*:", ""), ","), lambda c: strip(c)),
+                F.transform(F.split(F.substring(x, F.instr(x, ":") + 1, F.length(x)), ","), lambda c: strip(c)),
                 lambda c: c != "").alias("v"))),
         lambda p: (p["k"] != "") & (F.size(p["v"]) > 0))
     keys = F.array_distinct(F.transform("_p", lambda p: p["k"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asklens.functions.text import stripped_lines
+
 STYLES = ("compact", "typed", "detailed", "listing")
 
 
@@ -50,7 +52,7 @@ def schema_text_rows(texts: DataFrame, key: str = "db_id", col: str = "schema_te
     in parentheses are dropped; a table left without columns keeps one row with NULLs.
     """
     lines = F.filter(
-        F.transform(F.split(F.col(col), r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
+        stripped_lines(F.col(col)),
         lambda x: x.contains("(") & x.endswith(")"))
     tables = texts.select(key, F.posexplode(lines).alias("table_idx", "line")).select(
         key, "table_idx",

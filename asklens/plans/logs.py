@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from asklens.operators import compare, log, prompts, responses, schema, similarity
 from asklens.plans import query, rounded
+from asklens.session import written
 from asklens.views import stored_catalog, table, view
 
 # The check's own way: tokens as rows, neighbours by window, names by the stored columns.
@@ -154,8 +155,8 @@ SELECT k.db_id || ':' || k.qid AS query_id, r.id, round(r.score, 6) AS score, ca
 FROM k JOIN ranked r ON r.asked = k.skeleton WHERE r.rank <= 12
 """)
 def w5(spark, sf):
-    asked = f6(spark, sf).select(F.concat_ws(":", "db_id", "qid").alias("query_id"), "skeleton")
-    templates = a14(spark, sf).select(F.concat_ws(" ", "db_id", "skeleton").alias("id"), "skeleton")
+    asked = written(f6(spark, sf).select(F.concat_ws(":", "db_id", "qid").alias("query_id"), "skeleton"), "asked")
+    templates = written(a14(spark, sf).select(F.concat_ws(" ", "db_id", "skeleton").alias("id"), "skeleton"), "templates")
     return rounded(similarity.edit_top_n(asked, templates, 12))
 
 
