@@ -157,7 +157,7 @@ def _skeleton() -> Column:
         before = F.get("_t", i - 1)
         tight = (
             (i == 0) | x["tok"].isin(",", ")", ".", ";") | before["tok"].isin("(", ".")
-            | ((x["tok"] == "(") & (before["role"] == "function"))
+            | ((x["tok"] == "(") & ((before["role"] == "function") | before["up"].isin("CAST", "EXISTS")))
             | (before["tok"].isin("-", "+") & ~operand(F.get("_t", i - 2))))
         return F.concat(F.when(tight, "").otherwise(" "), shown(x))
 

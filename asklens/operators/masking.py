@@ -35,11 +35,11 @@ def question_skeletons(examples: DataFrame, catalog: DataFrame, min_df: int = 2)
     """
     names = catalog.groupBy("db_id").agg(
         F.collect_set(F.lower("table_name")).alias("_tables"), F.collect_set(F.lower("col_name")).alias("_columns"))
-    cut = examples.withColumn("_p", question_pieces(F.col("question"))).join(names, "db_id", "left")
+    pieces = question_pieces(F.col("question"))
     words = F.array_distinct(F.transform(
-        F.filter("_p", lambda p: p.rlike(r"^[\p{L}_]")), lambda p: F.lower(p)))
+        F.filter(pieces, lambda p: p.rlike(r"^[\p{L}_]")), lambda p: F.lower(p)))
     # A word with its frequency and, as long as it is rare, the examples it occurs in.
-    seen = cut.select("example_id", F.explode_outer(words).alias("w")).where(F.col("w").isNotNull())
+    seen = examples.select("example_id", F.explode_outer(words).alias("w")).where(F.col("w").isNotNull())
     frequency = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     hot = frequency.where(F.col("df") >= max(min_df, HOT_FROM)).orderBy(F.desc("df"), "w").limit(HOT_WORDS)
     few = frequency.where(F.col("df") < min_df).select("w")
@@ -56,9 +56,10 @@ def question_skeletons(examples: DataFrame, catalog: DataFrame, min_df: int = 2)
             .when(F.array_contains(F.coalesce("_rare", none), word), ENTITY)
             .otherwise(p))
 
-    masked = F.regexp_replace(F.array_join(F.transform("_p", shown), ""), r"\s+", " ")
-    return cut.join(rare, "example_id", "left").select(
-        *examples.columns, F.trim(masked).alias("question_skeleton"))
+    # The texts meet the short lists as they are and are cut again here.
+    known = examples.join(rare, "example_id", "left").join(names, "db_id", "left")
+    masked = F.regexp_replace(F.array_join(F.transform(pieces, shown), ""), r"\s+", " ")
+    return known.select(*examples.columns, F.trim(masked).alias("question_skeleton"))
 
 
 def text_vectors(texts: DataFrame, col: str, dim: int = 384) -> DataFrame:

@@ -43,20 +43,24 @@ def validation_report(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, errors
 
 
-def merge_examples(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """All existing rows plus each new (question, sql) that is not among them, the first one by id.
+def _unseen(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Each (question, sql) of ``new`` that ``existing`` lacks, the first one by id.
 
-    Duplicates inside ``existing`` stay. New rows are reduced by an aggregation that combines on
-    the map side, so one text repeated in a third of the rows costs nothing extra; the match
-    against ``existing`` treats NULLs as equal and adaptive execution splits hot keys.
+    New rows are reduced by an aggregation that combines on the map side, so one text repeated in
+    a third of the rows costs nothing extra, and both sides of the match are distinct. NULLs
+    match NULLs.
     """
     rest = [c for c in new.columns if c not in ("question", "sql", "example_id")]
     firsts = new.groupBy("question", "sql").agg(
         F.min(F.struct("example_id", *rest)).alias("r")).select("question", "sql", "r.*")
     seen = existing.select(F.col("question").alias("_q"), F.col("sql").alias("_s")).dropDuplicates()
-    unseen = firsts.join(
+    return firsts.join(
         seen, F.col("question").eqNullSafe(F.col("_q")) & F.col("sql").eqNullSafe(F.col("_s")), "left_anti")
-    return existing.unionByName(unseen, allowMissingColumns=True)
+
+
+def merge_examples(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """All existing rows, duplicates included, plus the unseen ones of ``new``."""
+    return existing.unionByName(_unseen(existing, new), allowMissingColumns=True)
 
 
 def append_examples(index: DataFrame, new: DataFrame, derive) -> DataFrame:
@@ -65,14 +69,8 @@ def append_examples(index: DataFrame, new: DataFrame, derive) -> DataFrame:
     ``derive(df)`` adds the corpus columns (skeleton, vector, cell) and runs on the unseen rows
     only; what is stored is not computed again.
     """
-    base = index.select("example_id", "question", "sql", "db_id")
-    seen = base.select(F.col("question").alias("_q"), F.col("sql").alias("_s")).dropDuplicates()
-    rest = [c for c in new.columns if c not in ("question", "sql", "example_id")]
-    firsts = new.groupBy("question", "sql").agg(
-        F.min(F.struct("example_id", *rest)).alias("r")).select("question", "sql", "r.*")
-    unseen = firsts.join(
-        seen, F.col("question").eqNullSafe(F.col("_q")) & F.col("sql").eqNullSafe(F.col("_s")), "left_anti")
-    return derive(written(unseen.select("example_id", "question", "sql", "db_id"), "unseen"))
+    unseen = _unseen(index, new).select("example_id", "question", "sql", "db_id")
+    return derive(written(unseen, "unseen"))
 
 
 VARIATION = T.StructType([T.StructField(c, T.StringType()) for c in ("q1", "reasoning1", "q2", "reasoning2")])
