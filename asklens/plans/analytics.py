@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from asklens.operators import compare, evaluate, report
 from asklens.plans import joined, query, rounded
-from asklens.session import fresh_path, written
+from asklens.plans.staging import documents
+from asklens.session import fresh_path
 from asklens.sources import records as rec
 from asklens.streaming import running
 from asklens.views import view
@@ -265,15 +266,16 @@ SELECT question_id, difficulty, execution_match, round(winner_confidence, 6) AS
 def s7(spark, sf):
     path = fresh_path(spark, "records")
     nested = records(spark, sf)
-    # Both wrapped layouts, and the bare one with an item that is no record.
-    bare, one, two = (nested.where(F.pmod("question_id", F.lit(3)) == i) for i in range(3))
-    bare.write.json(path + "/bare")
-    one.select(F.array(F.struct(*nested.columns)).alias("results")).write.json(path + "/results")
-    two.select(F.array(F.struct(*nested.columns)).alias("detailed_results")).write.json(path + "/detailed")
-    # These files hold one document per line, which is how Spark writes them.
-    back = rec.read_records(spark, path + "/bare", lines=True)
-    for part in ("/results", "/detailed"):
-        back = back.unionByName(rec.unwrap_records(spark.read.schema(rec.WRAPPER).json(path + part)))
+    # JSON lines, a list, and both wrapped layouts.
+    parts = [nested.where(F.pmod("question_id", F.lit(4)) == i) for i in range(4)]
+    record = F.struct(*nested.columns)
+    parts[0].write.json(path + "/lines")
+    documents(parts[1], record, path + "/list")
+    documents(parts[2], record, path + "/results", '{"overall": {}, "results": %s}')
+    documents(parts[3], record, path + "/detailed", '{"detailed_results": %s}')
+    back = rec.read_records(spark, path + "/lines", lines=True)
+    for part in ("/list", "/results", "/detailed"):
+        back = back.unionByName(rec.read_records(spark, path + part))
     return rounded(back.select(
         "question_id", "difficulty", "execution_match", "winner_confidence",
         F.col("selection.candidates_count").alias("candidates_count"),

@@ -7,27 +7,14 @@ from pyspark.sql import functions as F
 
 from asklens.operators import prepare, prompts, responses, schema
 from asklens.operators.log import query_lineage, sql_skeletons
-from asklens.plans import joined, query, rounded
+from asklens.plans import joined, query
+from asklens.plans.staging import documents
 from asklens.session import fresh_path, written
 from asklens.sources import catalog as cat
 from asklens.sources import corpus_store, examples, records
 from asklens.streaming import running
 from asklens.views import stored_catalog, table, view
 
-# Rows per staged JSON document; a document is parsed by one task.
-DOCUMENT_ROWS = 500
-
-
-def _documents(rows: DataFrame, entry: Column, path: str, wrap: str = "%s") -> None:
-    """Stage rows as text files that each hold one JSON document with a list of ``entry``."""
-    buckets = max(rows.count() // DOCUMENT_ROWS, 1)
-    part = F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).alias("doc")
-    lists = rows.select(part, F.to_json(entry).alias("e")).groupBy("doc").agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("e"), ",\n"), F.lit("]")).alias("list"))
-    text = F.format_string(wrap, "list") if wrap != "%s" else F.col("list")
-    lists.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
-
-
 # --- readers and writers --------------------------------------------------------------------
 
 
@@ -39,12 +26,12 @@ def s1(spark, sf):
     ex = view(spark, sf, "v_examples")
     lacking, other = ex.where("db_id LIKE '%7'"), ex.where("db_id NOT LIKE '%7'")
     path = fresh_path(spark, "examples")
-    _documents(lacking, F.struct("example_id", "question", "db_id"), path + "/a")
+    documents(lacking, F.struct("example_id", "question", "db_id"), path + "/a")
     # Upper-case keys for some databases, lower-case ones for the rest.
     upper = F.col("db_id").rlike("[0-4]$")
-    _documents(other.where(upper), F.struct(
+    documents(other.where(upper), F.struct(
         "example_id", F.col("question").alias("Question"), F.col("sql").alias("SQL"), "db_id"), path + "/b")
-    _documents(other.where(~upper), F.struct("example_id", "question", "sql", "db_id"), path + "/c")
+    documents(other.where(~upper), F.struct("example_id", "question", "sql", "db_id"), path + "/c")
     good, bad = None, None
     for folder in ("/a", "/b", "/c"):
         g, b = examples.read_examples(spark, path + folder)
@@ -69,7 +56,7 @@ def s2(spark, sf):
     path = fresh_path(spark, "spider")
     # The query key is absent for some rows; extra keys are ignored.
     asked = F.when(~F.col("db_id").like("%3"), F.col("sql")).alias("query")
-    _documents(ex, F.struct("example_id", "db_id", "question", asked, F.split("question", " ").alias("question_toks")), path)
+    documents(ex, F.struct("example_id", "db_id", "question", asked, F.split("question", " ").alias("question_toks")), path)
     return examples.read_spider(spark, path)
 
 
@@ -79,9 +66,9 @@ def s3(spark, sf):
     path = fresh_path(spark, "mixed")
     entry = F.struct("example_id", "db_id", "question", F.col("sql").alias("query"))
     kind = F.pmod("example_id", F.lit(3))
-    _documents(ex.where(kind == 0), entry, path + "/kind=list")
-    _documents(ex.where(kind == 1), entry, path + "/kind=data", '{"data": %s}')
-    _documents(ex.where(kind == 2), entry, path + "/kind=examples", '{"name": "x", "examples": %s}')
+    documents(ex.where(kind == 0), entry, path + "/kind=list")
+    documents(ex.where(kind == 1), entry, path + "/kind=data", '{"data": %s}')
+    documents(ex.where(kind == 2), entry, path + "/kind=examples", '{"name": "x", "examples": %s}')
     schemas = F.struct(F.array("c_name").alias("table_names_original"))
     table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("doc")).agg(F.min("c_name").alias("c_name")).select(
         "doc", F.to_json(schemas).alias("value")).write.partitionBy("doc").text(path + "/kind=schema")

@@ -79,7 +79,7 @@ def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json") ->
         F.regexp_replace("value", r"^\s+", "").alias("v"))
     whole = F.from_json("v", _OBJECT)
     listed = F.col("v").startswith("[")
-    # An empty or absent list under "data" falls through to "examples", then to the object itself.
+    # "examples" counts only without "data"; an empty list leaves the object itself.
     wrapped = F.coalesce(whole["data"], whole["examples"], F.lit("[]"))
     is_list = F.regexp_replace(wrapped, r"\s", "") != "[]"
     entries = (

@@ -4,33 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from asklens.schemas import LINKING_FILE, RECORD
 
-_LISTED = T.ArrayType(RECORD)
-WRAPPER = T.StructType(RECORD.fields + [
-    T.StructField("results", _LISTED), T.StructField("detailed_results", _LISTED)])
-
-
 def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Evaluation records from JSON: a list, or an object with ``results`` or ``detailed_results``.
+    """Evaluation records from JSON documents: a list, or an object whose ``results`` or
+    ``detailed_results`` is a list; ``results`` wins when both are.
 
-    ``results`` wins when both are there. List items that are not objects are ignored. With
-    ``lines=True`` the file is JSON lines of bare records, which Spark splits.
+    List items that are not objects are ignored, and so are objects without either list. A
+    document is parsed by one task; with ``lines=True`` the files are JSON lines of records,
+    which Spark splits.
     """
     if lines:
         return spark.read.schema(RECORD).json(path)
-    return unwrap_records(spark.read.schema(WRAPPER).json(path, multiLine=True))
-
-
-def unwrap_records(documents: DataFrame) -> DataFrame:
-    """Records of parsed documents (WRAPPER): the wrapped list of a document, or the document itself."""
-    inner = F.coalesce("results", "detailed_results")
-    bare = F.struct(*RECORD.names)
-    rows = documents.select(F.explode(F.when(inner.isNotNull(), inner).otherwise(F.array(bare))).alias("r"))
-    # An item that is no object parses to a record without any field.
-    return rows.where(F.greatest(*[F.col(f"r.{n}").isNotNull() for n in RECORD.names])).select("r.*")
+    text = spark.read.text(path, wholetext=True).select(F.btrim("value", F.lit(" \t\r\n")).alias("v"))
+    whole = F.from_json("v", "results array<string>, detailed_results array<string>")
+    # Items are kept as texts first, so that one odd item does not spoil the others.
+    items = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(
+        F.coalesce(whole["results"], whole["detailed_results"]))
+    rows = text.select(F.explode_outer(items).alias("item")).where(F.col("item").startswith("{"))
+    return rows.select(F.from_json("item", RECORD).alias("r")).select("r.*")
 
 
 def read_linking(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
