@@ -157,7 +157,7 @@ texts AS (
   UNION ALL SELECT question_id, 6, alternative_sql FROM v_records_flat WHERE has_alternatives
   UNION ALL SELECT question_id, 7, ' SELECT 1 ' FROM v_records_flat WHERE has_alternatives),
 firsts AS (SELECT question_id, trim(s) AS s, min(p) AS p FROM texts WHERE trim(s) <> '' GROUP BY question_id, trim(s)),
-counted AS (SELECT f.question_id, count(v.s) AS n, coalesce(string_agg(v.s, '|' ORDER BY v.p), '') AS variations
+counted AS (SELECT f.question_id, cast(count(v.s) AS int) AS n, coalesce(string_agg(v.s, '|' ORDER BY v.p), '') AS variations
             FROM v_records_flat f LEFT JOIN firsts v ON v.question_id = f.question_id GROUP BY f.question_id)"""
 
 

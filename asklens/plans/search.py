@@ -101,7 +101,7 @@ def w4(spark, sf):
 
 
 @query("s10_index_round_trip", """
-SELECT vec_id AS id, label AS cell, len(embedding) AS dim, round(list_sum(cast(embedding AS DOUBLE[])), 6) AS total FROM embeddings
+SELECT vec_id AS id, label AS cell, cast(len(embedding) AS int) AS dim, round(list_sum(cast(embedding AS DOUBLE[])), 6) AS total FROM embeddings
 """)
 def s10(spark, sf):
     path = fresh_path(spark, "index")
