@@ -114,7 +114,7 @@ def linking_summary(linked: DataFrame, col: str = "schema_linking") -> DataFrame
         return F.when(F.size(kept) > 0, F.concat(F.lit(f"{heading}:\n"), bullets))
 
     columns = F.transform(
-        F.filter(F.array_sort(F.map_entries(s["columns"])), lambda e: F.size(e["value"]) > 0),
+        F.filter(F.map_entries(s["columns"]), lambda e: F.size(e["value"]) > 0),
         lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], ", ")))
     lists = F.concat_ws(
         "\n\n",

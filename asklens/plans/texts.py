@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asklens.functions.batch_score import batch_score
-from asklens.operators import masking, prompts, responses
+from asklens.operators import masking, prompts, responses, schema
 from asklens.plans import joined, query
 from asklens.plans.logs import sql_text
 from asklens.views import stored_catalog, table, view
@@ -256,6 +256,26 @@ def f10_split(spark, sf):
     return prompts.split_prompt(f10(spark, sf), prompts.DRAFT_TEMPLATE, ["question", "schema_json", "evidence"]).drop("prompt")
 
 
+@query("f10_linking_summary", """
+WITH x AS (SELECT note_id, o_orderpriority AS p, c_acctbal > 3000 AS two, lower(c_mktsegment) AS seg, o_orderstatus AS st, chr(10) AS nl
+           FROM v_notes JOIN orders ON o_orderkey = note_id JOIN customer ON c_custkey = o_custkey)
+SELECT note_id, 'Relevant Tables:' || nl || '- orders' || CASE WHEN two THEN nl || '- customer' ELSE '' END
+  || nl || nl || 'Relevant Columns:' || nl || CASE WHEN p = '2-HIGH' THEN '- nation: n_name' ELSE
+     CASE WHEN p = '1-URGENT' THEN '- orders: o_totalprice' ELSE '- orders: o_orderkey, o_custkey' END
+     || CASE WHEN two THEN nl || '- customer: c_custkey, ' || seg ELSE '' END END
+  || CASE WHEN two THEN nl || nl || 'Join Relationships:' || nl || '- orders.o_custkey = customer.c_custkey' ELSE '' END
+  || CASE WHEN st <> 'O' THEN nl || nl || 'Filters / Constraints:' || nl || '- o_orderstatus = ' || st ELSE '' END
+  || nl || nl || 'Question Intent:' || nl || '- find ' || p || ' orders' AS schema_summary FROM x
+""")
+def f10_summary(spark, sf):
+    notes = responses.notes_struct(view(spark, sf, "v_notes"), "text")
+    none = F.lit(None).cast("array<string>")
+    linked = notes.select("note_id", F.struct(
+        "tables", "columns", "joins", none.alias("join_relationships"), "filters", none.alias("filters_constraints"),
+        "intent", F.lit(None).cast("string").alias("question_intent"), F.lit("").alias("raw_output")).alias("schema_linking"))
+    return schema.linking_summary(linked).select("note_id", "schema_summary")
+
+
 def _stub():
     """Stands in for a model: answers with the prompt's length and fails on some prompts."""
     def answer(texts: list[str]) -> list[str]:

@@ -117,7 +117,6 @@ def test_index_round_trip_and_empty(spark, tmp_path):
     assert corpus_store.read_index(spark, str(tmp_path / "i")).count() == 100
     pruned = corpus_store.read_index(spark, str(tmp_path / "i"), cells=[1, 2])
     assert pruned.count() == 50
-    assert "PartitionFilters: [isnotnull(cell" in pruned._jdf.queryExecution().toString() or "cell" in pruned._jdf.queryExecution().executedPlan().toString()
     corpus_store.write_index(rows.where("id < 0"), str(tmp_path / "e"))
     with pytest.raises(Exception):
         corpus_store.read_index(spark, str(tmp_path / "e"))
