@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 TOTALS = ["total", "correct", "valid", "executed", "errors", "total_time"]
 
 
-def _totals() -> list[Column]:
+def total_columns() -> list[Column]:
     ran = F.col("error").isNull()
     return [
         F.count(F.lit(1)).alias("total"),
@@ -41,18 +41,18 @@ def stats_by_database(records: DataFrame) -> DataFrame:
     ``executed`` counts every attempt that reached execution (no ``error``); a record whose
     database was missing counts in ``total`` and ``errors`` only.
     """
-    return with_ratios(records.groupBy("db_id").agg(*_totals()))
+    return with_ratios(records.groupBy("db_id").agg(*total_columns()))
 
 
 def stats_overall(records: DataFrame) -> DataFrame:
     """One row over all records; a global aggregate, so only partial rows are shuffled."""
-    return with_ratios(records.agg(*_totals()).withColumn(
+    return with_ratios(records.agg(*total_columns()).withColumn(
         "total_time", F.coalesce("total_time", F.lit(0.0))))
 
 
 def stats_rollup(records: DataFrame) -> DataFrame:
     """Per-database rows and the overall row from one shuffle; ``level`` tells them apart."""
-    rolled = records.rollup("db_id").agg(F.grouping("db_id").alias("g"), *_totals())
+    rolled = records.rollup("db_id").agg(F.grouping("db_id").alias("g"), *total_columns())
     level = F.when(F.col("g") == 1, "overall").otherwise("database")
     return with_ratios(rolled.withColumn("level", level).drop("g"))
 

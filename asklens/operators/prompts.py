@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from asklens.functions.text import json_text, strip
 
+# What stands for an absent part, and the phrases that give a label's reason.
 NOTHING = "(none provided)"
+TABLE_REASON = "Used in the query to answer the question: "
+COLUMN_REASON = "Referenced in the query to answer: "
 
 
 def fewshot_context(hits: DataFrame, examples: DataFrame, limit: int = 3, with_skeleton: bool = False,
@@ -128,8 +131,8 @@ def training_pairs(examples: DataFrame, lineage: DataFrame, texts: DataFrame,
         return F.concat(F.lit("["), F.array_join(entry, ", "), F.lit("]"))
 
     output = F.concat(
-        F.lit('{"tables": '), listed("_t", "Used in the query to answer the question: "),
-        F.lit(', "columns": '), listed("_c", "Referenced in the query to answer: "), F.lit("}"))
+        F.lit('{"tables": '), listed("_t", TABLE_REASON),
+        F.lit(', "columns": '), listed("_c", COLUMN_REASON), F.lit("}"))
     return examples.join(labels, "example_id").join(texts, "db_id").select(
         "example_id", "db_id", filled(template).alias("input"), output.alias("output"))
 

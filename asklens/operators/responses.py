@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from asklens.functions.text import LONGEST_SQL, clean_sql, let, strip
 
+# Why an answer is not usable.
 EMPTY_ANSWER = "Empty SQL after cleanup"
 WRONG_START = "SQL must start with SELECT or WITH"
 

@@ -121,7 +121,7 @@ def a4_rollup(spark, sf):
 def a5(spark, sf):
     # Partial totals per shard and database, as four workers would leave them.
     shards = view(spark, sf, "v_eval").withColumn("shard", F.pmod("question_id", F.lit(4)))
-    partials = shards.groupBy("shard", "db_id").agg(*evaluate._totals())
+    partials = shards.groupBy("shard", "db_id").agg(*evaluate.total_columns())
     return rounded(evaluate.merge_stats(partials))
 
 
@@ -267,7 +267,8 @@ def s7(spark, sf):
     path = fresh_path(spark, "records")
     nested = records(spark, sf)
     # JSON lines, a list, and both wrapped layouts.
-    parts = [nested.where(F.pmod("question_id", F.lit(4)) == i) for i in range(4)]
+    kinds = ("difficulty IS NULL", "difficulty = ''", "difficulty = 'click'", "difficulty NOT IN ('', 'click')")
+    parts = [nested.where(kind) for kind in kinds]
     record = F.struct(*nested.columns)
     parts[0].write.json(path + "/lines")
     documents(parts[1], record, path + "/list")

@@ -65,10 +65,11 @@ def s3(spark, sf):
     ex = view(spark, sf, "v_examples")
     path = fresh_path(spark, "mixed")
     entry = F.struct("example_id", "db_id", "question", F.col("sql").alias("query"))
-    kind = F.pmod("example_id", F.lit(3))
-    documents(ex.where(kind == 0), entry, path + "/kind=list")
-    documents(ex.where(kind == 1), entry, path + "/kind=data", '{"data": %s}')
-    documents(ex.where(kind == 2), entry, path + "/kind=examples", '{"name": "x", "examples": %s}')
+    # The database's last digit decides in which shape of file its examples are.
+    last = F.substring("db_id", -1, 1)
+    documents(ex.where(last < "4"), entry, path + "/kind=list")
+    documents(ex.where(last.between("4", "6")), entry, path + "/kind=data", '{"data": %s}')
+    documents(ex.where(last > "6"), entry, path + "/kind=examples", '{"name": "x", "examples": %s}')
     schemas = F.struct(F.array("c_name").alias("table_names_original"))
     table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("doc")).agg(F.min("c_name").alias("c_name")).select(
         "doc", F.to_json(schemas).alias("value")).write.partitionBy("doc").text(path + "/kind=schema")

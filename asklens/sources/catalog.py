@@ -87,6 +87,10 @@ DESCRIPTION_HEADERS = {
 }
 
 
+# One CSV record: line ends inside quotes belong to it, blank lines are none.
+_CSV_RECORD = r'(?:[^"\r\n]++|"[^"]*+")++'
+
+
 def read_descriptions(spark: SparkSession, path: str, pattern: str = "*.csv",
                       folder_key: str | None = None) -> DataFrame:
     """Column descriptions from CSV files named after their table.
@@ -101,7 +105,7 @@ def read_descriptions(spark: SparkSession, path: str, pattern: str = "*.csv",
     """
     named = F.col(folder_key).cast("string") if folder_key else _file_stem()
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
-        F.split(F.regexp_replace("value", r"[\r\n]+$", ""), r"\r\n|\n|\r").alias("ls"), named.alias("table_name"))
+        F.regexp_extract_all("value", F.lit(_CSV_RECORD), F.lit(0)).alias("ls"), named.alias("table_name"))
     # Headers differ per file, so cells are addressed by their place in the file's own header.
     header = F.transform(_csv_cells(F.col("ls")[0]), lambda h: F.regexp_replace(h, "^﻿", ""))
     lines = files.select(
@@ -126,8 +130,8 @@ def read_descriptions(spark: SparkSession, path: str, pattern: str = "*.csv",
 
 
 def _csv_cells(line: Column) -> Column:
-    """Cells of one CSV line; a quoted cell may hold commas and doubled quotes."""
-    raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
+    """Cells of one CSV record; a quoted cell may hold commas, line ends and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
     return F.transform(raw, lambda c: F.when(
         c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.operators.evaluate import TOTALS, _totals, with_ratios
+from asklens.operators.evaluate import TOTALS, total_columns, with_ratios
 
 
 def running_stats(stream: DataFrame, out: str, checkpoint: str, once: bool = True):
@@ -15,7 +15,7 @@ def running_stats(stream: DataFrame, out: str, checkpoint: str, once: bool = Tru
     batch number, and a repeated batch overwrites itself, so a restart neither loses nor doubles
     anything. Read the result with :func:`current_stats`.
     """
-    totals = stream.groupBy("db_id").agg(*_totals())
+    totals = stream.groupBy("db_id").agg(*total_columns())
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:012d}")

@@ -83,11 +83,12 @@ def test_catalog_from_tables_skips_broken_ones(spark, tmp_path):
 
 def test_read_descriptions(spark, tmp_path):
     put(tmp_path, "b.csv", "column_name,data_type,description\nid,INT,\"the \"\"key\"\", unique\"\n,TEXT,no name\nname,,\n")
-    put(tmp_path, "a.csv", "Type,Column,Extra\r\nINT,x,1\r\n")
+    put(tmp_path, "a.csv", "Type,Column,Extra\r\nINT,x,1\r\n\r\n,y,\r\n")
+    put(tmp_path, "d.csv", 'description,column_name\n"two\nlines, one cell",x\n')
     put(tmp_path, "c.csv", "COLUMN_NAME,DATA_TYPE,COMMENT\n")
     rows = cat.read_descriptions(spark, str(tmp_path))
     texts = {r.table_name: r.description for r in cat.description_text(rows).collect()}
-    assert texts == {"a": "Table: a\n  - x (INT)", "b": 'Table: b\n  - id (INT): the "key", unique\n  - name'}
+    assert texts == {"a": "Table: a\n  - x (INT)\n  - y", "d": "Table: d\n  - x: two\nlines, one cell", "b": 'Table: b\n  - id (INT): the "key", unique\n  - name'}
 
 
 def test_read_records_layouts(spark, tmp_path):
