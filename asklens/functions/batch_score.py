@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 def batch_score(prompts: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[str]]],
                 batch_size: int = 16, key: str = "question_id", col: str = "prompt",
-                done: DataFrame | None = None) -> DataFrame:
+                done: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """(key, response, error): one row per prompt.
 
     ``make_fn`` is called once per task and returns a function from a list of at most
     ``batch_size`` prompts to as many responses; that is where a model is loaded. When a batch
     fails, its prompts are tried one by one and only those that fail carry ``error``. Rows whose
     key is in ``done`` (an earlier, written result) are skipped, so a retry repeats no work.
+    Prompts are small and scoring is slow, so ``partitions`` spreads them over that many tasks.
     """
     todo = prompts.select(key, col)
     if done is not None:
         todo = todo.join(done.select(key), key, "left_anti")
+    if partitions:
+        todo = todo.repartition(partitions)
 
     def score_one(fn, text: str) -> tuple[str | None, str | None]:
         try:

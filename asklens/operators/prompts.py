@@ -147,7 +147,7 @@ def split_pairs(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "e
     The order is that of md5(seed:key), then key. Rows are counted per key prefix (at most 65,536
     groups); prefix sums decide whole buckets, and row numbers are needed in one bucket only.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).withColumn(
         "_b", F.substring("_h", 1, _PREFIX))
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -155,6 +155,12 @@ def test_split_is_exact_and_seeded(spark):
     assert prompts.split_pairs(rows, 0.1, 8).exceptAll(out).count() > 0
 
 
+def test_split_keeps_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(None,), (None,), (1,), (2,)], "example_id int")
+    counts = {r.split: r["count"] for r in prompts.split_pairs(rows, 0.5).groupBy("split").count().collect()}
+    assert counts == {"train": 2, "validation": 2}
+
+
 def test_training_pairs(spark, sample, catalog):
     lineage, _ = query_lineage(sample, catalog, key="example_id")
     pairs = {r.example_id: r for r in prompts.training_pairs(
@@ -237,7 +243,7 @@ def test_batch_score_isolates_failures_and_skips_done(spark):
     out = {r.question_id: (r.response, r.error) for r in batch_score(rows, make, 4).collect()}
     assert out[5] == (None, "bad prompt") and all(out[i] == (f"P{i}", None) for i in range(20) if i != 5)
     done = rows.where("question_id < 15").select("question_id")
-    assert batch_score(rows, make, 4, done=done).count() == 5
+    assert batch_score(rows, make, 4, done=done, partitions=3).count() == 5
 
 
 def test_running_stats_over_restarts(spark):
