@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def batch_score(prompts: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[str]]],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asklens.functions.batch_score import batch_score
-from asklens.operators import masking, prompts, responses, schema
+from asklens.operators import masking, prompts, responses, rounds, schema
 from asklens.plans import joined, query
 from asklens.plans.logs import sql_text
 from asklens.views import stored_catalog, table, view
@@ -248,6 +248,38 @@ def f10(spark, sf):
     return _prompts(spark, sf).select("question_id", "prompt")
 
 
+_REFINE = sql_text(
+    prompts.REFINE_TEMPLATE, schema_json="'S'", question="c_name", evidence="'(none provided)'",
+    round_1_sql="'SELECT ' || c_mktsegment", skeleton="'SELECT [COLUMN]'", context="coalesce(context, '(none provided)')")
+
+
+@query("f10_refine_prompt", f"""
+WITH {_CONTEXT.format(skeleton=" || chr(10) || 'SQL Skeleton: SELECT ' || e.event_type").strip()}
+SELECT c_custkey AS question_id, {_REFINE} AS prompt FROM customer LEFT JOIN ctx ON query_id = c_custkey
+""")
+def f10_refine(spark, sf):
+    questions = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("question_id"), F.col("c_name").alias("question"), F.lit("").alias("evidence"),
+        F.lit("S").alias("schema_json"), F.concat(F.lit("SELECT "), "c_mktsegment").alias("round_1_sql"),
+        F.lit("SELECT [COLUMN]").alias("skeleton"))
+    contexts = _contexts(spark, sf, True).withColumnRenamed("query_id", "question_id")
+    return questions.join(contexts, "question_id").select(
+        "question_id", prompts.filled(prompts.REFINE_TEMPLATE).alias("prompt"))
+
+
+_VARIATION = sql_text(prompts.VARIATION_TEMPLATE, schema_text="coalesce(n_name, '')", question="c_name")
+
+
+@query("f10_variation_prompt", f"""
+SELECT c_custkey AS question_id, {_VARIATION} AS prompt FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey
+""")
+def f10_variation(spark, sf):
+    questions = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("question_id"), F.col("c_name").alias("question"), F.col("c_nationkey").alias("db_id"))
+    schemas = table(spark, sf, "nation").select(F.col("n_nationkey").alias("db_id"), F.col("n_name").alias("schema_text"))
+    return prompts.prompt_table(questions, schemas, template=prompts.VARIATION_TEMPLATE).select("question_id", "prompt")
+
+
 @query("f10_split_prompt", """
 SELECT c_custkey AS question_id, c_name AS question, 'S' || cast(c_nationkey AS string) AS schema_json,
        CASE WHEN c_acctbal > 0 THEN 'balance ' || c_mktsegment ELSE '(none provided)' END AS evidence FROM customer
@@ -294,3 +326,39 @@ SELECT question_id, CASE WHEN prompt NOT LIKE '%BUILDING%' THEN 'SELECT ' || cas
 """)
 def g1(spark, sf):
     return batch_score(_prompts(spark, sf), _stub)
+
+
+def _two_round_stub():
+    """Stands in for a model: its answer depends on the question in the prompt and on the round."""
+    import hashlib
+    import re
+
+    def answer(texts: list[str]) -> list[str]:
+        out = []
+        for text in texts:
+            asked = re.search(r"(?s)USER QUESTION\n(.*?)\n\n##", text).group(1)
+            code = hashlib.md5(asked.encode()).hexdigest()
+            if "ROUND 1 DRAFT SQL" not in text:
+                out.append('Here: {"sql": "SELECT a FROM t WHERE b = \'' + code + '\'", "reasoning": "first"}')
+            elif code < "8":
+                out.append(f"SELECT '{code}'")
+            else:
+                out.append('{"sql": "no idea", "reasoning": "second"}')
+        return out
+
+    return answer
+
+
+@query("g1_two_rounds", """
+SELECT example_id AS question_id,
+  CASE WHEN md5(question) < '8' THEN 'SELECT ''' ELSE 'SELECT a FROM t WHERE b = ''' END || md5(question) || '''' AS final_sql,
+  CASE WHEN md5(question) < '8' THEN 'first' ELSE 'second' END AS final_reasoning, true AS final_valid,
+  cast(NULL AS VARCHAR) AS final_validation_error
+FROM v_examples
+""")
+def two_rounds(spark, sf):
+    """Every question asks for its answer with all examples as the corpus."""
+    examples = view(spark, sf, "v_examples")
+    questions = examples.select(
+        F.col("example_id").alias("question_id"), "db_id", "question", F.lit("").alias("evidence"))
+    return rounds.generate_answers(questions, examples, stored_catalog(spark, sf), _two_round_stub)

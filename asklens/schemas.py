@@ -12,8 +12,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 STRING, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
 DOUBLE, BOOL = T.DoubleType(), T.BooleanType()
 
-EXAMPLE = _struct(example_id=LONG, question=STRING, sql=STRING, db_id=STRING)
-
 CATALOG = _struct(
     db_id=STRING, table_idx=INT, table_name=STRING, col_idx=INT,
     col_name=STRING, col_type=STRING, col_desc=STRING,
