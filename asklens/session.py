@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +32,35 @@ def build_session(app: str = "asklens", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` where the session names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    # Only a session without the setting (tests, a laptop) falls back to a folder of its own.
-    own = tempfile.mkdtemp(prefix="asklens-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The folder all executors see and that written intermediates go to.
+
+    ``spark.checkpoint.dir`` where the session names one, else this library's own setting
+    ``spark.asklens.dir``, else a folder inside the warehouse, which a cluster shares as well.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.asklens.dir", None)
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_asklens"
+    return named.rstrip("/")
+
+
+_MADE: list[str] = []
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/asklens-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/asklens-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediates this process has written; call it when no result reads them any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += bool(path.getFileSystem(hadoop).delete(path, True))
+    return count
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
