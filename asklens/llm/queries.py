@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import simhash
+from asklens.llm import decontaminate, simhash, toxicity
+from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -34,3 +35,47 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its toxicity score; learnt outside the held-out fifth."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_decontamination", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM benchmark WHERE item_id IS NOT NULL),
+  phrases AS (SELECT DISTINCT item_id, least(len(w), 13) AS width,
+        list_aggregate(w[k:k + least(len(w), 13) - 1], 'string_agg', ' ') AS phrase
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
+  widths AS (SELECT DISTINCT width FROM phrases),
+  runs AS (SELECT doc_id, width, k, list_aggregate(w[k:k + width - 1], 'string_agg', ' ') AS phrase
+      FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS k FROM d, widths WHERE len(w) >= width)),
+  found AS (SELECT doc_id, k, r.width, item_id FROM runs r JOIN phrases p ON p.width = r.width AND p.phrase = r.phrase),
+  hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+      FROM (SELECT doc_id, unnest(range(k, k + width)) AS place FROM found) GROUP BY doc_id),
+  named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(coalesce(w, [])) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its words hit by benchmark passages."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf, "benchmark"))
+    c = "contamination"
+    return found.select(
+        "doc_id", F.col(f"{c}.n_words").alias("n_words"), F.col(f"{c}.n_hit").alias("n_hit"),
+        F.size(f"{c}.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", f"{c}.items"), 256).alias("items_sha256"),
+        decontaminate.contaminated(c).alias("contaminated"))
