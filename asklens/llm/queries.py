@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, simhash, toxicity
+from asklens.llm import decontaminate, mixing, simhash, toxicity
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         F.size(f"{c}.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", f"{c}.items"), 256).alias("items_sha256"),
         decontaminate.contaminated(c).alias("contaminated"))
+
+
+@query("op7_source_mixing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
