@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from asklens.llm.fmindex import FMIndex
+from asklens.llm.shipping import Shipped
 
 WINDOW = 13             # consecutive words of an item that make a test phrase
 PACK_WORDS = 2_000_000  # benchmark words that are broadcast and searched at a time
@@ -125,7 +126,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     found = docs.withColumn(out, F.lit(None).cast(RESULT))
     for pack in range(packs):
         rows = slim.where(F.pmod(F.xxhash64("id"), F.lit(packs)) == pack).collect()
-        phrases = spark.sparkContext.broadcast(Phrases([(r["id"], r["text"]) for r in rows], window))
+        phrases = Shipped(spark, Phrases([(r["id"], r["text"]) for r in rows], window))
         found = _pass(found, phrases, text_col, out)
     return found
 

@@ -10,9 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from asklens.llm.feistel import permuted
+from asklens.llm.shipping import Shipped
 from asklens.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)  # of the sources in turn
@@ -154,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     wanted = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))], share * sum(sizes))
     quotas = [quota(k, s, t, key, block) for k, (s, t) in enumerate(zip(sizes, wanted, strict=True))]
     ends = splitting_tree(np.array([q.places for q in quotas], np.int64), shards, key).cumsum(axis=0)
-    sent = spark.sparkContext.broadcast((quotas, ends))
+    sent = Shipped(spark, (quotas, ends))
     kind = docs.schema[source_col].dataType.simpleString()
     numbers = spark.createDataFrame([(r["source"], k) for k, r in enumerate(totals)], f"own {kind}, number int")
 
@@ -215,6 +217,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, key: int = 1, id_col:
                     source_col: str = "source", size_col: str | None = "n_chars", **other) -> DataFrame:
     """The documents of the mix with their columns: a row for each document and epoch that the mix takes of.
 
+    Partition k holds output shard k, shuffled by rank; a document goes where its first piece of the epoch goes.
     A document taken as a whole keeps its text; of one taken in part the row has the taken runs of words, each with its
     own white space, joined by line ends. ``size_col`` gets the characters of that text. Documents not
     taken are left out: that is the mix's decision.
@@ -222,31 +225,35 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, key: int = 1, id_col:
     dealt = mix(docs, shards=shards, key=key, carry=True, id_col=id_col, text_col=text_col, source_col=source_col, **other)
     names, text_at = docs.columns, docs.columns.index(text_col)
     size_at = names.index(size_col) if size_col in names else None
-    schema = docs.schema
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.column(0).flatten()
-            at, texts = [], []
+            at, texts, places = [], [], []
             for k, (text, size, pieces) in enumerate(zip(columns[text_at].to_pylist(), batch.column(1).to_pylist(),
                                                          batch.column(2).to_pylist(), strict=True)):
-                for runs in _runs(pieces):
+                for place, runs in _runs(pieces):
                     at.append(k)
+                    places.append(place)
                     texts.append(text if runs == [(0, size)] else _cut(text, runs))
             out = [c.take(pa.array(at, pa.int64())) for c in columns]
             out[text_at] = pa.array(texts, pa.string())
             if size_at is not None:
                 out[size_at] = pa.array([len(t) for t in texts], out[size_at].type)
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            out += [pa.array([p[k] for p in places], t) for k, t in ((0, pa.int32()), (1, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "_mix_shard", "_mix_rank"])
 
-    return dealt.where("taken > 0").select("row", "size", "pieces").mapInArrow(made, schema)
+    schema = StructType([*docs.schema.fields, StructField("_mix_shard", IntegerType()), StructField("_mix_rank", LongType())])
+    rows = dealt.where("taken > 0").select("row", "size", "pieces").mapInArrow(made, schema)
+    # Shards are dealt to partitions and shuffled locally, by rank.
+    return rows.repartitionById(shards, "_mix_shard").sortWithinPartitions("_mix_rank").drop("_mix_shard", "_mix_rank")
 
 
-def _runs(pieces: list[dict]) -> list[list[tuple[int, int]]]:
-    """For each epoch, in order, the runs of words that its pieces make together."""
-    epochs: dict[int, list[tuple[int, int]]] = {}
+def _runs(pieces: list[dict]) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """For each epoch, in order, its first piece's shard and rank and the runs of words that its pieces make together."""
+    epochs: dict[int, tuple[tuple[int, int], list[tuple[int, int]]]] = {}
     for p in sorted(pieces, key=lambda p: (p["epoch"], p["start"])):
-        runs = epochs.setdefault(p["epoch"], [])
+        runs = epochs.setdefault(p["epoch"], ((p["shard"], p["rank"]), []))[1]
         if runs and runs[-1][1] == p["start"]:
             runs[-1] = (runs[-1][0], p["stop"])
         else:

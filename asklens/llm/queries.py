@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, mixing, simhash, toxicity
+from asklens.llm import decontaminate, mixing, simhash, toxicity, training_order
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op6_training_order")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as token sequences in training order, each at its slot, shard and byte offset."""
+    return training_order.materialise(table(spark, sf, "documents").select("doc_id", "text"))

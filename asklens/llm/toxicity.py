@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from asklens.llm.learning import training_rows
+from asklens.llm.shipping import Shipped
 from asklens.session import written
 
 SIZES = (3, 4, 5)        # characters of an n-gram
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int
     slots, ratios = slots[order], np.array([r["ratio"] for r in kept], float)[order]
     place = np.full(1 << bits, -1, np.int32)
     place[slots] = np.arange(len(slots), dtype=np.int32)
-    known = spark.sparkContext.broadcast(place)
+    known = Shipped(spark, place)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +168,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     Null and empty texts get the score of no n-gram. A column of the same name is replaced; no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
     fields = [f for f in docs.drop(out).schema.fields]
     place = [f.name for f in fields].index(text_col)
 
