@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, mixing, simhash, toxicity, training_order
+from asklens.llm import decontaminate, line_rules, mixing, personal, simhash, toxicity, training_order
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,20 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as token sequences in training order, each at its slot, shard and byte offset."""
     return training_order.materialise(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its spans of personal data."""
+    found = personal.personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(personal.count_of("pii", k).alias(f"n_{k}") for k in personal.BASE),
+        F.sha2(personal.listed("pii", personal.BASE), 256).alias("base_sha256"), personal.listed("pii").alias("spans"))
+
+
+@query("op10_line_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its counts and the verdict of the line rules."""
+    found = line_rules.clean_lines(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", *(f"lines.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
