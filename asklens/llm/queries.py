@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, line_rules, mixing, personal, simhash, toxicity, training_order
+from asklens.llm import decontaminate, line_rules, mixing, personal, quality, simhash, toxicity, training_order
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,15 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return training_order.materialise(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query("op8_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its quality score; learnt outside the held-out fifth."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op9_personal_data")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its spans of personal data."""
