@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, line_rules, mixing, personal, quality, simhash, toxicity, training_order
+from asklens.llm import decontaminate, line_rules, mixing, personal, quality, secret_scan, simhash, toxicity, training_order
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                         "component_id")
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its secrets."""
+    found = secret_scan.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), *(secret_scan.count_of("base", k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
+        F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its toxicity score; learnt outside the held-out fifth."""
