@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, line_rules, mixing, personal, quality, secret_scan, simhash, toxicity, training_order
+from asklens.llm import decontaminate, line_rules, mixing, personal, quality, quotes, secret_scan, simhash, toxicity, training_order
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,49 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Chat turns as mail: each quotes an earlier turn, and what that one quoted, in front of its own text.
+MAIL = """
+SELECT c.conv_id, c.turn, c.role,
+  coalesce('>> ' || replace(g.text, chr(10), chr(10) || '> > ') || chr(10), '')
+  || coalesce('> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(c.text, '') AS text
+FROM conversations c
+LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 - (c.conv_id + c.turn) % 2
+LEFT JOIN conversations g ON g.conv_id = p.conv_id AND g.turn = p.turn - 1 - (p.conv_id + p.turn) % 2
+"""
+
+
+@query("op1_quotation_linking", f"""
+WITH RECURSIVE m AS ({MAIL}),
+  l AS (SELECT conv_id, turn, k, regexp_extract(line, '^((?:[ \\t]*>)+)', 1) AS marks,
+      CASE WHEN regexp_matches(line, '^((?:[ \\t]*>)+)') THEN regexp_replace(line, '^((?:[ \\t]*>)+)[ \\t]?', '') ELSE line END AS line
+    FROM (SELECT conv_id, turn, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line
+      FROM (SELECT conv_id, turn, string_split_regex(text, '\\r?\\n') AS ls FROM m))),
+  d AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS depth,
+      trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM l),
+  u AS (SELECT DISTINCT conv_id, turn, depth, norm FROM d WHERE length(norm) >= 8),
+  said AS (SELECT conv_id, norm, min(turn) AS origin FROM u WHERE depth = 0 GROUP BY ALL),
+  votes AS (SELECT u.conv_id, u.turn, depth, origin, sum(length(u.norm)) AS chars
+    FROM u JOIN said USING (conv_id, norm) WHERE depth > 0 AND origin < u.turn GROUP BY ALL),
+  parents AS (SELECT conv_id, turn, origin AS parent FROM votes
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth, chars DESC, origin DESC) = 1),
+  t AS (SELECT m.conv_id, m.turn, m.turn AS thread, 0 AS level FROM m LEFT JOIN parents p USING (conv_id, turn) WHERE parent IS NULL
+    UNION ALL SELECT p.conv_id, p.turn, t.thread, t.level + 1 FROM parents p JOIN t ON p.conv_id = t.conv_id AND p.parent = t.turn),
+  own AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY k), '^\\s+|\\s+$', '', 'g') AS text_own
+    FROM d WHERE depth = 0 GROUP BY ALL),
+  blocks AS (SELECT conv_id, turn, count(*) AS n_quotes FROM (SELECT conv_id, turn, depth,
+      lag(depth) OVER (PARTITION BY conv_id, turn ORDER BY k) AS before FROM d)
+    WHERE depth > 0 AND depth IS DISTINCT FROM before GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0) AS n_quotes, parent AS reply_to, thread, level, coalesce(text_own, '') AS text_own
+FROM m LEFT JOIN parents USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)
+  LEFT JOIN blocks USING (conv_id, turn)
+""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """All chat turns, written as mail that quotes earlier turns, in reply order and without the quotes."""
+    mail = spark.sql(MAIL.replace("FROM conversations", "FROM {chat}").replace("JOIN conversations", "JOIN {chat}"),
+                     chat=table(spark, sf, "conversations"))
+    return quotes.conversations(mail).select("conv_id", "turn", "role", "n_quotes", "reply_to", "thread", "level", "text_own")
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its fingerprint and the smallest id of its class."""
