@@ -12,6 +12,7 @@ from asklens.session import written
 
 # Marks at the start of a line, each with optional blanks before it.
 MARKS = "^((?:[ \\t]*>)+)"
+BREAK = "\\r?\\n"
 LEAST_CHARS = 8  # a normalised line that is shorter links nothing
 
 
@@ -20,30 +21,36 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
 
 
-def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``messages`` with the array ``blocks`` of (depth, text): consecutive lines of the same quote level.
+def lines_of(messages: DataFrame, text_col: str = "text") -> DataFrame:
+    """``messages`` with a row per line of their texts: depth and line replace the text.
 
-    The level is the number of ``>`` at the start of a line, blanks between them or not; the marks and one
-    blank after them are cut off. Level 0 is the message's own text. A null text has no blocks.
+    The depth is the number of ``>`` at the start of a line, blanks between them or not; the marks and one
+    blank after them are cut off. Depth 0 is the message's own text. A null text has no lines.
     """
-    lines = F.split(F.col(text_col), "\\r?\\n", -1)
-    df = messages.withColumn("_lines", F.transform(lines, lambda s: F.struct(
-        F.length(F.regexp_replace(F.regexp_extract(s, MARKS, 1), "[^>]", "")).alias("depth"),
-        F.when(s.rlike(MARKS), F.regexp_replace(s, MARKS + "[ \\t]?", "")).otherwise(s).alias("text"))))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda k: (k == 0) | (
-        F.get("_lines", k)["depth"] != F.get("_lines", k - 1)["depth"]))
-    df = df.withColumn("_starts", F.when(F.size("_lines") > 0, starts))
-    blocks = F.transform("_starts", lambda s, k: F.struct(
-        F.get("_lines", s)["depth"].alias("depth"),
-        F.array_join(F.transform(F.slice("_lines", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - s),
-                                 lambda x: x["text"]), "\n").alias("text")))
-    return df.withColumn("blocks", blocks).drop("_lines", "_starts")
-
-
-def own_text(blocks: str = "blocks") -> Column:
-    """What a message says itself: its blocks of level 0, empty lines at the ends cut off; null for a null text."""
-    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["depth"] == 0), lambda b: b["text"]), "\n")
-    return F.when(F.col(blocks).isNotNull(), F.regexp_replace(joined, "^\\s+|\\s+$", ""))
+    # An inner explode would cut each text twice, once for the filter that it implies.
+    rows = messages.select(*(c for c in messages.columns if c != text_col),
+                           F.explode_outer(F.split(F.col(text_col), BREAK, -1)).alias("line")).where("line IS NOT NULL")
+    return rows.withColumn("depth", _depth(F.col("line"))).withColumn(
+        "line", F.when(F.col("depth") > 0, F.regexp_replace("line", MARKS + "[ \\t]?", "")).otherwise(F.col("line")))
+
+
+def _depth(line: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
+
+
+def own_text(text: str) -> Column:
+    """What a message says itself: its lines of depth 0, white space at the ends cut off; null for null."""
+    own = F.filter(F.split(F.col(text), BREAK, -1), lambda s: ~s.rlike(MARKS))
+    return F.regexp_replace(F.array_join(own, "\n"), "^\\s+|\\s+$", "")
+
+
+def count_quotes(text: str) -> Column:
+    """How many quoted passages (consecutive lines of one depth) a text has."""
+    depths = F.transform(F.split(F.col(text), BREAK, -1), _depth)
+    start = F.struct(F.lit(0).alias("before"), F.lit(0).cast("long").alias("n"))
+    count = F.aggregate(depths, start, lambda acc, d: F.struct(
+        d.alias("before"), (acc["n"] + F.when((d > 0) & (d != acc["before"]), 1).otherwise(0)).alias("n")))["n"]
+    return F.coalesce(count, F.lit(0).cast("long"))
 
 
 def linked_passages(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text",
@@ -58,9 +65,7 @@ def linked_passages(messages: DataFrame, conv_col: str = "conv_id", order_col: s
     """
     keys = messages.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("turn"), F.col(text_col).alias("text"))
     keys = keys.where("conv IS NOT NULL AND turn IS NOT NULL")
-    blocks = parsed(keys).select("conv", "turn", F.explode("blocks").alias("b"))
-    lines = blocks.select("conv", "turn", "b.depth", F.explode(F.split("b.text", "\n", -1)).alias("line"))
-    lines = lines.select("conv", "turn", "depth", normalised(F.col("line")).alias("line")).where(F.length("line") >= least)
+    lines = lines_of(keys).select("conv", "turn", "depth", normalised(F.col("line")).alias("line")).where(F.length("line") >= least)
     lines = written(lines.groupBy("conv", "turn", "depth", F.sha2("line", 256).alias("hash")).agg(
         F.max(F.length("line")).alias("chars")), "lines")
     said = lines.where("depth = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
@@ -111,8 +116,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", order_col: str
     known = written(placed.join(parent, ["conv", "turn"], "left").select(
         F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), F.col("parent").alias("reply_to"),
         F.col("root").alias("thread"), "level"), "replies")
-    read = parsed(base, text_col).withColumn("n_quotes", F.coalesce(F.size(F.filter(
-        "blocks", lambda b: b["depth"] > 0)), F.lit(0)).cast("long")).withColumn("text_own", own_text()).drop("blocks")
+    read = base.withColumn("n_quotes", count_quotes(text_col)).withColumn("text_own", own_text(text_col))
     joined = read.join(known, (read[conv_col] == known["_conv"]) & (read[order_col] == known["_turn"]), "left")
     joined = joined.drop("_conv", "_turn").select(*base.columns, *new)
     return joined.orderBy(conv_col, "thread", "level", order_col)

@@ -37,18 +37,25 @@ class Model:
 
 
 def _positions(found: str, gaps: str, kind: int, value: str | None = None) -> Column:
-    """Spans of the matches in the column ``found``; positions follow from the pieces of text between them."""
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i)).cast("long")
-        end = start + F.length(F.get(found, i)).cast("long")
+    """Spans of the matches in the column ``found``; positions follow from the pieces of text between them.
+
+    The arrays are walked side by side: a lambda that named them would work them out anew for every match.
+    """
+    value = value or found
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x[gaps]).cast("long")
+        end = start + F.length(x[found]).cast("long")
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
-                        F.get(value or found, i).alias("value"), F.lit(None).cast("long").alias("score"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+                        x[value].alias("value"), F.lit(None).cast("long").alias("score"))
+        # Behind the last match there is a piece of text only.
+        return F.struct(F.coalesce(end, acc["at"]).alias("at"),
+                        F.when(x[found].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(F.size(found) == 0, none).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"])
+    columns = [gaps, found] + [value] * (value != found)
+    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.arrays_zip(*columns), start, step)["out"])
 
 
 def stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,9 +87,10 @@ def labelled_samples(docs: DataFrame, staged: DataFrame, text_col: str = "text")
     """
     secrets = staged.select(F.explode("base").alias("s")).select(F.col("s.value").alias("token"))
     secrets = secrets.groupBy("token").agg(F.count("*").alias("n"))
-    parts = secrets.select(F.explode(F.regexp_extract_all("token", F.lit(IDENTIFIER), F.lit(0))).alias("token")).distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("token"))
-    words = words.groupBy("token").agg(F.count("*").alias("n")).join(parts, "token", "left_anti")
+    parts = secrets.select(F.explode_outer(F.regexp_extract_all("token", F.lit(IDENTIFIER), F.lit(0))).alias("token")).distinct()
+    # An inner explode would search each text twice, once for the filter that it implies.
+    words = docs.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(IDENTIFIER), F.lit(0))).alias("token"))
+    words = words.where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n")).join(parts, "token", "left_anti")
     return secrets.select("token", F.lit(1).alias("label"), "n").union(words.select("token", F.lit(0).alias("label"), "n"))
 
 
@@ -94,7 +102,7 @@ def train(samples: DataFrame, smooth: float = SMOOTH, alphabet: int = ALPHABET)
     ASCII characters are left out. Empty or missing samples give ratios from the other one alone.
     """
     raw = samples.where("length(token) > 1").select("label", "n", F.encode("token", "UTF-8").alias("b"))
-    pairs = raw.select("label", "n", F.explode(F.transform(
+    pairs = raw.select("label", "n", F.explode_outer(F.transform(
         F.sequence(F.lit(1), F.octet_length("b") - 1), lambda i: F.substring("b", i, F.lit(2)))).alias("pair"))
     counts = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n"))
     code = [F.ascii(F.substring("pair", k, 1).cast("string")) for k in (1, 2)]
