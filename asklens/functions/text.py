@@ -32,19 +32,18 @@ def json_text(c: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-# Fixed values of answer clean-up: leading labels (any case), the answers that are no answer
-# (compared in upper case) and the longest SQL text kept.
+# Fixed values of answer clean-up: leading labels (any case) and the answers that are no answer
+# (compared in upper case).
 ANSWER_LABELS = ("SQL:", "SQLite:", "Query:", "Answer:")
 PLACEHOLDER_ANSWERS = ("SELECT ...", "SELECT ...;", "SELECT ???", "SELECT ???;", "WITH ...", "WITH ...;")
-LONGEST_SQL = 4000
 
 
-def clean_sql(c: Column, limit: int | None = LONGEST_SQL, keep_blank: bool = False) -> Column:
+def clean_sql(c: Column, limit: int | None = None, keep_blank: bool = False) -> Column:
     """The SQL statement inside a generated answer; empty text when there is none.
 
     Drops one leading label and the code fence, drops comment lines that mention neither SELECT
     nor WITH, joins the rest with blanks, starts at the first SELECT or WITH, ends after the first
-    semicolon, and cuts texts over ``limit`` characters. The keyword search is a plain
+    semicolon, and cuts texts over ``limit`` characters if one is given. The keyword search is a plain
     substring search in any case. ``keep_blank`` keeps blank lines as extra spaces.
     """
     text = strip(F.coalesce(c, F.lit("")))

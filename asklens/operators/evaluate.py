@@ -66,16 +66,12 @@ def merge_stats(partials: list[DataFrame] | DataFrame) -> DataFrame:
     return with_ratios(stacked.groupBy("db_id").agg(*[F.sum(c).alias(c) for c in TOTALS]))
 
 
-# Position given to records whose question is not in the list; sorts after every known one.
-UNKNOWN_POSITION = 10**9
-
-
 def combine_logs(parts: list[DataFrame], questions: DataFrame, key: str = "question_id",
                  position: str = "position") -> DataFrame:
     """Stack per-worker logs and attach each record's place in the question list.
 
     ``questions`` holds ``key`` and ``position``; ids are compared as text. The result is
-    sorted by place (unknown ids last), then id.
+    sorted by place, then id; an unknown id has no place (NULL) and sorts last.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # A question listed twice keeps its last place, as a dictionary built in order would.
@@ -84,7 +80,7 @@ def combine_logs(parts: list[DataFrame], questions: DataFrame, key: str = "quest
     return (
         stacked.withColumn("_id", F.col(key).cast("string"))
         .join(places, "_id", "left")
-        .withColumn(position, F.coalesce("_place", F.lit(UNKNOWN_POSITION)).cast("bigint"))
+        .withColumn(position, F.col("_place").cast("bigint"))
         .drop("_id", "_place")
-        .orderBy(position, key)
+        .orderBy(F.col(position).asc_nulls_last(), key)
     )

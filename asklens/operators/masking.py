@@ -14,9 +14,6 @@ ENTITY, ATTRIBUTE, VALUE = "[ENTITY]", "[ATTRIBUTE]", "[VALUE]"
 # Quoted texts, numbers, words, or one other character.
 _PIECE = r"\"[^\"]*+\"|'[^']*+'(?![\p{L}])|\d++(?:[.,]\d++)*+|[\p{L}_][\p{L}\p{N}_'’-]*+|\s++|."
 
-# Words in at least HOT_FROM questions are hot; this many of them fit any broadcast.
-HOT_FROM, HOT_WORDS = 1000, 10_000
-
 
 def question_pieces(question: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit("(?s)" + _PIECE), F.lit(0))
@@ -29,22 +26,26 @@ def question_skeletons(examples: DataFrame, catalog: DataFrame, min_df: int = 2)
     entities, words naming a column are attributes, and other words that occur in fewer than
     ``min_df`` questions are entities. All other words stay.
 
-    Word frequencies are one aggregation with map-side combine. Only rare words travel back, as one
-    short list per example; the most frequent words, of which there are at most HOT_WORDS, are
-    dropped before the shuffle, so no word forms a hot join key.
+    One aggregation with map-side combine counts each word and for ``min_df`` 2 carries the smallest
+    id that it occurs in, the only one of a rare word. So rare words travel back as one short list per
+    example, and frequent words are never joined. A larger ``min_df`` finds the rare words first and joins
+    them to the words; each has fewer than ``min_df`` ids.
     """
     names = catalog.groupBy("db_id").agg(
         F.collect_set(F.lower("table_name")).alias("_tables"), F.collect_set(F.lower("col_name")).alias("_columns"))
     pieces = question_pieces(F.col("question"))
     words = F.array_distinct(F.transform(
         F.filter(pieces, lambda p: p.rlike(r"^[\p{L}_]")), lambda p: F.lower(p)))
-    # A word with its frequency and, as long as it is rare, the examples it occurs in.
     seen = examples.select("example_id", F.explode_outer(words).alias("w")).where(F.col("w").isNotNull())
-    frequency = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    hot = frequency.where(F.col("df") >= max(min_df, HOT_FROM)).orderBy(F.desc("df"), "w").limit(HOT_WORDS)
-    few = frequency.where(F.col("df") < min_df).select("w")
-    rest = seen.join(F.broadcast(hot.select("w")), "w", "left_anti")
-    rare = rest.join(few, "w").groupBy("example_id").agg(F.collect_set("w").alias("_rare"))
+    if min_df == 2:
+        ids = F.array(F.min("example_id"))
+    else:
+        # Lists are bounded while they grow: only words below the limit keep their ids.
+        few = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") < min_df).select("w")
+        seen, ids = seen.join(few, "w"), F.collect_list("example_id")
+    counted = seen.groupBy("w").agg(F.count(F.lit(1)).alias("df"), ids.alias("ids")).where(F.col("df") < min_df)
+    rare = counted.select("w", F.explode_outer("ids").alias("example_id")).groupBy("example_id").agg(
+        F.collect_set("w").alias("_rare"))
     none = F.array().cast("array<string>")
 
     def shown(p: Column) -> Column:

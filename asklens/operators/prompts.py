@@ -39,33 +39,30 @@ def fewshot_context(hits: DataFrame, examples: DataFrame, limit: int = 3, with_s
 
 # Default layouts; any text with {column} fields may be given instead.
 DRAFT_TEMPLATE = (
-    "Write one SQLite query that answers the question. Reply with a JSON object with the keys "
-    "sql and reasoning.\n\n"
-    "### DATABASE SCHEMA\n{schema_json}\n\n"
-    "### USER QUESTION\n{question}\n\n"
-    "### BENCHMARK EVIDENCE\n{evidence}\n\n"
-    "### FEW-SHOT EXAMPLES\n{context}\n"
+    "Question to answer with a single SQLite statement:\n{question}\n\n"
+    "Hints that came with it:\n{evidence}\n\n"
+    "Solved questions that read alike:\n{context}\n\n"
+    "Tables at hand, as JSON:\n{schema_json}\n\n"
+    "Return one JSON object: sql holds the statement, reasoning says in short why.\n"
 )
 REFINE_TEMPLATE = (
-    "Improve the draft query with the help of examples of similar structure. Reply with a JSON "
-    "object with the keys sql and reasoning.\n\n"
-    "## DATABASE SCHEMA\n{schema_json}\n\n"
-    "## USER QUESTION\n{question}\n\n"
-    "## BENCHMARK EVIDENCE\n{evidence}\n\n"
-    "## ROUND 1 DRAFT SQL\n{round_1_sql}\n\n"
-    "## SQL SKELETON OF ROUND 1 SQL\n{skeleton}\n\n"
-    "## STRUCTURALLY SIMILAR SQL EXAMPLES\n{context}\n"
+    "A first statement was written for this question:\n{question}\n\n"
+    "It reads:\n{round_1_sql}\n\n"
+    "Its shape without names and values:\n{skeleton}\n\n"
+    "Statements of much the same shape:\n{context}\n\n"
+    "Hints that came with the question:\n{evidence}\n\n"
+    "Tables at hand, as JSON:\n{schema_json}\n\n"
+    "Correct it where needed. Return one JSON object: sql holds the statement, reasoning says in short why.\n"
 )
 LINKING_TEMPLATE = (
-    "Name the tables and columns of the schema that the question needs.\n\n"
-    "## DATABASE SCHEMA\n{schema_text}\n\n"
-    "## USER QUESTION\n{question}\n"
+    "Question:\n{question}\n\n"
+    "Tables with their columns:\n{schema_text}\n\n"
+    "List those that a statement for the question has to name.\n"
 )
 VARIATION_TEMPLATE = (
-    "Rephrase the question twice. Reply with a JSON object with the keys q1, reasoning1, q2 and "
-    "reasoning2.\n\n"
-    "Database Schema:\n{schema_text}\n\n"
-    "Original Question: {question}\n"
+    "Say this in two other ways:\n{question}\n\n"
+    "It is asked of these tables:\n{schema_text}\n\n"
+    "Return one JSON object: q1 and q2 hold the wordings, reasoning1 and reasoning2 how each differs.\n"
 )
 
 
@@ -111,18 +108,18 @@ def split_prompt(prompts: DataFrame, template: str, fields: list[str], col: str
 
 
 def training_pairs(examples: DataFrame, lineage: DataFrame, texts: DataFrame,
-                   template: str = LINKING_TEMPLATE) -> DataFrame:
+                   template: str = LINKING_TEMPLATE, quoted: int | None = None) -> DataFrame:
     """(example_id, db_id, input, output): instruction and expected linking of each example.
 
     ``lineage`` is (example_id, kind, item). ``output`` lists tables and columns in name order, each
-    with a reason quoting the first 80 characters of the question. Examples without any
+    with a reason quoting the question, or its first ``quoted`` characters if given. Examples without any
     label or schema give no pair.
     """
     def items(kind: str) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item"))))
 
     labels = lineage.groupBy("example_id").agg(items("table").alias("_t"), items("column").alias("_c"))
-    start = F.substring("question", 1, 80)
+    start = F.col("question") if quoted is None else F.substring("question", 1, quoted)
 
     def listed(col: str, phrase: str) -> Column:
         reason = F.concat(F.lit(phrase), start)

@@ -8,28 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asklens.functions.text import LONGEST_SQL, clean_sql, let, strip
+from asklens.functions.text import clean_sql, let, strip
 
 # Why an answer is not usable.
 EMPTY_ANSWER = "Empty SQL after cleanup"
 WRONG_START = "SQL must start with SELECT or WITH"
 
 
-def clean_answers(answers: DataFrame, col: str, limit: int | None = LONGEST_SQL,
+def clean_answers(answers: DataFrame, col: str, limit: int | None = None,
                   keep_blank: bool = False) -> DataFrame:
-    """Add ``clean_sql``, ``reason`` (NULL when the answer is usable) and ``valid``.
+    """Add ``clean_sql`` and ``reason`` (NULL when the answer is usable), judged on the cleaned text.
 
-    ``reason`` is judged on the cleaned text; ``sql`` is that text for valid answers, else empty.
+    With a ``limit`` longer texts are cut, and ``was_cut`` marks them.
     """
     cleaned = answers.withColumn("clean_sql", clean_sql(F.col(col), limit, keep_blank))
     reason = F.when(F.col("clean_sql") == "", EMPTY_ANSWER).when(
         ~F.col("clean_sql").rlike(r"(?i)^(?:SELECT|WITH)"), WRONG_START)
+    if limit is not None:
+        cleaned = cleaned.withColumn("was_cut", F.length(clean_sql(F.col(col), None, keep_blank)) > limit)
     return cleaned.withColumn("reason", reason)
 
 
-def validate_answers(answers: DataFrame, col: str) -> DataFrame:
-    """Add ``sql``, ``valid`` and ``validation_error`` of each answer."""
-    checked = clean_answers(answers, col)
+def validate_answers(answers: DataFrame, col: str, limit: int | None = None) -> DataFrame:
+    """Add ``sql``, ``valid`` and ``validation_error`` of each answer; see :func:`clean_answers` for ``limit``."""
+    checked = clean_answers(answers, col, limit)
     ok = F.col("reason").isNull()
     return checked.withColumns({
         "sql": F.when(ok, F.col("clean_sql")).otherwise(""), "valid": ok,
@@ -41,7 +43,7 @@ def reason_counts(checked: DataFrame, reason: str = "reason") -> DataFrame:
     return checked.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def choose_answer(first: DataFrame, second: DataFrame, key: str = "question_id") -> DataFrame:
+def choose_answer(first: DataFrame, second: DataFrame, key: str = "question_id", limit: int | None = None) -> DataFrame:
     """Final answer of two rounds (key, sql, reasoning): round 2 if valid, else round 1 if valid,
     else round 1 as it is; the reasoning of round 2 unless blank.
 
@@ -49,7 +51,7 @@ def choose_answer(first: DataFrame, second: DataFrame, key: str = "question_id")
     """
     def named(df: DataFrame, i: int) -> DataFrame:
         return validate_answers(df.select(key, F.col("sql").alias(f"raw_{i}"), F.col("reasoning").alias(f"why_{i}")),
-                                f"raw_{i}").select(key, f"raw_{i}", f"why_{i}", F.col("sql").alias(f"ok_{i}"))
+                                f"raw_{i}", limit).select(key, f"raw_{i}", f"why_{i}", F.col("sql").alias(f"ok_{i}"))
 
     def filled(name: str) -> Column:
         return F.nullif(F.col(name), F.lit(""))
@@ -58,7 +60,7 @@ def choose_answer(first: DataFrame, second: DataFrame, key: str = "question_id")
     chosen = both.select(
         key, F.coalesce(filled("ok_2"), filled("ok_1"), "raw_1", F.lit("")).alias("raw"),
         F.coalesce(filled("why_2"), "why_1", F.lit("")).alias("final_reasoning"))
-    final = validate_answers(chosen, "raw")
+    final = validate_answers(chosen, "raw", limit)
     return final.select(
         key, F.coalesce(F.nullif("sql", F.lit("")), "raw").alias("final_sql"), "final_reasoning",
         F.col("valid").alias("final_valid"), F.col("validation_error").alias("final_validation_error"))

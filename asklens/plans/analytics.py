@@ -242,7 +242,7 @@ def a13(spark, sf):
 
 @query("u5_combine_logs", """
 SELECT e.question_id, e.db_id, CASE WHEN e.error IS NULL THEN 'done' ELSE 'failed' END AS status,
-       coalesce(l.doc_id * 2, 1000000000) AS position
+       l.doc_id * 2000000000 AS position
 FROM v_eval e LEFT JOIN labels l ON l.doc_id = e.question_id ORDER BY position, question_id
 """)
 def u5(spark, sf):
@@ -251,7 +251,7 @@ def u5(spark, sf):
              log.where("error IS NOT NULL").select("question_id", "db_id", F.lit("failed").alias("status"))]
     # The question list knows only the labelled ids.
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    order = labels.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") * 2).alias("position"))
+    order = labels.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") * 2_000_000_000).alias("position"))
     return evaluate.combine_logs(parts, order)
 
 

@@ -479,3 +479,9 @@ def x2(spark, sf):
     stream = spark.readStream.schema(ex.schema).option("maxFilesPerTrigger", 4).parquet(folder + "/in")
     running.stream_examples(stream, folder + "/out", folder + "/state").awaitTermination()
     return spark.read.schema(ex.schema).parquet(folder + "/out").select("question", "sql")
+
+
+# User turns that no answer follows; they are in no example.
+@query("s1_unanswered_turns", "SELECT conv_id, turn, question FROM v_unanswered")
+def s1_unanswered(spark, sf):
+    return view(spark, sf, "v_unanswered")

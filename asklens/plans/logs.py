@@ -107,7 +107,7 @@ texts AS (SELECT db_id, string_agg(line, chr(10) ORDER BY table_idx) AS schema_t
 q AS (SELECT db_id, qid, {_QUESTION} AS question FROM v_query_log),
 parts AS (SELECT l.db_id, l.qid, kind, string_agg('{{"name": ' || cast(to_json(item) AS string) || ', "reason": '
             || cast(to_json(CASE kind WHEN 'table' THEN 'Used in the query to answer the question: '
-                                      ELSE 'Referenced in the query to answer: ' END || substring(question, 1, 80)) AS string) || '}}', ', ' ORDER BY item) AS list
+                                      ELSE 'Referenced in the query to answer: ' END || {{quoted}}) AS string) || '}}', ', ' ORDER BY item) AS list
           FROM lineage l JOIN q ON q.db_id = l.db_id AND q.qid = l.qid GROUP BY l.db_id, l.qid, kind)
 SELECT q.db_id || ':' || q.qid AS example_id, q.db_id,
   md5({{input}}) AS input_md5,
@@ -126,19 +126,32 @@ def sql_text(template: str, **fields: str) -> str:
     return out
 
 
-@query("a2_training_pairs", _PAIR_CHECK.replace("{{input}}", "{input}").replace("{input}", sql_text(
-    prompts.LINKING_TEMPLATE, schema_text="schema_text", question="question")))
-def a2(spark, sf):
+def _pair_check(quoted: str) -> str:
+    return _PAIR_CHECK.replace("{quoted}", quoted).replace("{input}", sql_text(
+        prompts.LINKING_TEMPLATE, schema_text="schema_text", question="question"))
+
+
+def _pairs(spark, sf, quoted: int | None):
     rows = view(spark, sf, "v_query_log").withColumn("example_id", F.concat_ws(":", "db_id", "qid"))
     asked = rows.select("example_id", "db_id", "sql", F.concat(
         F.lit("What does statement "), "qid", F.lit(' of "'), "db_id",
         F.lit('" return, asked for in more than eighty characters?')).alias("question"))
     stored = stored_catalog(spark, sf)
     lineage, _ = log.query_lineage(asked, stored, key="example_id")
-    pairs = prompts.training_pairs(asked, lineage.drop("db_id"), schema.schema_text(stored))
+    pairs = prompts.training_pairs(asked, lineage.drop("db_id"), schema.schema_text(stored), quoted=quoted)
     return pairs.select("example_id", "db_id", F.md5("input").alias("input_md5"), "output")
 
 
+@query("a2_training_pairs", _pair_check("question"))
+def a2(spark, sf):
+    return _pairs(spark, sf, None)
+
+
+@query("a2_training_pairs_short", _pair_check("substring(question, 1, 80)"))
+def a2_short(spark, sf):
+    return _pairs(spark, sf, 80)
+
+
 # Tokens as one ASCII character each, so that the engine's byte-wise distance counts tokens.
 @query("w5_edit_top_n", f"""
 WITH {_SKELETONS.strip()},

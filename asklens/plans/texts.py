@@ -37,7 +37,7 @@ judged AS (SELECT *, CASE WHEN clean_sql = '' THEN 'Empty SQL after cleanup' WHE
             OR starts_with(upper(clean_sql), 'WITH')) THEN 'SQL must start with SELECT or WITH' END AS reason FROM cleaned)"""
 
 
-_NEW, _OLD = _clean_check(4000, False).strip(), _clean_check(None, True).strip()
+_NEW, _OLD, _CUT = (_clean_check(*x).strip() for x in ((None, False), (None, True), (4000, False)))
 
 
 @query("f1_clean_answers", f"WITH {_NEW} SELECT answer_id, clean_sql, reason FROM judged")
@@ -51,6 +51,14 @@ def f1_old(spark, sf):
     return rows.select("answer_id", "clean_sql", "reason")
 
 
+@query("f1_clean_answers_capped", f"""
+WITH {_CUT} SELECT j.answer_id, clean_sql, length(c6) > 4000 AS was_cut, reason FROM judged j JOIN a7 ON a7.answer_id = j.answer_id
+""")
+def f1_capped(spark, sf):
+    rows = responses.clean_answers(view(spark, sf, "v_answers"), "answer", limit=4000)
+    return rows.select("answer_id", "clean_sql", "was_cut", "reason")
+
+
 @query("f1_reason_counts", f"WITH {_NEW} SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM judged GROUP BY 1")
 def f1_counts(spark, sf):
     return responses.reason_counts(f1(spark, sf))

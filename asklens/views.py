@@ -21,7 +21,7 @@ NL = "chr(10)"
 
 VIEWS: dict[str, str] = {}
 
-# A user turn followed by an assistant turn is a question with its answer text.
+# A user turn followed by an assistant turn is a question with its answer text; the others are in v_unanswered.
 VIEWS["v_examples"] = """
 SELECT q.conv_id * 100000 + q.turn AS example_id, q.text AS question, a.text AS sql,
        'db' || cast(q.conv_id + 5 AS string) AS db_id
@@ -29,6 +29,12 @@ FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn =
 WHERE q.role = 'user' AND a.role = 'assistant'
 """
 
+VIEWS["v_unanswered"] = """
+SELECT q.conv_id, q.turn, q.text AS question FROM conversations q
+LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+WHERE q.role = 'user' AND a.conv_id IS NULL
+"""
+
 VIEWS["v_query_log"] = """
 SELECT db_id, md5(sql) AS qid, sql, count(*) AS n FROM (
   SELECT concat('db', cast(l_suppkey % 10 AS string)) AS db_id,
@@ -50,7 +56,7 @@ GROUP BY db_id, sql
 
 # Questions over the line items: many repeat, some lack a question, a statement or a database.
 VIEWS["v_log_examples"] = """
-SELECT (l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS example_id,
+SELECT ((l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber) * 1000 + cast(l_quantity AS bigint) AS example_id,
   CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN '' ELSE
     'Which ' || CASE l_returnflag WHEN 'A' THEN 'orders' WHEN 'N' THEN 'customer rows' ELSE 'lineitem parts' END
     || ' of supplier ' || cast(l_suppkey AS string) || ' have l_linestatus ' || chr(34) || l_linestatus || chr(34)
@@ -92,10 +98,10 @@ FROM v_examples
 VIEWS["v_results"] = """
 SELECT o_custkey AS question_id, 'gold' AS side, o_orderpriority AS k,
        cast(floor(o_totalprice / 100000) AS bigint) AS amt
-FROM orders WHERE o_totalprice > 50000
+FROM orders
 UNION ALL
 SELECT o_custkey, 'generated', o_orderpriority, cast(floor(o_totalprice / 100000) AS bigint)
-FROM orders WHERE o_totalprice > 50000 AND (o_orderstatus <> 'P' OR o_totalprice > 250000)
+FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice > 250000
 """
 
 VIEWS["v_questions"] = "SELECT c_custkey AS question_id, c_nationkey AS db_no FROM customer"

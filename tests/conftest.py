@@ -20,23 +20,23 @@ def spark():
     session.stop()
 
 
-# Twelve examples over six databases, in the shape of an example file.
+# Twelve examples over six databases; the last but one has no schema.
 SAMPLE = [
-    ("How many singers are older than 20?", "SELECT COUNT(*) FROM Singer WHERE Age > 20", "concert_singer"),
-    ("What is the average salary?", "SELECT AVG(Salary) FROM Employee", "employee_dept"),
-    ("Which students scored above 90?", "SELECT Name FROM Student WHERE Score > 90", "student_records"),
-    ("Which department has the largest budget?",
-     "SELECT Department FROM Employee GROUP BY Department ORDER BY SUM(Budget) DESC LIMIT 1", "employee_dept"),
-    ("List the albums of 'Ann'",
-     "SELECT Album.title FROM Album JOIN Singer ON Album.singer_id = Singer.id WHERE Singer.name = 'Ann'", "concert_singer"),
-    ("How many movies are there?", "SELECT COUNT(*) FROM Movie", "movie_db"),
-    ("How many students are there?", "SELECT COUNT(*) FROM Student", "student_records"),
-    ("Names of employees in sales", "SELECT Name FROM Employee WHERE Department = 'Sales'", "employee_dept"),
-    ("Which products cost more than 50?", "SELECT Name FROM Product WHERE Price > 50", "shop"),
-    ("Total price per customer", "SELECT c.Name, SUM(o.Total) FROM Customer AS c JOIN Orders AS o ON c.id = o.cid GROUP BY c.Name", "shop"),
-    ("Distinct cities", "SELECT DISTINCT City FROM Station", "weather"),
-    ("Concerts with singers", "SELECT T1.name, T3.title FROM Singer AS T1 JOIN Singer_in_Concert AS T2 ON T1.id = T2.singer_id "
-     "JOIN Concert AS T3 ON T2.concert_id = T3.id", "concert_singer"),
+    ("Which ferries were built before 1990?", "SELECT label FROM Ferry WHERE built < 1990", "harbour"),
+    ("How deep is the deepest berth?", "SELECT MAX(depth) FROM Berth", "harbour"),
+    ("Crates per variety, best first", "SELECT t.variety, SUM(h.crates) FROM Tree AS t JOIN Harvest AS h ON t.tree_no = h.tree_no "
+     "GROUP BY t.variety ORDER BY SUM(h.crates) DESC", "orchard"),
+    ("When does the Petrel sail for more than 12?",
+     "SELECT s.departs FROM Sailing s JOIN Ferry f ON s.ferry_id = f.id WHERE f.label = 'Petrel' AND s.fare > 12", "harbour"),
+    ("Which wards had visits over 45 minutes?", "SELECT DISTINCT ward FROM Visit WHERE minutes > 45", "clinic"),
+    ("How many boxes does the archive hold?", "SELECT COUNT(*) FROM Box", "archive"),
+    ("How many trees stand in the orchard?", "SELECT COUNT(*) FROM Tree", "orchard"),
+    ("Visits cheaper than 80", "SELECT visit_no FROM Visit WHERE cost < 80", "clinic"),
+    ("Hosts without a long show", "SELECT host FROM Show WHERE host NOT IN (SELECT host FROM Show WHERE length > 90)", "radio"),
+    ("Mean height of each row of trees", "SELECT row_no, AVG(height) FROM Tree GROUP BY row_no", "orchard"),
+    ("Which stations report rain?", "SELECT station FROM Reading WHERE rain > 0", "weather"),
+    ("Piers where each ferry lands", "SELECT F.label, B.pier FROM Ferry AS F JOIN Landing AS L ON F.id = L.ferry_id "
+     "JOIN Berth AS B ON L.berth_id = B.id", "harbour"),
 ]
 
 
@@ -49,12 +49,12 @@ def sample(spark):
 @pytest.fixture(scope="session")
 def catalog(spark):
     tables = {
-        "concert_singer": {"Singer": ["id", "name", "age"], "Album": ["id", "singer_id", "title"],
-                           "Concert": ["id", "title"], "Singer_in_Concert": ["singer_id", "concert_id"]},
-        "employee_dept": {"Employee": ["Name", "Salary", "Department", "Budget"]},
-        "student_records": {"Student": ["Name", "Score"]},
-        "movie_db": {"Movie": ["id"]},
-        "shop": {"Product": ["Name", "Price"], "Customer": ["id", "Name"], "Orders": ["cid", "Total"]},
+        "harbour": {"Ferry": ["id", "label", "built"], "Berth": ["id", "pier", "depth"],
+                    "Sailing": ["no", "ferry_id", "departs", "fare"], "Landing": ["ferry_id", "berth_id"]},
+        "orchard": {"Tree": ["tree_no", "variety", "height", "row_no"], "Harvest": ["tree_no", "day", "crates"]},
+        "clinic": {"Visit": ["visit_no", "ward", "minutes", "cost"]},
+        "archive": {"Box": ["box_no", "shelf"]},
+        "radio": {"Show": ["code", "host", "length"]},
     }
     rows = [(db, ti, t, ci, c, "TEXT", None) for db, ts in tables.items()
             for ti, (t, cs) in enumerate(ts.items()) for ci, c in enumerate(cs)]

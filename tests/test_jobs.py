@@ -21,8 +21,8 @@ def test_shared_dir_is_the_sessions(spark):
 
 def test_usable_examples_first_reason_wins(spark, catalog):
     rows = spark.createDataFrame(
-        [(1, "q", "s", "movie_db"), (2, "", "s", "nowhere"), (3, "q", None, "movie_db"), (4, "q", "s", "nowhere"),
-         (5, "q", "s", "movie_db"), (6, "q", "s", None)], "example_id int, question string, sql string, db_id string")
+        [(1, "q", "s", "archive"), (2, "", "s", "nowhere"), (3, "q", None, "archive"), (4, "q", "s", "nowhere"),
+         (5, "q", "s", "archive"), (6, "q", "s", None)], "example_id int, question string, sql string, db_id string")
     labels = spark.createDataFrame([(1,), (2,), (1,)], "example_id int")
     ok, skipped = prepare.usable_examples(rows, catalog, labels)
     assert [r.example_id for r in ok.collect()] == [1]
@@ -167,13 +167,16 @@ def test_training_pairs(spark, sample, catalog):
         sample, lineage.drop("db_id"), schema.schema_text(catalog)).collect()}
     # The weather database has no schema.
     assert set(pairs) == set(range(12)) - {10}
-    first = pairs[0]
-    assert first.output == (
-        '{"tables": [{"name": "Singer", "reason": "Used in the query to answer the question: How many singers are older than 20?"}], '
-        '"columns": [{"name": "Singer.Age", "reason": "Referenced in the query to answer: How many singers are older than 20?"}]}')
-    assert "## USER QUESTION\nHow many singers are older than 20?" in first.input and "Singer(id, name, age)" in first.input
-    movie = json.loads(pairs[5].output)
-    assert movie["columns"] == [] and movie["tables"][0]["name"] == "Movie"
+    question = "Which ferries were built before 1990?"
+    assert json.loads(pairs[0].output) == {
+        "tables": [{"name": "Ferry", "reason": f"Used in the query to answer the question: {question}"}],
+        "columns": [{"name": f"Ferry.{c}", "reason": f"Referenced in the query to answer: {question}"} for c in ("built", "label")]}
+    assert question in pairs[0].input and "Ferry(id, label, built)" in pairs[0].input
+    box = json.loads(pairs[5].output)
+    assert box["columns"] == [] and box["tables"][0]["name"] == "Box"
+    short = {r.example_id: r for r in prompts.training_pairs(
+        sample, lineage.drop("db_id"), schema.schema_text(catalog), quoted=7).collect()}
+    assert json.loads(short[0].output)["tables"][0]["reason"].endswith("question: Which f")
 
 
 def test_prompt_round_trip(spark):
@@ -197,22 +200,22 @@ def test_fewshot_context(spark):
 
 def test_question_skeletons(spark, catalog):
     rows = spark.createDataFrame([
-        (1, 'How many Singer rows have age over 20?', "concert_singer"), (2, "How many rows have zebra's   name 'Bob'?", "concert_singer"),
-        (3, "How many rows have 3,500.5 age?", "none")], "example_id int, question string, db_id string")
+        (1, 'How many Ferry rows have depth over 20?', "harbour"), (2, "How many rows have zebra's   label 'Bob'?", "harbour"),
+        (3, "How many rows have 3,500.5 depth?", "none")], "example_id int, question string, db_id string")
     out = {r.example_id: r.question_skeleton for r in masking.question_skeletons(rows, catalog).collect()}
     assert out == {
         1: "How many [ENTITY] rows have [ATTRIBUTE] [ENTITY] [VALUE]?",
         2: "How many rows have [ENTITY] [ATTRIBUTE] [VALUE]?",
-        3: "How many rows have [VALUE] age?"}
+        3: "How many rows have [VALUE] depth?"}
 
 
-def test_hot_words_are_dropped_before_the_shuffle(spark, catalog, monkeypatch):
-    monkeypatch.setattr(masking, "HOT_FROM", 3)
-    monkeypatch.setattr(masking, "HOT_WORDS", 2)
-    rows = spark.createDataFrame([(i, f"the same old word{i}", "none") for i in range(9)], "example_id int, question string, db_id string")
+def test_words_by_frequency(spark, catalog):
+    rows = spark.createDataFrame([(i, f"the same old word{i} pair{i // 2}", "none") for i in range(9)], "example_id int, question string, db_id string")
     out = {r.question_skeleton for r in masking.question_skeletons(rows, catalog).collect()}
-    assert out == {"the same old [ENTITY]"}
-
+    assert out == {"the same old [ENTITY] pair0", "the same old [ENTITY] pair1", "the same old [ENTITY] pair2",
+                   "the same old [ENTITY] pair3", "the same old [ENTITY] [ENTITY]"}
+    out = {r.question_skeleton for r in masking.question_skeletons(rows, catalog, min_df=3).collect()}
+    assert out == {"the same old [ENTITY] [ENTITY]"}
 
 def test_text_vectors_are_unit_length(spark):
     rows = spark.createDataFrame([(1, "how many [ENTITY] are there"), (2, "list all [ENTITY] by [ATTRIBUTE]"), (3, "how many [ENTITY] are there")], "id int, t string")

@@ -28,7 +28,6 @@ def test_no_pairwise_joins_and_no_row_functions(spark, name):
 
 def test_scans_read_only_what_they_need(spark):
     text = plan(spark, "u3_count_difference")
-    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,50000.0)" in text
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and not any("o_orderdate" in s or "o_orderkey" in s for s in schemas)
 

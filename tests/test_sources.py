@@ -46,29 +46,29 @@ def test_read_example_dir(spark, tmp_path):
 
 
 SPIDER = {
-    "table_names_original": ["Singer", "Album", "Empty"],
-    "column_names_original": [[-1, "*"], [0, "id"], [0, "name"], [1, "id"], [9, "lost"], [1, "title"]],
+    "table_names_original": ["Kiln", "Glaze", "Empty"],
+    "column_names_original": [[-1, "*"], [0, "id"], [0, "maker"], [1, "code"], [9, "lost"], [1, "shade"]],
     "column_types": ["text", "number", "text", "number", "x"],
     "column_descriptions": ["", "key", ""],
 }
 
 
 def test_read_catalog_folder_and_combined(spark, tmp_path):
-    put(tmp_path / "dir", "concert.json", SPIDER)
+    put(tmp_path / "dir", "pottery.json", SPIDER)
     put(tmp_path / "dir", "named.json", SPIDER | {"db_id": "other"})
     put(tmp_path / "dir", "train.json", [{"question": "q"}])
     rows = cat.read_catalog(spark, str(tmp_path / "dir"))
-    one = [tuple(r)[1:] for r in rows.where("db_id = 'concert'").orderBy("table_idx", "col_idx").collect()]
+    one = [tuple(r)[1:] for r in rows.where("db_id = 'pottery'").orderBy("table_idx", "col_idx").collect()]
     assert one == [
-        (0, "Singer", 0, "id", "number", "key"), (0, "Singer", 1, "name", "text", None),
-        (1, "Album", 0, "id", "number", None), (1, "Album", 1, "title", None, None), (2, "Empty", None, None, None, None)]
+        (0, "Kiln", 0, "id", "number", "key"), (0, "Kiln", 1, "maker", "text", None),
+        (1, "Glaze", 0, "code", "number", None), (1, "Glaze", 1, "shade", None, None), (2, "Empty", None, None, None, None)]
     assert rows.where("db_id = 'other'").count() == 5
     combined = put(tmp_path / "all", "database.json", [SPIDER | {"db_id": "x"}, SPIDER | {"db_id": "y"}])
     assert cat.read_catalog(spark, combined, combined=True).groupBy("db_id").count().collect() is not None
     texts = {r.db_id: r.schema_text for r in schema.schema_text(rows).collect()}
-    assert texts["concert"] == "Singer(id, name)\nAlbum(id, title)\nEmpty()"
+    assert texts["pottery"] == "Kiln(id, maker)\nGlaze(code, shade)\nEmpty()"
     detailed = {r.db_id: r.schema_text for r in schema.schema_text(rows, "detailed").collect()}
-    assert detailed["concert"] == 'Singer(id number "key", name text)\nAlbum(id number, title)\nEmpty()'
+    assert detailed["pottery"] == 'Kiln(id number "key", maker text)\nGlaze(code number, shade)\nEmpty()'
 
 
 def test_catalog_from_tables_skips_broken_ones(spark, tmp_path):
