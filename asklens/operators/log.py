@@ -2,9 +2,8 @@
 
 Every SQL text is cut into tokens; texts that differ only in literals share a shape. Shapes are
 made distinct first, with a map-side combine, and each token of a shape gets a role from its
-neighbours and from the catalog of its database. The log itself only meets the small table
-of shapes again, in a join that adaptive execution turns into a broadcast when it is small
-and splits where one shape is hot.
+neighbours and from the list it stands in; a ``catalog`` may be passed but is not needed for that. The log itself
+only meets the written table of shapes again, which is broadcast when it is small.
 """
 
 from __future__ import annotations
@@ -12,17 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asklens.functions.text import let
+from asklens.session import written
+
 # The placeholders of a template.
 TABLE, COLUMN, VALUE = "[TABLE]", "[COLUMN]", "[VALUE]"
 
 # Words that are never a table, a column or an alias.
 KEYWORDS = (
     "ALL AND AS ASC BETWEEN BY CASE CAST COLLATE CROSS CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP "
-    "DELETE DESC DISTINCT ELSE END ESCAPE EXCEPT EXISTS FALSE FILTER FIRST FOLLOWING FROM FULL GLOB "
-    "GROUP HAVING IN INNER INSERT INTERSECT INTO IS ISNULL JOIN LAST LEFT LIKE LIMIT MATCH NATURAL "
-    "NOCASE NOT NOTNULL NULL NULLS OFFSET ON OR ORDER OUTER OVER PARTITION PRECEDING RANGE RECURSIVE "
-    "REGEXP RIGHT ROW ROWS SELECT SET THEN TRUE UNBOUNDED UNION UPDATE USING VALUES WHEN WHERE WINDOW WITH"
+    "DELETE DESC DISTINCT ELSE END EXCEPT EXISTS FALSE FROM FULL GLOB "
+    "GROUP HAVING IN INNER INSERT INTERSECT INTO IS ISNULL JOIN LEFT LIKE LIMIT NATURAL "
+    "NOCASE NOT NOTNULL NULL NULLS ON OR ORDER OUTER OVER PARTITION "
+    "REGEXP RIGHT SELECT THEN TRUE UNION UPDATE USING WHEN WHERE WITH"
 ).split()
+
+
+def _soft_keyword(up: Column, before: Column, after: Column, second: Column, marked: Column) -> Column:
+    """Whether a word that is an ordinary name elsewhere is a keyword here, by the tokens around it.
+
+    ``before``, ``after`` and ``second`` (the one behind ``after``) are upper-case tokens, ``marked`` says that the
+    token before closes an operand. Behind FROM, JOIN, INTO, UPDATE and AS, and beside a dot, every word is a name.
+    """
+    value = F.lit(VALUE)
+    follows = (
+        (up.isin("FIRST", "LAST") & (before == "NULLS"))
+        | (up.isin("ROWS", "RANGE") & after.isin("BETWEEN", "UNBOUNDED", "CURRENT", VALUE))
+        | ((up == "ROW") & (before == "CURRENT")) | ((up == "CURRENT") & (after == "ROW"))
+        | ((up == "UNBOUNDED") & after.isin("PRECEDING", "FOLLOWING"))
+        | (up.isin("PRECEDING", "FOLLOWING") & before.isin(VALUE, "UNBOUNDED"))
+        | ((up == "MATCH") & marked & (after == value)) | ((up == "ESCAPE") & (after == value))
+        | ((up == "FILTER") & (before == ")") & (after == "(")) | ((up == "OFFSET") & (after == value))
+        | ((up == "SET") & marked & second.isin("=", ".")) | ((up == "VALUES") & (after == "("))
+        | ((up == "WINDOW") & (second == "AS")) | ((up == "RECURSIVE") & (before == "WITH")))
+    return follows & ~before.isin("FROM", "JOIN", "INTO", "UPDATE", "AS", ".") & (after != ".")
 _CLAUSES = ("SELECT", "FROM", "JOIN", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "ON", "SET", "UNION",
             "INTERSECT", "EXCEPT")
 _CONSTANTS = ("NULL", "TRUE", "FALSE")
@@ -68,8 +90,13 @@ def _with_shapes(log: DataFrame) -> DataFrame:
     shaped = log.withColumn("_s", shape)
 
     # Few references to the shape, since a filter on this flag repeats the expression.
-    parsable = F.col("_s").rlike(_STATEMENT) & (
-        F.length(F.translate("_s", "(", "")) == F.length(F.translate("_s", ")", "")))
+    # Parentheses are balanced if their running depth ends at 0 and never falls below.
+    steps = F.split(F.regexp_replace("_s", "[^()]", ""), "")
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    depth = F.aggregate(steps, zero, lambda a, t: let(
+        a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0),
+        lambda d: F.struct(d.alias("depth"), F.least(a["least"], d).alias("least"))))
+    parsable = F.col("_s").rlike(_STATEMENT) & (depth == F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")))
     # The last coalesce makes the shape a non-null column: joining on it then adds no null filter,
     # which would repeat the expression on the scan.
     own = F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))
@@ -83,29 +110,49 @@ def _distinct_shapes(shaped: DataFrame) -> DataFrame:
 
 
 def _onto(shaped: DataFrame, found: DataFrame) -> DataFrame:
-    """Join what was worked out per shape back to the log."""
-    right = found.withColumnRenamed("db_id", "_db").withColumnRenamed("_shape", "_s")
+    """Join what was worked out per shape back to the log.
+
+    The shapes are written first: the planner then knows their size, and sends a small table to the
+    log instead of shuffling the log on its hottest shapes.
+    """
+    right = written(found, "shapes").withColumnRenamed("db_id", "_db").withColumnRenamed("_shape", "_s")
     same = F.col("db_id").eqNullSafe(F.col("_db")) & (F.col("_shape") == F.col("_s")) & F.col("parsable")
     return shaped.join(right, same, "left").drop("_db", "_s")
 
 
-def _classified(shapes: DataFrame, catalog: DataFrame) -> DataFrame:
+def _classified(shapes: DataFrame) -> DataFrame:
     """Add ``_t`` to distinct shapes: an array of (tok, up, role).
 
     Roles: keyword, value, function, qualifier, table, column, alias, implicit (an alias without
     AS), cte, mark.
     """
-    words = catalog.groupBy("db_id").agg(F.collect_set(F.lower("table_name")).alias("_tables"))
-    base = shapes.withColumn("_raw", sql_tokens(F.col("_shape"))).join(words, "db_id", "left")
-    # Step 1: what each token is by itself, and the clause it stands in.
-    kinds = F.transform("_raw", lambda t: F.struct(
-        t.alias("tok"), F.upper(t).alias("up"),
-        F.when(t == VALUE, "value").when(F.upper(t).isin(*_CONSTANTS), "value")
-        .when(F.upper(t).isin(*KEYWORDS), "keyword")
-        .when(t.rlike(r'^(?:"|`|\[|[\p{L}_])'), "word").otherwise("mark").alias("kind")))
+    base = shapes.withColumn("_raw", sql_tokens(F.col("_shape")))
+    # Step 1: what each token is by itself and beside its neighbours, and the clause it stands in.
+    def up(i: Column) -> Column:
+        return F.coalesce(F.upper(F.get("_raw", i)), F.lit(""))
+
+    def kind(t: Column, i: Column) -> Column:
+        marked = up(i - 1).rlike(r'^(?:\[VALUE\]|\)|"|`|[\p{L}_])') & ~up(i - 1).isin(*KEYWORDS)
+        return (
+            F.when(t == VALUE, "value").when(F.upper(t).isin(*_CONSTANTS), "value")
+            .when(F.upper(t).isin(*KEYWORDS), "keyword")
+            .when(_soft_keyword(F.upper(t), up(i - 1), up(i + 1), up(i + 2), marked), "keyword")
+            .when(t.rlike(r'^(?:"|`|\[|[\p{L}_])'), "word").otherwise("mark"))
+
+    kinds = F.transform("_raw", lambda t, i: F.struct(t.alias("tok"), F.upper(t).alias("up"), kind(t, i).alias("kind")))
     base = base.withColumn("_k", kinds)
-    clause_marks = F.transform("_k", lambda x: F.when(x["up"].isin(*_CLAUSES) & (x["kind"] == "keyword"), x["up"]))
-    base = base.withColumn("_c", clause_marks)
+    # The last clause word at the token's own depth: a parenthesis opens a list of its own.
+    start = F.struct(F.array(F.lit("")).alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def walked(state: Column, x: Column) -> Column:
+        open_ = state["open"]
+        whole = F.slice(open_, F.lit(1), F.greatest(F.size(open_) - 1, F.lit(1)))
+        now = F.when(x["tok"] == "(", F.concat(open_, F.array(F.lit("")))).when(x["tok"] == ")", whole).when(
+            x["up"].isin(*_CLAUSES) & (x["kind"] == "keyword"),
+            F.concat(F.slice(open_, F.lit(1), F.size(open_) - 1), F.array(x["up"]))).otherwise(open_)
+        return F.struct(now.alias("open"), F.concat(state["out"], F.array(F.element_at(now, -1))).alias("out"))
+
+    base = base.withColumn("_c", F.aggregate("_k", start, walked)["out"])
 
     def at(i: Column, offset: int) -> Column:
         return F.get("_k", i + offset)
@@ -115,12 +162,11 @@ def _classified(shapes: DataFrame, catalog: DataFrame) -> DataFrame:
         before, after = at(i, -1), at(i, 1)
         opens_table = F.coalesce(before["up"].isin("FROM", "JOIN", "INTO", "UPDATE"), F.lit(False))
         dotted = F.coalesce(before["tok"] == ".", F.lit(False))
-        dotted_table = dotted & F.coalesce(at(i, -3)["up"].isin("FROM", "JOIN", "INTO", "UPDATE"), F.lit(False))
-        clause = F.element_at(F.filter(F.slice("_c", F.lit(1), i), lambda c: c.isNotNull()), F.lit(-1))
-        listed = (
-            F.coalesce(before["tok"] == ",", F.lit(False))
-            & F.array_contains(F.coalesce("_tables", F.array().cast("array<string>")), F.lower(_bare(x["tok"])))
-            & F.when(F.coalesce(before["tok"] == ",", F.lit(False)), clause.isin("FROM", "JOIN", "ON")).otherwise(False))
+        in_list = F.coalesce(F.get("_c", i).isin("FROM", "JOIN", "ON"), F.lit(False))
+        dotted_table = dotted & (F.coalesce(at(i, -3)["up"].isin("FROM", "JOIN", "INTO", "UPDATE"), F.lit(False))
+                                 | (F.coalesce(at(i, -3)["tok"] == ",", F.lit(False)) & in_list))
+        # A word behind a comma of an open FROM list is a table, known to the catalog or not.
+        listed = F.coalesce(before["tok"] == ",", F.lit(False)) & in_list & (F.coalesce(after["tok"], F.lit("")) != "(")
         follows_name = F.coalesce(
             before["kind"].isin("word", "value") | (before["tok"] == ")")
             | ((before["up"] == "END") & (before["kind"] == "keyword")), F.lit(False))
@@ -137,7 +183,7 @@ def _classified(shapes: DataFrame, catalog: DataFrame) -> DataFrame:
             .otherwise("column"))
 
     roles = F.transform("_k", lambda x, i: F.struct(x["tok"], x["up"], role(x, i).alias("role")))
-    return base.withColumn("_t", roles).drop("_raw", "_k", "_c", "_tables")
+    return base.withColumn("_t", roles).drop("_raw", "_k", "_c")
 
 
 def _skeleton() -> Column:
@@ -164,18 +210,18 @@ def _skeleton() -> Column:
     return F.regexp_replace(F.array_join(F.transform("_t", spaced), ""), r"[\s;]+$", "")
 
 
-def sql_skeletons(log: DataFrame, catalog: DataFrame) -> DataFrame:
+def sql_skeletons(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """Add ``skeleton`` to a log (db_id, sql, ...): tables, columns and literals as placeholders.
 
     Aliases, qualifiers, function names and keywords stay. A text that is no statement or has
     unbalanced quotes or parentheses keeps its own text and has ``parsable`` false.
     """
     shaped = _with_shapes(log)
-    found = _classified(_distinct_shapes(shaped), catalog).select("db_id", "_shape", _skeleton().alias("skeleton"))
+    found = _classified(_distinct_shapes(shaped)).select("db_id", "_shape", _skeleton().alias("skeleton"))
     return _onto(shaped, found).withColumn("skeleton", F.coalesce("skeleton", "sql")).drop("_shape")
 
 
-def template_counts(log: DataFrame, catalog: DataFrame, weight: str | None = None) -> DataFrame:
+def template_counts(log: DataFrame, catalog: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """(db_id, skeleton, n, sample_sql): how often each template occurs in each database.
 
     Texts that only differ in literals are merged by a first aggregation, which combines on the
@@ -185,7 +231,7 @@ def template_counts(log: DataFrame, catalog: DataFrame, weight: str | None = Non
     n = F.sum(weight) if weight else F.count(F.lit(1))
     shapes = _with_shapes(log).groupBy("db_id", "_shape").agg(
         n.alias("_n"), F.min("sql").alias("sql"), F.bool_or("parsable").alias("parsable"))
-    statements = _classified(shapes.where("parsable"), catalog).withColumn("skeleton", _skeleton())
+    statements = _classified(shapes.where("parsable")).withColumn("skeleton", _skeleton())
     kept = ["db_id", "skeleton", "_n", "sql"]
     others = shapes.where(~F.col("parsable")).withColumn("skeleton", F.col("sql"))
     return statements.select(kept).unionByName(others.select(kept)).groupBy("db_id", "skeleton").agg(
@@ -244,7 +290,7 @@ def token_frequencies(skeletons: DataFrame, mode: str = "compat") -> DataFrame:
     return per_template.groupBy("token").agg(F.sum("_n").alias("n"), F.sum("_w").alias("n_skeletons"))
 
 
-def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple[DataFrame, DataFrame]:
+def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "qid") -> tuple[DataFrame, DataFrame]:
     """Tables and columns every query uses: ((db_id, key, kind, item), quarantine).
 
     Aliases are resolved to their tables and ``*`` is skipped. A column without a qualifier belongs
@@ -253,7 +299,7 @@ def query_lineage(log: DataFrame, catalog: DataFrame, key: str = "qid") -> tuple
     the quarantine with a reason.
     """
     shaped = _with_shapes(log)
-    roles = _classified(_distinct_shapes(shaped), catalog)
+    roles = _classified(_distinct_shapes(shaped))
     # A table and the alias that follows it; without one the table goes by its own name.
     def entry(x: Column, i: Column) -> Column:
         after, second = F.get("_t", i + 1), F.get("_t", i + 2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from asklens.operators import compare, log, prompts, responses, schema, similarity
 from asklens.plans import query, rounded
 from asklens.session import written
-from asklens.views import stored_catalog, table, view
+from asklens.views import VIEWS, stored_catalog, table, view
 
 # The check's own way: tokens as rows, neighbours by window, names by the stored columns.
 _TOKENS = r"""
@@ -227,3 +227,95 @@ SELECT kind, n_predicted, n_true, n_hit, {_F1} FROM o
 """)
 def j7_overall(spark, sf):
     return rounded(compare.linking_scores_overall(_scores(spark, sf)))
+
+
+# Statements with names that are keywords elsewhere, lists of tables, nesting, quotes and broken texts: the text ({n}
+# is a number of the row), its skeleton, its tables and its columns. What is expected is written out for each.
+RICH = [
+    ("SELECT COUNT(id) FROM Match WHERE goals > {n}", "SELECT COUNT([COLUMN]) FROM [TABLE] WHERE [COLUMN] > [VALUE]",
+     "Match", "Match.goals|Match.id"),
+    ("SELECT T1.first FROM Match AS T1 JOIN Player AS T2 ON T1.id = T2.last WHERE T2.range = {n}",
+     "SELECT T1.[COLUMN] FROM [TABLE] AS T1 JOIN [TABLE] AS T2 ON T1.[COLUMN] = T2.[COLUMN] WHERE T2.[COLUMN] = [VALUE]",
+     "Match|Player", "Match.first|Match.id|Player.last|Player.range"),
+    ("SELECT row, range, match FROM seats WHERE offset = {n} ORDER BY first",
+     "SELECT [COLUMN], [COLUMN], [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE] ORDER BY [COLUMN]",
+     "seats", "seats.first|seats.match|seats.offset|seats.range|seats.row"),
+    ("SELECT a.x, b.y FROM t1 a, t2 b WHERE a.id = b.id AND a.k = {n}",
+     "SELECT a.[COLUMN], b.[COLUMN] FROM [TABLE] AS a, [TABLE] AS b WHERE a.[COLUMN] = b.[COLUMN] AND a.[COLUMN] = [VALUE]",
+     "t1|t2", "t1.id|t1.k|t1.x|t2.id|t2.y"),
+    ("WITH c AS (SELECT id FROM t1) SELECT c.id FROM t2, c WHERE c.id < {n}",
+     "WITH c AS (SELECT [COLUMN] FROM [TABLE]) SELECT c.[COLUMN] FROM [TABLE], [TABLE] WHERE c.[COLUMN] < [VALUE]",
+     "c|t1|t2", "?.id|c.id"),
+    ("SELECT x.a FROM x WHERE x.b = {n} UNION SELECT y.a FROM y",
+     "SELECT x.[COLUMN] FROM [TABLE] WHERE x.[COLUMN] = [VALUE] UNION SELECT y.[COLUMN] FROM [TABLE]", "x|y", "x.a|x.b|y.a"),
+    ("SELECT CASE WHEN p > {n} THEN 'high' ELSE 'low' END AS band FROM prices",
+     "SELECT CASE WHEN [COLUMN] > [VALUE] THEN [VALUE] ELSE [VALUE] END AS band FROM [TABLE]", "prices", "prices.p"),
+    ("SELECT name FROM zoo WHERE id IN (SELECT zoo_id FROM animal WHERE age > (SELECT AVG(age) FROM animal WHERE cage = {n}))",
+     "SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] IN (SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] > "
+     "(SELECT AVG([COLUMN]) FROM [TABLE] WHERE [COLUMN] = [VALUE]))", "animal|zoo", "?.age|?.cage|?.id|?.name|?.zoo_id"),
+    ('SELECT "free seats" FROM "my hall" WHERE `row no` = {n}', "SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE]",
+     "my hall", "my hall.free seats|my hall.row no"),
+    ("SELECT a -- all of them\nFROM t /* the {n} */ WHERE b = 'x--y'", "SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE]",
+     "t", "t.a|t.b"),
+    ("SELECT a FROM t WHERE b IS NOT NULL AND c = TRUE AND d < -{n}",
+     "SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] IS NOT [VALUE] AND [COLUMN] = [VALUE] AND [COLUMN] < -[VALUE]", "t", "t.a|t.b|t.c|t.d"),
+    ("SELECT a FROM t ORDER BY a LIMIT {n} OFFSET 20", "SELECT [COLUMN] FROM [TABLE] ORDER BY [COLUMN] LIMIT [VALUE] OFFSET [VALUE]",
+     "t", "t.a"),
+    ("UPDATE stock SET amount = {n} WHERE item = 'nut'", "UPDATE [TABLE] SET [COLUMN] = [VALUE] WHERE [COLUMN] = [VALUE]",
+     "stock", "stock.amount|stock.item"),
+    ("SELECT SUM(v) OVER (ORDER BY d ROWS BETWEEN {n} PRECEDING AND CURRENT ROW) AS total FROM flows",
+     "SELECT SUM([COLUMN]) OVER (ORDER BY [COLUMN] ROWS BETWEEN [VALUE] PRECEDING AND CURRENT ROW) AS total FROM [TABLE]",
+     "flows", "flows.d|flows.v"),
+    ("SELECT t.a FROM u JOIN t ON u.id = t.id, w WHERE w.z = {n}",
+     "SELECT t.[COLUMN] FROM [TABLE] JOIN [TABLE] ON u.[COLUMN] = t.[COLUMN], [TABLE] WHERE w.[COLUMN] = [VALUE]",
+     "t|u|w", "t.a|t.id|u.id|w.z"),
+    ("SELECT f.values, f.set FROM filter AS f WHERE f.window = {n}",
+     "SELECT f.[COLUMN], f.[COLUMN] FROM [TABLE] AS f WHERE f.[COLUMN] = [VALUE]", "filter", "filter.set|filter.values|filter.window"),
+    ("SELECT m.a FROM (SELECT a, b FROM t WHERE b = {n}) AS m, v", "SELECT m.[COLUMN] FROM (SELECT [COLUMN], [COLUMN] FROM [TABLE] "
+     "WHERE [COLUMN] = [VALUE]) AS m, [TABLE]", "t|v", "?.a|?.b|m.a"),
+    ("SELECT a FROM t WHERE b LIKE '%({n}' AND c <> 'it''s'", "SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] LIKE [VALUE] AND [COLUMN] <> [VALUE]",
+     "t", "t.a|t.b|t.c"),
+    ("SELECT )( FROM t WHERE a = {n}", None, None, None),
+    ("SELECT (a FROM t WHERE b = {n}", None, None, None),
+    ("SELECT 'open FROM t WHERE b = {n}", None, None, None),
+    ("what is {n}?", None, None, None),
+]
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# Every line item asks one of the statements; numbers repeat, so that the log has many copies of a text.
+VIEWS["v_rich_log"] = f"""
+SELECT 'db' || cast(l_suppkey % 10 AS string) AS db_id, l_orderkey * 10 + l_linenumber AS qid, k, skeleton, tables, columns,
+  replace(text, '{{n}}', cast(l_partkey % 50 AS string)) AS sql
+FROM lineitem JOIN ({" UNION ALL ".join(
+    f"SELECT {k} AS k, {_literal(text)} AS text, cast({_literal(skeleton)} AS string) AS skeleton, "
+    f"cast({_literal(tables)} AS string) AS tables, cast({_literal(columns)} AS string) AS columns"
+    for k, (text, skeleton, tables, columns) in enumerate(RICH))}) s
+ON s.k = (l_orderkey + l_linenumber * 7 + l_partkey) % {len(RICH)}
+"""
+
+
+@query("f6_sql_skeletons_rich", """
+SELECT db_id, qid, k, coalesce(skeleton, sql) AS skeleton, skeleton IS NOT NULL AS parsable FROM v_rich_log
+""")
+def f6_rich(spark, sf):
+    rows = view(spark, sf, "v_rich_log").select("db_id", "qid", "k", "sql")
+    return log.sql_skeletons(rows).select("db_id", "qid", "k", "skeleton", "parsable")
+
+
+@query("j4_query_lineage_rich", """
+SELECT db_id, qid, 'table' AS kind, unnest(string_split(tables, '|')) AS item FROM v_rich_log WHERE tables IS NOT NULL
+UNION ALL SELECT db_id, qid, 'column', unnest(string_split(columns, '|')) FROM v_rich_log WHERE columns IS NOT NULL
+""")
+def j4_rich(spark, sf):
+    return log.query_lineage(view(spark, sf, "v_rich_log").select("db_id", "qid", "sql"))[0]
+
+
+@query("a14_template_counts_rich", """
+SELECT coalesce(skeleton, sql) AS skeleton, count(*) AS n FROM v_rich_log GROUP BY 1
+""")
+def a14_rich(spark, sf):
+    return log.template_counts(view(spark, sf, "v_rich_log").select("db_id", "sql")).groupBy("skeleton").agg(F.sum("n").alias("n"))
