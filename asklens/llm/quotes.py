@@ -81,18 +81,19 @@ def threads(replies: DataFrame) -> DataFrame:
     One row per (conv, turn); a null parent is a root. Pointers are doubled: every round a message looks as far
     again as it already does, so rounds grow with the logarithm of the longest chain. Each is a written table.
     """
-    # up: the farthest ancestor known so far; a root points to itself at distance 0.
+    # up: the farthest ancestor known so far, level: the distance to it, done: whether it is a root.
     found = written(replies.select("conv", "turn", F.coalesce("parent", "turn").alias("up"),
-                                   F.col("parent").isNotNull().cast("long").alias("level")), "threads")
-    while True:
-        ends = found.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        step = found.join(ends, ["conv", "up"], "left").select(
+                                   F.col("parent").isNotNull().cast("long").alias("level"),
+                                   F.col("parent").isNull().alias("done")), "threads")
+    while not found.where("NOT done").isEmpty():
+        ends = found.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"),
+                            F.col("done").alias("there"))
+        # Only messages that have not found their root yet are looked up.
+        step = found.where("NOT done").join(ends, ["conv", "up"], "left").select(
             "conv", "turn", F.coalesce("next", "up").alias("up"),
-            (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
-        step = written(step, "threads")
-        found = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return found.withColumnRenamed("up", "root")
+            (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), F.coalesce("there", F.lit(True)).alias("done"))
+        found = written(found.where("done").union(step), "threads")
+    return found.select("conv", "turn", F.col("up").alias("root"), "level")
 
 
 def conversations(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text",
