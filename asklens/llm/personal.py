@@ -20,8 +20,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What the method adds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+IBAN = "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}"
+SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
+_IBAN, _SSN = re.compile(IBAN), re.compile(SSN)
+_BESIDE_IBAN, _BESIDE_SSN = re.compile("[A-Za-z0-9]"), re.compile("[0-9-]")
 _DIGIT = re.compile("[0-9]")
 SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()),
                    StructField("score", DoubleType())])
@@ -73,6 +75,11 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _alone(text: str, m: re.Match, beside: re.Pattern) -> bool:
+    """Whether no character of ``beside`` touches the match."""
+    return not beside.match(text[m.start() - 1:m.start()]) and not beside.match(text[m.end():m.end() + 1])
+
+
 def find_spans(text: str | None, weights: Weights) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind; code points, end exclusive."""
     if not text:
@@ -93,9 +100,9 @@ def find_spans(text: str | None, weights: Weights) -> list[tuple[str, int, int,
                     found.append((3, *m.span()))
         for m in _IBAN.finditer(text):
             code = m[0].replace(" ", "")
-            if 15 <= len(code) <= 34 and mod97(code):
+            if _alone(text, m, _BESIDE_IBAN) and 15 <= len(code) <= 34 and mod97(code):
                 found.append((4, *m.span()))
-        found += [(5, *m.span()) for m in _SSN.finditer(text)]
+        found += [(5, *m.span()) for m in _SSN.finditer(text) if _alone(text, m, _BESIDE_SSN)]
     found.sort(key=lambda f: (f[1], f[0], f[2]))
     out = []
     for kind, a, b in found:

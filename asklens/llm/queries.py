@@ -25,6 +25,10 @@ def query(name: str, check: str | None = None):
     return keep
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -80,7 +84,53 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                         "component_id")
 
 
-@query("op4_secret_scan")
+def _secret_check() -> str:
+    """Base spans, samples, transition counts and scores in the checking engine."""
+    def spans(kind: int, pattern: str, group: int) -> str:
+        p = _quoted(pattern)
+        return (f"SELECT doc_id, {kind} AS kind, unnest(range(1, len(m) + 1)) AS k, m, g, v FROM (SELECT doc_id, "
+                f"regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}, {group}) AS v FROM d)")
+
+    s = secret_scan
+    all_spans = " UNION ALL ".join(
+        spans(k, p, g) for k, (p, g) in enumerate(((s.ASSIGN, 2), (s.ACCESS, 0), (s.HEX, 0), (s.TOKEN, 0))))
+    listed = "coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind, b){}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  raw AS ({all_spans}),
+  placed AS (SELECT doc_id, kind, v[k] AS value, m[k] AS whole, list_sum(list_transform(g[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS a FROM raw),
+  spans AS (SELECT doc_id, kind, value, cast(a AS bigint) AS a, cast(a + length(whole) AS bigint) AS b FROM placed),
+  base AS (SELECT * FROM spans WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= {s.LEAST_ASSIGNED}),
+  tokens AS (SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(value, '[A-Za-z]') AND NOT EXISTS (
+      SELECT 1 FROM base WHERE base.doc_id = s.doc_id AND base.a < s.b AND s.a < base.b)),
+  secrets AS (SELECT value AS token, count(*) AS n FROM base GROUP BY 1),
+  parts AS (SELECT DISTINCT unnest(regexp_extract_all(token, {_quoted(s.IDENTIFIER)})) AS token FROM secrets),
+  words AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, {_quoted(s.IDENTIFIER)})) AS token FROM d)
+      WHERE token NOT IN (SELECT token FROM parts) GROUP BY 1),
+  samples AS (SELECT token, 1 AS label, n FROM secrets UNION ALL SELECT token, 0, n FROM words),
+  pairs AS (SELECT label, substr(token, i, 1) AS x, substr(token, i + 1, 1) AS y, sum(n) AS n
+      FROM (SELECT label, token, n, unnest(range(1, length(token))) AS i FROM samples) GROUP BY ALL),
+  firsts AS (SELECT label, x, sum(n) AS total FROM pairs GROUP BY ALL),
+  keys AS (SELECT DISTINCT x, y FROM pairs),
+  shares AS (SELECT keys.x, keys.y, l.label, CASE WHEN f.total IS NULL THEN 1.0::double / {s.ALPHABET}
+        WHEN p.n IS NULL THEN {s.SMOOTH}::double / {s.ALPHABET}
+        ELSE (1 - {s.SMOOTH}::double) * p.n::double / f.total::double + {s.SMOOTH}::double / {s.ALPHABET} END AS p
+      FROM keys CROSS JOIN (VALUES (0), (1)) l(label) LEFT JOIN firsts f ON f.x = keys.x AND f.label = l.label
+      LEFT JOIN pairs p ON p.x = keys.x AND p.y = keys.y AND p.label = l.label),
+  ratios AS (SELECT x, y, cast(round(1000 * (max(CASE WHEN label = 1 THEN ln(p) END) - max(CASE WHEN label = 0 THEN ln(p) END))) AS bigint) AS w
+      FROM shares GROUP BY x, y),
+  scored AS (SELECT doc_id, a, b, sum(w) AS score FROM (SELECT doc_id, a, b, value, unnest(range(1, length(value))) AS i FROM tokens) t
+      JOIN ratios r ON r.x = substr(value, i, 1) AND r.y = substr(value, i + 1, 1) GROUP BY ALL),
+  found AS (SELECT doc_id, kind, a, b FROM base UNION ALL SELECT doc_id, 3, a, b FROM scored WHERE score >= {s.LEAST_SCORE}),
+  named AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] AS name FROM found)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256({listed.format(" FILTER (kind < 3)")}) AS base_sha256, {listed.format("")} AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op4_secret_scan", _secret_check())
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its secrets."""
     found = secret_scan.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
@@ -155,7 +205,47 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op9_personal_data")
+def _personal_check() -> str:
+    """Spans, checksums and context in the checking engine."""
+    w = personal.Weights()
+    forms = ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "[0-9]([\\x20-]?[0-9])+",
+             "\\+[0-9][\\x20().0-9-]+[0-9]", personal.IBAN, personal.SSN)
+    spans = " UNION ALL ".join(
+        f"SELECT doc_id, t, {k} AS kind, unnest(range(1, len(m) + 1)) AS k, m, g FROM (SELECT doc_id, t, "
+        f"regexp_extract_all(t, {_quoted(p)}) AS m, string_split_regex(t, {_quoted(p)}) AS g FROM d)" for k, p in enumerate(forms))
+    near = lambda words: "(" + " OR ".join(f"contains(near, {_quoted(x)})" for x in words) + ")"
+    listed = "coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind, b){}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  raw AS ({spans}),
+  placed AS (SELECT doc_id, t, kind, m[k] AS s, cast(list_sum(list_transform(g[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS bigint) AS a FROM raw),
+  found AS (SELECT doc_id, kind, s, a, cast(a + length(s) AS bigint) AS b, regexp_replace(s, '[^0-9]', '', 'g') AS digits,
+      replace(s, ' ', '') AS code, CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END AS before, substr(t, a + length(s) + 1, 1) AS after,
+      lower(substr(t, greatest(a - {w.reach}, 0) + 1, a - greatest(a - {w.reach}, 0)) || ' ' || substr(t, a + length(s) + 1, {w.reach})) AS near
+      FROM placed),
+  checked AS (SELECT *, list_sum(list_transform(range(0, length(digits)), lambda k: CASE
+        WHEN k % 2 = 0 THEN cast(substr(digits, length(digits) - k, 1) AS int)
+        WHEN cast(substr(digits, length(digits) - k, 1) AS int) > 4 THEN 2 * cast(substr(digits, length(digits) - k, 1) AS int) - 9
+        ELSE 2 * cast(substr(digits, length(digits) - k, 1) AS int) END)) % 10 = 0 AS luhn,
+      CASE WHEN kind = 4 THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(code, 5) || substr(code, 1, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE cast(ascii(c) - 55 AS varchar) END), ''), ''),
+        lambda c: cast(c AS int)), lambda x, y: (x * 10 + y) % 97) = 1 END AS mod97 FROM found),
+  kept AS (SELECT *, [{", ".join(f"'{k}'" for k in personal.KINDS)}][kind + 1] AS name FROM checked WHERE kind = 0
+    OR (kind = 1 AND list_bool_and(list_transform(string_split(s, '.'), lambda p: length(ltrim(p, '0')) <= 3
+        AND coalesce(try_cast(ltrim(p, '0') AS int), 0) <= 255)))
+    OR (kind = 2 AND length(digits) BETWEEN 12 AND 19 AND luhn) OR (kind = 3 AND length(digits) BETWEEN 9 AND 15)
+    OR (kind = 4 AND NOT regexp_matches(before || after, '[A-Za-z0-9]') AND length(code) BETWEEN 15 AND 34 AND mod97
+        AND {w.prior[4]} + {w.context} * {near(w.words[4])}::int - {w.against} * {near(w.unlikely)}::int >= {w.least})
+    OR (kind = 5 AND NOT regexp_matches(before || after, '[0-9-]')
+        AND {w.prior[5]} + {w.context} * {near(w.words[5])}::int - {w.against} * {near(w.unlikely)}::int >= {w.least}))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, n in enumerate(personal.BASE))},
+  sha256({listed.format(" FILTER (kind < 4)")}) AS base_sha256, {listed.format("")} AS spans
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op9_personal_data", _personal_check())
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its spans of personal data."""
     found = personal.personal_data(table(spark, sf, "documents").select("doc_id", "text"))
@@ -164,7 +254,36 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(personal.listed("pii", personal.BASE), 256).alias("base_sha256"), personal.listed("pii").alias("spans"))
 
 
-@query("op10_line_rules")
+def _line_check() -> str:
+    """Counts and line rules in the checking engine, from the same thresholds and phrases."""
+    r = line_rules.Rules()
+    word, letters = "'[^ \\t-\\r]+'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    count = lambda text, chars: f"length(regexp_replace({text}, {_quoted('[^' + chars + ']')}, '', 'g'))"
+    ends = _quoted("[" + "".join(e.replace("]", "\\]") for e in r.ends) + "][ \\t-\\r]*$")
+    phrases = " OR ".join(f"contains(translate(line, {letters}), {_quoted(p)})" for p in r.phrases)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT doc_id, t, regexp_extract_all(t, {word}) AS w FROM d),
+  lines AS (SELECT doc_id, line, len(regexp_extract_all(line, {word})) AS n
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+  rated AS (SELECT *, {count("line", "".join(r.separators))} AS bars, {count("line", "#*$%&<>!{}~^" + chr(92) * 2 + "_=")} AS marks FROM lines WHERE n > 0),
+  judged AS (SELECT doc_id, line, n, (bars >= {r.least_separators} AND bars * {r.per_separator} >= n)
+      OR (marks >= {r.least_marks} AND marks * {r.per_mark} >= n)
+      OR (n < {r.fragment_words} AND NOT regexp_matches(line, {ends})) OR ({phrases}) AS failed FROM rated),
+  by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (failed), 0) AS lost FROM judged GROUP BY doc_id),
+  windows AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k], w[k + 1], w[k + 2]) AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+  repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + 3)) AS place FROM windows WHERE c > 1) GROUP BY doc_id),
+  counted AS (SELECT doc_id, cast(len(w) AS bigint) AS n_words, {count("t", " " + chr(92) + "t-" + chr(92) + "r").replace("[^", "[")} AS word_chars,
+      {count("t", "#*$%&|<>")} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+    FROM w LEFT JOIN by_line USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+  failed AS (SELECT *, n_words < {r.least_words} OR 100 * n_repeat_words > {r.most_repeated} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost <= {r.most_lost} * n_words AS kept FROM failed
+"""
+
+
+@query("op10_line_rules", _line_check())
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its counts and the verdict of the line rules."""
     found = line_rules.clean_lines(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)

@@ -36,7 +36,7 @@ def test_lines_and_verdict(spark):
     row = line_rules.measure(good + "\n" + bad, R)
     assert row["text_clean"] == good and row["kept"]
     assert (row["n_navigation"], row["n_punctuation"], row["n_boilerplate"]) == (1, 2, 1)
-    junk = line_rules.measure(good + "\n" + "\n".join(f"{nav} | {k}" for k in range(20)), R)
+    junk = line_rules.measure(good + "\n" + "\n".join(f"a{k} | b{k} | c{k} | d{k} | e{k}" for k in range(20)), R)
     assert not junk["kept"] and not junk["base_failed"] and junk["text_clean"] == good
 
 
