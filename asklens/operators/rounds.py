@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,11 +17,20 @@ ANSWER = T.StructType([T.StructField("sql", T.StringType()), T.StructField("reas
 
 
 def parsed_answers(scored: DataFrame) -> DataFrame:
-    """(question_id, sql, reasoning): answers out of responses; text that is no JSON object is the SQL."""
+    """(question_id, sql, reasoning, error): answers out of responses; text that is no JSON object is the SQL.
+
+    ``error`` is that of the model call, NULL for a call that went well.
+    """
     good, bad = responses.extract_json(scored.select("question_id", "response"), "response", ANSWER)
     both = good.unionByName(bad.select("question_id", F.col("raw_response").alias("sql"), F.lit("").alias("reasoning")))
-    return both.select(
-        "question_id", clean_sql(F.col("sql")).alias("sql"), F.trim(F.coalesce("reasoning", F.lit(""))).alias("reasoning"))
+    failed = scored.where("error IS NOT NULL").select("question_id", "error")
+    return both.join(failed, "question_id", "left").select(
+        "question_id", "error", clean_sql(F.col("sql")).alias("sql"), F.trim(F.coalesce("reasoning", F.lit(""))).alias("reasoning"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def question_vectors(questions: DataFrame, examples: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,13 +48,19 @@ def question_vectors(questions: DataFrame, examples: DataFrame, catalog: DataFra
 
 
 def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFrame, make_fn: Callable,
-                     linking: DataFrame | None = None, n: int = 3, batch_size: int = 16) -> DataFrame:
+                     linking: DataFrame | None = None, n: int = 3, batch_size: int = 16,
+                     partitions: int | None = None, run_dir: str | None = None) -> DataFrame:
     """Final answers of ``questions`` (question_id, db_id, question, evidence).
 
     Round 1 shows the n examples (example_id, question, sql, db_id) with the most similar question
     templates; round 2 shows those whose SQL templates are closest to the draft's. Responses are
     written after each round, so nothing that follows repeats a model call. ``linking`` is
     (question_id as text, schema_json); other questions see their database's whole schema.
+
+    Beside the final answer a row has both rounds' texts, reasoning and validity, the number of examples shown
+    and ``error``, that of the last failed model call: an outage is told from a bad answer. ``partitions`` spreads the model calls.
+    With a ``run_dir`` the responses of both rounds are kept there, and a repeated run asks only for
+    questions that have none without error.
     """
     texts = schema.schema_json(schema.schema_text_rows(schema.schema_text(catalog, "typed")))
     if linking is None:
@@ -58,10 +73,24 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
         return shown.select("question_id", prompts.filled(template).alias("prompt"))
 
     def answered(rows: DataFrame, label: str) -> DataFrame:
-        return written(parsed_answers(written(batch_score(rows, make_fn, batch_size), label)), label + "-parsed")
+        spark = rows.sparkSession
+        if run_dir is None:
+            return written(parsed_answers(written(batch_score(rows, make_fn, batch_size, partitions=partitions), label)), label + "-parsed")
+        kept = spark.createDataFrame([], "question_id string, response string, error string") if not _exists(spark, f"{run_dir}/{label}") \
+            else spark.read.schema(f"question_id {rows.schema['question_id'].dataType.simpleString()}, response string, error string").parquet(
+                f"{run_dir}/{label}")
+        done = kept.where("error IS NULL").select(F.col("question_id").cast(rows.schema["question_id"].dataType)).distinct()
+        new = batch_score(rows, make_fn, batch_size, done=done, partitions=partitions)
+        new.write.mode("append").parquet(f"{run_dir}/{label}")
+        every = spark.read.schema(new.schema).parquet(f"{run_dir}/{label}")
+        # The successful response of a question that was asked again is the one that counts.
+        last = every.join(rows.select("question_id"), "question_id", "left_semi").groupBy("question_id").agg(F.min_by(
+            F.struct("response", "error"), F.struct(F.col("error").isNotNull(), F.xxhash64("response"))).alias("r"))
+        return written(parsed_answers(last.select("question_id", "r.response", "r.error")), label + "-parsed")
 
     asked, known = question_vectors(full, examples, catalog)
-    similar = prompts.fewshot_context(similarity.knn_exact(asked, known, n), examples, n, questions=ids)
+    near = written(similarity.knn_exact(asked, known, n), "near")
+    similar = prompts.fewshot_context(near, examples, n, questions=ids)
     first = answered(prompted(full, similar, prompts.DRAFT_TEMPLATE), "round1")
 
     valid = responses.validate_answers(first.withColumnRenamed("sql", "raw"), "raw")
@@ -69,9 +98,21 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
     draft = log.sql_skeletons(full.select("question_id", "db_id").join(draft, "question_id"), catalog)
     draft = written(draft.select("question_id", F.col("sql").alias("round_1_sql"), "skeleton"), "skeletons")
     corpus = written(log.sql_skeletons(examples, catalog), "corpus")
-    hits = similarity.edit_top_n(
+    hits = written(similarity.edit_top_n(
         draft.select(F.col("question_id").alias("query_id"), "skeleton"),
-        corpus.select(F.col("example_id").alias("id"), "skeleton"), n)
+        corpus.select(F.col("example_id").alias("id"), "skeleton"), n), "hits")
     structural = prompts.fewshot_context(hits, corpus, n, with_skeleton=True, questions=ids)
     second = answered(prompted(full.join(draft, "question_id"), structural, prompts.REFINE_TEMPLATE), "round2")
-    return responses.choose_answer(first, second)
+    def told(answers: DataFrame, i: int) -> DataFrame:
+        return responses.validate_answers(answers.withColumnRenamed("sql", "raw"), "raw").select(
+            "question_id", F.col("raw").alias(f"round_{i}_text"), F.col("reasoning").alias(f"round_{i}_reasoning"),
+            F.col("valid").alias(f"round_{i}_valid"), F.col("error").alias(f"_error_{i}"))
+
+    def shown_count(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy(F.col("query_id").alias("question_id")).agg(F.count("*").alias(name))
+
+    rounds = told(first, 1).join(told(second, 2), "question_id", "full")
+    counts = shown_count(near, "n_similar").join(shown_count(hits, "n_structural"), "question_id", "full")
+    final = responses.choose_answer(first.drop("error"), second.drop("error"))
+    return final.join(rounds, "question_id").join(counts, "question_id", "left").withColumn(
+        "error", F.coalesce("_error_2", "_error_1")).drop("_error_1", "_error_2")

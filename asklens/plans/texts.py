@@ -337,16 +337,25 @@ def g1(spark, sf):
 
 
 def _two_round_stub():
-    """Stands in for a model: its answer depends on the question in the prompt and on the round."""
+    """Stands in for a model that sometimes fails; its answer depends on the question, the round and what it is shown."""
     import hashlib
     import re
 
     def answer(texts: list[str]) -> list[str]:
         out = []
         for text in texts:
-            asked = re.search(r"(?s)USER QUESTION\n(.*?)\n\n##", text).group(1)
+            asked = re.search(r"(?s)^[^\n]*:\n(.*?)\n\n(?:Hints that came|It reads:)", text).group(1)
             code = hashlib.md5(asked.encode()).hexdigest()
-            if "ROUND 1 DRAFT SQL" not in text:
+            second = "It reads:" in text
+            if second and code.endswith("0"):
+                raise ValueError("down")
+            # Three solved examples, a schema and, in the second round, the draft and its shape have to be there.
+            full = len(re.findall(r"(?m)^SQL: ", text)) == 3 and '{"' in text.split("as JSON:", 1)[1]
+            if second:
+                full = full and code in text and "[VALUE]" in text
+            if not full:
+                out.append('{"sql": "", "reasoning": "prompt incomplete"}')
+            elif not second:
                 out.append('Here: {"sql": "SELECT a FROM t WHERE b = \'' + code + '\'", "reasoning": "first"}')
             elif code < "8":
                 out.append(f"SELECT '{code}'")
@@ -358,15 +367,18 @@ def _two_round_stub():
 
 
 @query("g1_two_rounds", """
-SELECT example_id AS question_id,
-  CASE WHEN md5(question) < '8' THEN 'SELECT ''' ELSE 'SELECT a FROM t WHERE b = ''' END || md5(question) || '''' AS final_sql,
-  CASE WHEN md5(question) < '8' THEN 'first' ELSE 'second' END AS final_reasoning, true AS final_valid,
-  cast(NULL AS VARCHAR) AS final_validation_error
-FROM v_examples
+WITH q AS (SELECT example_id AS question_id, md5(question) AS code, md5(question) LIKE '%0' AS down FROM v_examples)
+SELECT question_id,
+  CASE WHEN code < '8' AND NOT down THEN 'SELECT ' || chr(39) ELSE 'SELECT a FROM t WHERE b = ' || chr(39) END || code || chr(39) AS final_sql,
+  CASE WHEN code < '8' OR down THEN 'first' ELSE 'second' END AS final_reasoning, true AS final_valid,
+  cast(NULL AS VARCHAR) AS final_validation_error, 'SELECT a FROM t WHERE b = ' || chr(39) || code || chr(39) AS round_1_text,
+  true AS round_1_valid, code < '8' AND NOT down AS round_2_valid, 3 AS n_similar, 3 AS n_structural, CASE WHEN down THEN 'down' END AS error
+FROM q
 """)
 def two_rounds(spark, sf):
     """Every question asks for its answer with all examples as the corpus."""
     examples = view(spark, sf, "v_examples")
     questions = examples.select(
-        F.col("example_id").alias("question_id"), "db_id", "question", F.lit("").alias("evidence"))
-    return rounds.generate_answers(questions, examples, stored_catalog(spark, sf), _two_round_stub)
+        F.col("example_id").alias("question_id"), F.concat(F.lit("db"), F.pmod("example_id", F.lit(10))).alias("db_id"), "question", F.lit("").alias("evidence"))
+    found = rounds.generate_answers(questions, examples, stored_catalog(spark, sf), _two_round_stub, partitions=8)
+    return found.drop("round_1_reasoning", "round_2_reasoning", "round_2_text")

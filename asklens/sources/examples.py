@@ -20,11 +20,27 @@ def _objects(spark: SparkSession, path: str, lines: bool) -> DataFrame:
         text = spark.read.text(path).where(F.trim("value") != "")
         return text.select(
             F.from_json("value", _OBJECT).alias("o"),
-            F.col("_metadata.file_name").alias("file"), F.lit(None).cast("int").alias("pos"))
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+            F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("pos"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return text.select("file", F.posexplode(F.from_json("value", f"array<{_OBJECT}>")).alias("pos", "o"))
 
 
+def _number(*content: Column) -> Column:
+    """The entry's number; without one, a number from its own id text, or else from its content, so equal entries share it."""
+    given = F.col("o")["example_id"]
+    made = F.when(given.isNotNull(), F.xxhash64(given)).otherwise(F.xxhash64(*content))
+    return F.coalesce(F.expr("try_cast(o['example_id'] AS bigint)"), made).alias("example_id")
+
+
+def _first(objects: DataFrame, limit: int | None, lines: bool) -> DataFrame:
+    """The first entries by path and place; lines of a split file have no place."""
+    if limit is None:
+        return objects
+    if lines:
+        raise ValueError("limit needs a place in the file, which JSON lines do not have")
+    return objects.orderBy("file", "pos").limit(limit)
+
+
 def _field(*names: str) -> Column:
     return F.coalesce(*[F.col("o")[n] for n in names])
 
@@ -34,14 +50,12 @@ def read_examples(spark: SparkSession, path: str, limit: int | None = None, line
     """Example corpus from JSON; ``Question``/``SQL`` are accepted for ``question``/``sql``.
 
     Returns (good, bad): rows lacking either required key go to ``bad`` with the keys they have.
-    ``strict=True`` raises when there is any. ``limit`` keeps the first rows by file and place.
+    ``strict=True`` raises when there is any. ``limit`` keeps the first rows by path and place (not for ``lines``).
     """
-    objects = _objects(spark, path, lines)
-    if limit is not None:
-        objects = objects.orderBy("file", "pos").limit(limit)
+    objects = _first(_objects(spark, path, lines), limit, lines)
+    question, sql = _field("Question", "question"), _field("SQL", "sql")
     fields = objects.select(
-        F.expr("try_cast(o['example_id'] AS bigint)").alias("example_id"),
-        _field("Question", "question").alias("question"), _field("SQL", "sql").alias("sql"),
+        _number(question, sql, F.col("o")["db_id"]), question.alias("question"), sql.alias("sql"),
         F.col("o")["db_id"].alias("db_id"),
         F.array_sort(F.map_keys("o")).alias("found_keys"))
     complete = F.col("question").isNotNull() & F.col("sql").isNotNull()
@@ -58,12 +72,10 @@ def read_spider(spark: SparkSession, path: str, limit: int | None = None, lines:
 
     ``limit`` keeps the first rows by file and place.
     """
-    objects = _objects(spark, path, lines)
-    if limit:
-        objects = objects.orderBy("file", "pos").limit(limit)
+    objects = _first(_objects(spark, path, lines), limit or None, lines)
     empty = F.lit("")
     return objects.select(
-        F.expr("try_cast(o['example_id'] AS bigint)").alias("example_id"),
+        _number(F.col("o")["question"], F.col("o")["query"], F.col("o")["db_id"]),
         F.coalesce(F.col("o")["question"], empty).alias("question"),
         F.coalesce(F.col("o")["query"], empty).alias("sql"),
         F.coalesce(F.col("o")["db_id"], empty).alias("db_id"))
@@ -89,7 +101,7 @@ def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json") ->
         .otherwise(F.array(whole)))
     rows = files.select(F.explode(entries).alias("o"))
     return rows.select(
-        F.expr("try_cast(o['example_id'] AS bigint)").alias("example_id"),
+        _number(F.col("o")["question"], F.coalesce(F.col("o")["query"], F.col("o")["SQL"]), F.col("o")["db_id"]),
         F.coalesce(F.col("o")["question"], F.lit("")).alias("question"),
         F.coalesce(F.col("o")["query"], F.col("o")["SQL"], F.lit("")).alias("sql"),
         F.coalesce(F.col("o")["db_id"], F.lit("")).alias("db_id"))

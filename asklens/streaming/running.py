@@ -35,13 +35,15 @@ def stream_examples(stream: DataFrame, out: str, checkpoint: str, once: bool = T
                     event_time: str | None = None, delay: str = "1 hour"):
     """Append examples whose (question, sql) has not been seen before.
 
-    Without an event time the state keeps every key it has seen; with one, keys are forgotten
+    The key is a 256-bit hash, so the state holds no texts. Without an event time it keeps every key it has
+    seen; with one, keys are forgotten
     after ``delay`` and late duplicates beyond it may pass, by Spark's watermark rules.
     """
+    keyed = stream.withColumn("_key", F.sha2(F.to_json(F.struct("question", "sql")), 256))
     if event_time:
-        unique = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["question", "sql"])
+        unique = keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"])
     else:
-        unique = stream.dropDuplicates(["question", "sql"])
-    writer = unique.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        unique = keyed.dropDuplicates(["_key"])
+    writer = unique.drop("_key").writeStream.outputMode("append").format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -269,3 +269,61 @@ def test_stream_examples_drops_repeats_across_batches(spark):
         running.stream_examples(stream, base + "/out", base + "/state").awaitTermination()
     out = spark.read.schema("question string, sql string").parquet(base + "/out")
     assert sorted(map(tuple, out.collect())) == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_a_repeated_run_asks_only_what_failed(spark, sample, catalog, tmp_path):
+    from asklens.operators import rounds
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    folder = str(calls)
+
+    def model(broken):
+        def make():
+            import os
+            import uuid
+
+            def answer(texts):
+                if broken and any("deepest berth?" in t[:90] for t in texts):
+                    raise ValueError("down")
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as file:
+                    file.write(texts[0][:90])
+                return ["SELECT 1" for _ in texts]
+            return answer
+        return make
+
+    questions = sample.select(F.col("example_id").alias("question_id"), "db_id", "question", F.lit("").alias("evidence"))
+    run = str(tmp_path / "run")
+    first = rounds.generate_answers(questions, sample, catalog, model(True), run_dir=run, batch_size=1)
+    assert {r.question_id for r in first.where("error IS NOT NULL").collect()} == {1}
+    before = len(list(calls.iterdir()))
+    second = rounds.generate_answers(questions, sample, catalog, model(False), run_dir=run, batch_size=1)
+    assert second.where("error IS NOT NULL").count() == 0 and second.where("final_sql = 'SELECT 1'").count() == 12
+    assert len(list(calls.iterdir())) == before + 2
+
+
+def test_entries_without_numbers_get_stable_ones(spark, tmp_path):
+    from asklens.sources import examples as src
+
+    (tmp_path / "a.json").write_text(json.dumps([
+        {"question": "q1", "sql": "s1"}, {"question": "q2", "sql": "s2"}, {"question": "q1", "sql": "s1"},
+        {"example_id": "x-7", "question": "q3", "sql": "s3"}, {"example_id": 5, "question": "q4", "sql": "s4"}]))
+    ids = [{r.question: r.example_id for r in src.read_examples(spark, str(tmp_path / "a.json"))[0].collect()} for _ in range(2)]
+    assert ids[0] == ids[1] and None not in ids[0].values() and len(set(ids[0].values())) == 4 and ids[0]["q4"] == 5
+    (tmp_path / "l.json").write_text('{"question": "q", "sql": "s"}\n')
+    with pytest.raises(ValueError):
+        src.read_examples(spark, str(tmp_path / "l.json"), limit=1, lines=True)
+
+
+def test_intermediates_have_a_place_on_any_session(spark):
+    from asklens import session
+
+    class Plain:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.sql.warehouse.dir": "file:/shared/warehouse"}.get(key, default)
+
+    assert session.shared_dir(Plain) == "file:/shared/warehouse/_asklens"
+    kept = session.written(spark.range(3), "kept")
+    assert kept.count() == 3
