@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     linked = linked.join(best, "root").select("fp", "best")
-    known = distinct.join(linked, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
+    # Written, so that the last join has two plain inputs and a fingerprint with very many copies can be split.
+    known = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("best", "first").alias("best")), "classes")
     return marks.join(known, "fp").select("id", "key", "fp", F.col("best.id").alias("component_id"),
                                           F.col("best.key").alias("first_key"))
 
