@@ -90,13 +90,17 @@ def _with_shapes(log: DataFrame) -> DataFrame:
     shaped = log.withColumn("_s", shape)
 
     # Few references to the shape, since a filter on this flag repeats the expression.
-    # Parentheses are balanced if their running depth ends at 0 and never falls below.
-    steps = F.split(F.regexp_replace("_s", "[^()]", ""), "")
+    # Parentheses are balanced if their running depth ends at 0 and never falls below. It is walked only
+    # for texts with several of them.
+    opened = F.length("_s") - F.length(F.translate("_s", "(", ""))
+    closed = F.length("_s") - F.length(F.translate("_s", ")", ""))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
-    depth = F.aggregate(steps, zero, lambda a, t: let(
+    depth = F.aggregate(F.split(F.regexp_replace("_s", "[^()]+", ""), ""), zero, lambda a, t: let(
         a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0),
         lambda d: F.struct(d.alias("depth"), F.least(a["least"], d).alias("least"))))
-    parsable = F.col("_s").rlike(_STATEMENT) & (depth == F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")))
+    nested = F.when(opened != closed, False).when(opened <= 1, F.instr("_s", "(") <= F.instr("_s", ")")).otherwise(
+        depth["least"] == 0)
+    parsable = F.col("_s").rlike(_STATEMENT) & nested
     # The last coalesce makes the shape a non-null column: joining on it then adds no null filter,
     # which would repeat the expression on the scan.
     own = F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))
