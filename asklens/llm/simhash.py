@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asklens.llm.components import components
@@ -285,9 +285,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     and empty texts (fingerprint 0) are rows like any other; an empty table gives no rows.
     """
     marks = written(fingerprints(docs, id_col, text_col), "marks")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
-    distinct = written(marks.groupBy("fp").agg(first.alias("first")), "fps")
-    roots = components(written(near_pairs(distinct, radius), "links"))
+    distinct = written(marks.groupBy("fp").agg(smallest().alias("first")), "fps")
+    return classes(marks, distinct, written(near_pairs(distinct, radius), "links"))
+
+
+def smallest() -> Column:
+    """The row of smallest id, then key, as a struct; rows without id come last."""
+    return F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
+
+
+def classes(marks: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, key, fp, component_id, first_key) from rows (id, key, fp), (fp, first) and the edges (a, b) between fp."""
+    roots = components(links)
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     linked = linked.join(best, "root").select("fp", "best")
@@ -299,9 +308,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, that of the smallest id; all its columns."""
-    classes = near_duplicates(docs, radius, id_col, text_col)
+    return kept_rows(docs, near_duplicates(docs, radius, id_col, text_col), id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the first row of each class of ``found``, as :func:`near_duplicates` gives them."""
     own, key = "_asklens_id", "_asklens_key"
-    kept = classes.where("id <=> component_id AND key = first_key").select(F.col("id").alias(own), F.col("key").alias(key))
+    kept = found.where("id <=> component_id AND key = first_key").select(F.col("id").alias(own), F.col("key").alias(key))
     hashed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     once = hashed.join(kept, (hashed[key] == kept[key]) & hashed[id_col].eqNullSafe(kept[own]), "left_semi")
     # Rows that repeat a kept row in id and text are dropped; only they share a key.
