@@ -13,7 +13,6 @@ from asklens.session import written
 # Marks at the start of a line, each with optional blanks before it.
 MARKS = "^((?:[ \\t]*>)+)"
 BREAK = "\\r?\\n"
-LEAST_CHARS = 8  # a normalised line that is shorter links nothing
 
 
 def normalised(line: Column) -> Column:
@@ -53,19 +52,18 @@ def count_quotes(text: str) -> Column:
     return F.coalesce(count, F.lit(0).cast("long"))
 
 
-def linked_passages(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text",
-                    least: int = LEAST_CHARS) -> DataFrame:
+def linked_passages(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(conv, turn, depth, origin, chars): for each quote level of a message, where its lines come from.
 
     Quoted and own lines are normalised and hashed; a quoted line comes from the first message of the conversation that
-    says it itself, if that is an earlier one. A level's origin is the message with most of its characters, the later one
+    says it itself, if that is an earlier one; only blank lines link nothing. A level's origin is the message with most of its characters, the later one
     of equals; ``chars`` counts them. A line that many messages repeat is reduced to its first message before
     the join, so the join adds no rows. Messages of the same conversation and turn count as one; rows
     without conversation or turn link nothing; levels without a known line have no row.
     """
     keys = messages.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("turn"), F.col(text_col).alias("text"))
     keys = keys.where("conv IS NOT NULL AND turn IS NOT NULL")
-    lines = lines_of(keys).select("conv", "turn", "depth", normalised(F.col("line")).alias("line")).where(F.length("line") >= least)
+    lines = lines_of(keys).select("conv", "turn", "depth", normalised(F.col("line")).alias("line")).where("line <> ''")
     lines = written(lines.groupBy("conv", "turn", "depth", F.sha2("line", 256).alias("hash")).agg(
         F.max(F.length("line")).alias("chars")), "lines")
     said = lines.where("depth = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
@@ -96,8 +94,7 @@ def threads(replies: DataFrame) -> DataFrame:
     return found.select("conv", "turn", F.col("up").alias("root"), "level")
 
 
-def conversations(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text",
-                  least: int = LEAST_CHARS) -> DataFrame:
+def conversations(messages: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
     """``messages`` without quotes and in reply order: their columns and n_quotes, reply_to, thread, level, text_own.
 
     A message replies to the origin of its lowest linked quote level. ``thread`` is the first message of its chain of
@@ -108,7 +105,7 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", order_col: str
     """
     new = ["n_quotes", "reply_to", "thread", "level", "text_own"]
     base = messages.drop(*new)
-    links = linked_passages(base, conv_col, order_col, text_col, least)
+    links = linked_passages(base, conv_col, order_col, text_col)
     parent = links.groupBy("conv", "turn").agg(F.min_by("origin", "depth").alias("parent"))
     every = base.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("turn")).where(
         "conv IS NOT NULL AND turn IS NOT NULL").distinct()

@@ -50,3 +50,9 @@ def test_many_lines_in_one_text(spark):
     text = "\n".join(f"> line number {k}" for k in range(20_000)) + "\nend"
     found = _rows(spark, [(1, 0, "line number 7"), (1, 1, text)])
     assert found[1]["reply_to"] == 0 and found[1]["n_quotes"] == 1 and found[1]["text_own"] == "end"
+
+
+def test_short_lines_link(spark):
+    said = ["Is it sorted?", "> Is it sorted?\nYes.", "> Yes.\nWhy?", "> Why?\n你好吗", "> 你好吗\n\nk", ">\n> \nno quote"]
+    found = {r["turn"]: r for r in _rows(spark, [(1, k, text) for k, text in enumerate(said)])}
+    assert [found[k]["reply_to"] for k in range(6)] == [None, 0, 1, 2, 3, None]
