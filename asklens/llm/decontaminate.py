@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from asklens.llm.fmindex import FMIndex
 from asklens.llm.shipping import Shipped
+from asklens.session import written
 
 WINDOW = 13             # consecutive words of an item that make a test phrase
 PACK_WORDS = 2_000_000  # benchmark words that are broadcast and searched at a time
@@ -21,6 +23,7 @@ SHARD_WORDS = 4_000_000 # document words that share an index; a longer document
 SHARE = 20              # contaminated where at least one word in so many is hit
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _PIECE = 4_000_000
+_HASH = "_asklens_hash"
 _BLANKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
                 for b in range(256))
 _WORD = re.compile(WORD)
@@ -112,23 +115,39 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
                   out: str = "contamination") -> DataFrame:
     """``docs`` with the struct ``out``: n_words, n_hit, items (ids in string order), hits (word ranges, merged).
 
-    A test phrase is ``window`` consecutive words of an item, or a shorter item as a whole. No shuffle:
-    every task builds an FM-index over its documents, shard by shard, and searches all phrases in it. The phrases are
-    broadcast in packs of about ``pack_words`` words; a larger benchmark takes more packs, one after
-    the other, whose results are merged row by row. Null texts have no words, items without id or words
-    are no items, repeated items count once, a column named like ``out`` is replaced.
+    A test phrase is ``window`` consecutive words of an item, or a shorter item as a whole. Every task builds an
+    FM-index over its documents, shard by shard, and searches all phrases in it. The rows of the benchmark are dealt by
+    hash into packs of about ``pack_words`` words. One pack takes no shuffle. With more, each pass writes the hits of the
+    texts that have any and its broadcast is released before the next pack is collected, so one pack is held at a
+    time; the merged hits meet the documents by the hash of their text. Null texts have no words, items without id or
+    words are no items, repeated items count once, a column named like ``out`` is replaced.
     """
     spark = docs.sparkSession
     slim = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    slim = slim.where("id IS NOT NULL AND text IS NOT NULL")
-    total = slim.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z]+")))).first()[0] or 0
+    slim = slim.where("id IS NOT NULL AND text IS NOT NULL").distinct()
+    total = slim.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     packs = max(1, -(-total // pack_words))
-    found = docs.withColumn(out, F.lit(None).cast(RESULT))
+    blank = docs.withColumn(out, F.lit(None).cast(RESULT))
+    if packs == 1:
+        return _pass(blank, Shipped(spark, _phrases(slim, window)), text_col, out)
+    slim, texts, found = written(slim, "items"), blank.select(text_col, out), []
     for pack in range(packs):
-        rows = slim.where(F.pmod(F.xxhash64("id"), F.lit(packs)) == pack).collect()
-        phrases = Shipped(spark, Phrases([(r["id"], r["text"]) for r in rows], window))
-        found = _pass(found, phrases, text_col, out)
-    return found
+        sent = Shipped(spark, _phrases(slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(packs)) == pack), window))
+        hit = _pass(texts, sent, text_col, out).where(F.col(f"{out}.n_hit") > 0)
+        found.append(written(hit.select(F.sha2(text_col, 256).alias("hash"), F.col(f"{out}.items").alias("items"),
+                                        F.col(f"{out}.hits").alias("hits")).dropDuplicates(["hash"]), "hits"))
+        sent.unpersist()
+    every = reduce(DataFrame.unionByName, found).groupBy("hash").agg(
+        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
+    known = every.select(F.col("hash").alias(_HASH), F.struct(
+        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), "items", "hits").cast(RESULT).alias(out))
+    joined = docs.drop(out).withColumn(_HASH, F.sha2(text_col, 256)).join(known, _HASH, "left").select(*blank.columns)
+    # No phrases: counts the words and merges what the passes have found.
+    return _pass(joined, Shipped(spark, Phrases([], window)), text_col, out)
+
+
+def _phrases(items: DataFrame, window: int) -> Phrases:
+    return Phrases([(r["id"], r["text"]) for r in items.collect()], window)
 
 
 def _pass(docs: DataFrame, sent, text_col: str, out: str) -> DataFrame:

@@ -67,3 +67,34 @@ def test_awkward_rows(spark, awkward, nothing):
     assert found.where(decontaminate.contaminated()).count() == 4
     assert decontaminate.find_passages(nothing, bench).count() == 0
     assert decontaminate.find_passages(awkward, bench.limit(0)).where("contamination.n_hit > 0").count() == 0
+
+
+def test_packs_are_bounded_in_any_script_and_for_a_hot_item(spark, monkeypatch):
+    plain, packs, live = decontaminate.Phrases, [], []
+
+    class Counted(plain):
+        def __init__(self, items, window):
+            packs.append(sum(len(part) for _, t in items for part in decontaminate.words(t.encode())))
+            super().__init__(items, window)
+
+    class Sent(decontaminate.Shipped):
+        def __init__(self, spark, value):
+            live.append(1)
+            assert sum(live) == 1  # the pack before is released
+            super().__init__(spark, value)
+
+        def unpersist(self):
+            live.append(-1)
+            super().unpersist()
+
+    monkeypatch.setattr(decontaminate, "Phrases", Counted)
+    monkeypatch.setattr(decontaminate, "Shipped", Sent)
+    for letter in "яa":
+        packs.clear()
+        live.clear()
+        items = [("hot" if k % 3 else f"i{k}", " ".join(f"{letter * (1 + j)}{k}" for j in range(14))) for k in range(60)]
+        texts = [items[7][1], "x " + items[9][1] + " x " + items[10][1], "nothing", None, items[7][1]]
+        found = _found(spark, texts, items, pack_words=140)
+        assert len(packs) >= 6 and max(packs) <= 3 * 140 and sum(packs) == 60 * 14
+        assert [found[k]["n_hit"] for k in range(5)] == [14, 28, 0, 0, 14]
+        assert found[1]["items"] == ["hot", "i9"] and found[1]["n_words"] == 30 and found[0]["items"] == ["hot"]
