@@ -18,14 +18,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     """(id, text, label int): at most ``most`` labelled documents that are not held out.
 
     They are the ones of smallest id hash. Rows whose label is not 0 or 1 or differs between repeats of an
-    id are left out. The chosen ids are bounded by ``most``, so they are broadcast to the documents.
+    id are left out. The chosen ids are bounded by ``most``, so they are broadcast to the documents; of documents
+    that repeat an id the one of smallest text hash counts, so the bound holds for rows.
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(
         F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
     chosen = usable.orderBy(F.xxhash64(id_col), id_col).limit(most).select(
         F.col(id_col).alias("id"), F.col("label").cast("int").alias("label"))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.join(F.broadcast(chosen), "id")
+    once = slim.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("best"))
+    return once.select("id", F.col("best.text").alias("text"), "label")
 
 
 def logistic(values: np.ndarray, labels: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:

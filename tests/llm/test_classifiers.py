@@ -40,6 +40,17 @@ def test_contradicting_and_odd_labels_are_left_out(spark):
     assert found == ({3: ("", 1)} if zlib.crc32(b"3") % 5 else {})
 
 
+def test_repeats_of_an_id_are_one_row(spark):
+    docs = spark.range(400).select(F.when(F.col("id") < 300, 3).otherwise(F.col("id")).cast("long").alias("doc_id"),
+                                   F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    found = learning.training_rows(docs, labels, "toxic", 1000).collect()
+    want = {k for k in (3, *range(300, 400)) if zlib.crc32(str(k).encode()) % 5}
+    assert 3 in want and sorted(r["id"] for r in found) == sorted(want)
+    again = learning.training_rows(docs.repartition(7), labels, "toxic", 1000).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in found}
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_awkward_rows_are_scored(spark, awkward, nothing, module):
     words = {1: "clear water under a green bridge in spring ", 0: "$$$ ### *** %%% buy!! now!! "}
