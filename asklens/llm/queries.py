@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import decontaminate, line_rules, mixing, personal, quality, quotes, secret_scan, simhash, toxicity, training_order
+from asklens.llm import (decontaminate, line_rules, mixing, personal, quality, quotes, rank_bpe, secret_scan, simhash, toxicity,
+                         training_order)
 from asklens.llm.learning import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +290,13 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = line_rules.clean_lines(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
     return found.select("doc_id", *(f"lines.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+@query("op13_bpe_round")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    vocabulary = rank_bpe.Vocabulary.read()
+    encoded = rank_bpe.encode(table(spark, sf, "documents"), vocabulary, keep=["doc_id"])
+    found = rank_bpe.decode(encoded, vocabulary)
+    return found.select("doc_id", F.col("encoded.n_tokens").alias("n_tokens"), F.sha2(F.col("encoded.ids"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
