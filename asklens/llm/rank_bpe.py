@@ -219,6 +219,13 @@ class Encoder:
         return " ".join([tokens[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
+def _free(columns: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", out: str = "encoded",
            keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the struct ``out``: n_tokens and ids (little-endian 32-bit integers).
@@ -243,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                                                   names=["n_tokens", "ids"])
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=[*kept, out])
 
-    given = docs.select(F.col(text_col).alias("_text"), *kept)
+    given = docs.select(F.col(text_col).alias(_free(kept, "text_in")), *kept)
     return given.mapInArrow(rows, StructType([*fields, StructField(out, ENCODED)]))
 
 
@@ -266,5 +273,5 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None, ids_col: st
                 texts = pa.array([encoder.text(x.as_py() or b"") for x in batch.column(0)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*kept, out])
 
-    given = encoded.select(F.col(ids_col).alias("_ids"), *kept)
+    given = encoded.select(F.col(ids_col).alias(_free(kept, "ids_in")), *kept)
     return given.mapInArrow(rows, StructType([*fields, StructField(out, StringType())]))
