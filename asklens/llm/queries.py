@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asklens.llm import (decontaminate, line_rules, mixing, personal, quality, quotes, rank_bpe, secret_scan, simhash, toxicity,
-                         training_order)
+from asklens.llm import (decontaminate, dual_tree, line_rules, mixing, personal, prefix_trie, quality, quotes, rank_bpe, secret_scan,
+                         simhash, toxicity, training_order)
 from asklens.llm.learning import held_out
+from asklens.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -300,3 +301,69 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     found = rank_bpe.decode(encoded, vocabulary)
     return found.select("doc_id", F.col("encoded.n_tokens").alias("n_tokens"), F.sha2(F.col("encoded.ids"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _code_check() -> str:
+    """Six rounds of nearest entries and floored means in the checking engine, without trees."""
+    nearest = """
+  a{0} AS MATERIALIZED (SELECT r, part, min(gap * 1000 + e) % 1000 AS e, min(gap * 1000 + e) // 1000 AS gap
+      FROM (SELECT r, p.part, e, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS gap
+        FROM p JOIN b{0} b ON b.part = p.part) GROUP BY r, part)"""
+    means = """
+  b{1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.x, b.b) AS b FROM b{0} b LEFT JOIN (
+      SELECT part, e, list(cast(floor(total / n) AS bigint) ORDER BY pos) AS x FROM (
+        SELECT part, e, pos, sum(c) AS total, count(*) AS n FROM (
+          SELECT p.part, a.e, unnest(x) AS c, unnest(range(len(x))) AS pos FROM p JOIN a{0} a ON a.r = p.r AND a.part = p.part)
+        GROUP BY ALL) GROUP BY part, e) m ON m.part = b.part AND m.e = b.e)"""
+    rounds = ",".join(nearest.format(k) + "," + means.format(k, k + 1) for k in range(dual_tree.ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: cast(floor({dual_tree.SCALE} * cast(x AS double)) AS bigint)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS MATERIALIZED (SELECT r, vec_id, k AS part, v[k * (len(v) // {dual_tree.PARTS}) + 1:(k + 1) * (len(v) // {dual_tree.PARTS})] AS x
+      FROM v, range({dual_tree.PARTS}) parts(k)),
+  b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS b FROM p
+      QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {dual_tree.ENTRIES}),
+  {rounds},{nearest.format(dual_tree.ROUNDS)},
+  coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(gap)::bigint AS error FROM a{dual_tree.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error,
+  (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, e)) FROM b{dual_tree.ROUNDS}) AS codebooks_sha256
+FROM v JOIN coded USING (r)
+"""
+
+
+@query("op12_vector_codes", _code_check())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable vector with its code, error, the error of its label and the codebooks' digest."""
+    coded, made = dual_tree.compress(table(spark, sf, "embeddings"))
+    coded = written(coded, "codes")
+    by_label = coded.groupBy(F.col("label").alias("own")).agg(F.sum("error").alias("label_error"))
+    return coded.join(by_label, coded["label"].eqNullSafe(by_label["own"])).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(made.digest).alias("codebooks_sha256"))
+
+
+@query("op11_prefix_trie", """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+  sizes AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+  convs AS (SELECT c, xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(c::varchar, ''),
+        lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda r, x: xor(xor(r, x) >> 1, CASE WHEN xor(r, x) & 1 = 1 THEN 3988292384 ELSE 0 END)),
+      4294967295) % 9 AS h FROM sizes),
+  r AS (SELECT v.c, t.i AS d, role, text FROM convs v JOIN t ON t.c = v.c - v.c % 5 AND t.i <= h
+    UNION ALL SELECT v.c, t.i - h + least(h, coalesce(b.n, 0)), role, text FROM convs v JOIN t ON t.c = v.c AND t.i > h
+      LEFT JOIN sizes b ON b.c = v.c - v.c % 5),
+  paths AS (SELECT c, 0 AS d, []::struct(role varchar, text varchar)[] AS k, 0 AS b FROM convs
+    UNION ALL SELECT c, d, list(struct_pack(role, text)) OVER (PARTITION BY c ORDER BY d), strlen(text) FROM r),
+  nodes AS MATERIALIZED (SELECT k, d, count(*) AS n, min(c) AS c, any_value(b) AS b FROM paths GROUP BY k, d),
+  children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+  below AS (SELECT k[1:j] AS k, sum(saved) AS saved, sum(leaf) AS leaves FROM (
+      SELECT k, (n - 1) * b AS saved, (k NOT IN (SELECT k FROM children))::int AS leaf, unnest(range(0, d + 1)) AS j FROM nodes) GROUP BY 1),
+  ends AS (SELECT k, string_agg(c::varchar, ',' ORDER BY c) AS ids FROM (
+      SELECT c, k FROM paths QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY k)
+SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n AS n_convs, coalesce(ch.n, 0) AS n_children, leaves::bigint AS n_leaves,
+  saved::bigint AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes a LEFT JOIN nodes p ON a.d > 0 AND p.d = a.d - 1 AND p.k = a.k[1:a.d - 1] LEFT JOIN children ch ON ch.k = a.k
+  JOIN below ON below.k = a.k LEFT JOIN ends ON ends.k = a.k
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
