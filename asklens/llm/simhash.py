@@ -317,5 +317,5 @@ def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     kept = found.where("id <=> component_id AND key = first_key").select(F.col("id").alias(own), F.col("key").alias(key))
     hashed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     once = hashed.join(kept, (hashed[key] == kept[key]) & hashed[id_col].eqNullSafe(kept[own]), "left_semi")
-    # Rows that repeat a kept row in id and text are dropped; only they share a key.
-    return once.dropDuplicates([key]).drop(key)
+    # Rows that repeat a kept row in id and text are dropped; a key of 64 bits decides only between rows of one id.
+    return once.dropDuplicates([key, id_col]).drop(key)

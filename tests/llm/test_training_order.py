@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from asklens.llm import training_order as t
 from asklens.llm.feistel import permuted
@@ -107,3 +108,43 @@ def test_queries_write_their_shards(spark, vocabulary, name):
     folder = found.schema["byte_offset"].metadata["folder"]
     want = [r["tokens"] for r in found.orderBy("slot").collect()]
     assert want and [x.tobytes() for x in t.read_slots(folder, 0, 10 ** 9, 2)] == want
+
+
+def test_a_broken_off_write_leaves_no_manifest_and_can_be_resumed(spark, documents, vocabulary, tmp_path):
+    folder = str(tmp_path / "shards")
+    staged = t.stage_sequences(documents, vocabulary, 64)
+    ordered = t.training_order(staged, 2, 64, "x", 50)
+    whole = t.write_shards(ordered, folder).count()
+    broken = ordered.withColumn("tokens", F.expr("if(slot = 777, cast(raise_error('lost') AS binary), tokens)"))
+    with pytest.raises(Exception, match="lost"):
+        t.write_shards(broken, folder)
+    assert not (tmp_path / "shards" / "manifest.json").exists()
+    with pytest.raises(FileNotFoundError):
+        list(t.read_slots(folder, 0, 10, 2, 64, 50))
+    assert not [f for f in (tmp_path / "shards").iterdir() if f.suffix != ".bin"]
+    found = t.write_shards(ordered, folder).collect()
+    assert len(found) == whole and not any(r["written"] for r in found)
+    assert len(list(t.read_slots(folder, 0, 10 ** 9, 2, 64, 50))) == staged.count()
+
+
+def test_looking_at_a_few_rows_finds_all_shards_written(spark, documents, vocabulary):
+    found = t.materialise(documents, vocabulary, 64, shard_sequences=50)
+    folder = found.schema["byte_offset"].metadata["folder"]
+    assert found.limit(3).count() == 3
+    assert len(list(t.read_slots(folder, 0, 10 ** 9, 2, 64, 50))) == found.count()
+
+
+def test_stores_that_tasks_cannot_open_are_refused():
+    with pytest.raises(Exception, match="odd"):
+        t._opened("odd://other/shards")
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_packed_sequences(spark, vocabulary, n):
+    docs = spark.createDataFrame([(k, f"text {k} " * 50) for k in range(n)], "doc_id long, text string")
+    packing = t.Packing.of(docs, vocabulary, 16, "text")
+    plain = t.stage_sequences(docs, vocabulary, 16).collect()
+    packed = t.stage_sequences(docs, vocabulary, 16, packing=packing).collect()
+    unpack = packing.unpacker()
+    key = lambda r: (r["part"], r["row"])
+    assert [r["tokens"] for r in sorted(plain, key=key)] == [unpack(r["packed"]) for r in sorted(packed, key=key)]
