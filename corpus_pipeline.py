@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asklens.llm import decontaminate, mixing, near_copies, toxicity, training_order
+from asklens.llm import decontaminate, mixing, simhash, toxicity, training_order
 from asklens.session import written
 
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (five-word shingles alike to 0.8) stays, that of the smallest id."""
-    return near_copies.keep_first(docs)
+    """One document of each class of near copies (three-word SimHash, 2 bits at most) stays, that of the smallest id."""
+    return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
