@@ -24,7 +24,7 @@ from asklens.session import fresh_path, written
 LENGTH = 2048             # tokens of a sequence
 SHARD_SEQUENCES = 4096    # sequences of a shard
 MOST_PARTITIONS = 10_000  # tasks that write shards; beyond it a task writes several
-PACK_LEVEL = 9            # of the compression in which sequences wait and travel
+PACK_LEVEL = 6            # of the compression in which sequences wait and travel
 SAMPLE_DOCS = 1_000       # documents of a sample for that compression's dictionary; it changes no result
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut before merges.
