@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from asklens.operators import masking, prompts, similarity
+from asklens.operators import graph, masking, prompts, similarity
 from asklens.plans import query, rounded
 from asklens.session import fresh_path, written
 from asklens.sources import corpus_store
@@ -136,6 +136,26 @@ def w4(spark, sf):
     return _verdict(spark, sf, similarity.knn_lsh(asked(spark, sf), corpus(spark, sf), N, width=20.0, tables=6, projections=2))
 
 
+def _walked(spark, sf):
+    """Neighbours by walks through stored graphs, and what each query was compared with."""
+    return graph.graph_search(asked(spark, sf), graph.build_graph(corpus(spark, sf)), N)
+
+
+@query("w4_graph_neighbours", KNN_CHECK)
+def w4_graph(spark, sf):
+    """At this size the walks find every true neighbour, so the exact search checks them."""
+    return rounded(_walked(spark, sf).drop("scored"))
+
+
+@query("w4_graph_verdict", _VERDICT.replace("true AS enough", "true AS enough, true AS few"))
+def w4_graph_verdict(spark, sf):
+    """Nine in ten true neighbours or more, and three in ten vectors compared or fewer."""
+    found = written(_walked(spark, sf), "walked")
+    share = found.select("query_id", "scored").distinct().agg(F.avg("scored").alias("s")).crossJoin(
+        corpus(spark, sf).agg(F.count("*").alias("n"))).select((F.col("s") <= 0.3 * F.col("n")).alias("few"))
+    return _verdict(spark, sf, found.drop("scored")).withColumn("few", share.scalar())
+
+
 @query("s10_index_round_trip", """
 SELECT vec_id AS id, label AS cell, cast(len(embedding) AS int) AS dim, round(list_sum(cast(embedding AS DOUBLE[])), 6) AS total FROM embeddings
 """)
