@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from asklens.operators import graph, masking, prompts, similarity
+from asklens.operators import codes, graph, masking, prompts, similarity
 from asklens.plans import query, rounded
 from asklens.session import fresh_path, written
 from asklens.sources import corpus_store
@@ -107,6 +107,42 @@ def w3(spark, sf):
     return rounded(similarity.knn_cells(asked(spark, sf), _stored_cells(spark, sf, centres), N, centres, 3))
 
 
+COMPARED = 100  # rows that are compared exactly, of all whose codes are scanned
+PROBES = 14     # cells of 16 whose codes are scanned
+
+
+# Given centres and codebooks: the first vectors, and what is left over by the next ones in 32 parts of two numbers.
+@query("w3_knn_codes", f"""
+WITH v AS (SELECT vec_id AS id, cast(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT id AS cell, e AS c FROM v WHERE id < 16),
+near AS (SELECT v.id, v.e, cell, c, row_number() OVER (PARTITION BY v.id ORDER BY list_distance(v.e, c) ** 2, cell) AS k FROM v, c),
+home AS (SELECT id, e, cell, list_transform(list_zip(e, c), lambda z: z[1] - z[2]) AS rest FROM near WHERE k = 1),
+cut AS (SELECT id, cell, p, rest[2 * p + 1] AS a, rest[2 * p + 2] AS b FROM home, range(32) parts(p)),
+books AS (SELECT p, id - 16 AS entry, a, b FROM cut WHERE id BETWEEN 16 AND 31),
+coded AS (SELECT cut.id, cell, cut.p, arg_min(struct_pack(a := books.a, b := books.b), struct_pack(
+    d := (cut.a - books.a) ** 2 + (cut.b - books.b) ** 2, e := entry)) AS x FROM cut JOIN books ON books.p = cut.p GROUP BY ALL),
+codes AS (SELECT id, cell, list(x ORDER BY p) AS x FROM coded GROUP BY id, cell),
+asked AS (SELECT id AS query_id, e, cell, list_transform(list_zip(e, c), lambda z: z[1] - z[2]) AS rest FROM near WHERE k <= {PROBES} AND id % 20 = 0),
+scanned AS (SELECT query_id, codes.id, list_sum(list_transform(range(32), lambda p:
+    (rest[2 * p + 1] - x[p + 1].a) ** 2 + (rest[2 * p + 2] - x[p + 1].b) ** 2)) AS rough FROM asked JOIN codes USING (cell)),
+kept AS (SELECT query_id, id FROM scanned QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rough, id) <= {COMPARED}),
+p AS (SELECT kept.query_id, kept.id, list_distance(q.e, b.e) ** 2 AS d FROM kept JOIN v q ON q.id = query_id JOIN v b ON b.id = kept.id),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS int) AS rank FROM p)
+SELECT query_id, id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score, rank FROM r WHERE rank <= {N}
+""")
+def w3_codes(spark, sf):
+    given = corpus(spark, sf).where("id < 32").orderBy("id").collect()
+    first = np.array([r["embedding"] for r in given], float)
+    centres = first[:16]
+    books = codes.residuals(first[16:], centres)[1].reshape(16, 32, 2).transpose(1, 0, 2)
+    return rounded(_by_codes(spark, sf, centres, books, PROBES, COMPARED))
+
+
+def _by_codes(spark, sf, centres, books, probes, compared):
+    stored = written(codes.encode_vectors(corpus(spark, sf), centres, books), "coded")
+    return codes.knn_codes(asked(spark, sf), stored, N, centres, books, probes, compared)
+
+
 def _verdict(spark, sf, found):
     """Per query: distances as the exact search has them, in rank order; and whether nine in ten true neighbours are found."""
     truth = similarity.knn_exact(asked(spark, sf), corpus(spark, sf), N)
@@ -131,6 +167,15 @@ def w3_recall(spark, sf):
     return _verdict(spark, sf, _searched_cells(spark, sf))
 
 
+@query("w3_codes_recall", _VERDICT)
+def w3_codes_recall(spark, sf):
+    """Nine in ten true neighbours with trained cells and codebooks; twenty rows for each neighbour asked are compared exactly."""
+    rows = corpus(spark, sf)
+    centres = similarity.train_cells(rows)
+    books = codes.train_books(rows, centres, 32)
+    return _verdict(spark, sf, _by_codes(spark, sf, centres, books, -(-len(centres) * 9 // 10), 20 * N))
+
+
 @query("w4_knn_lsh", _VERDICT)
 def w4(spark, sf):
     return _verdict(spark, sf, similarity.knn_lsh(asked(spark, sf), corpus(spark, sf), N, width=20.0, tables=6, projections=2))
