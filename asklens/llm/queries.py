@@ -54,7 +54,7 @@ WITH RECURSIVE m AS ({MAIL}),
       FROM (SELECT conv_id, turn, string_split_regex(text, '\\r?\\n') AS ls FROM m))),
   d AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS depth,
       trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM l),
-  u AS (SELECT DISTINCT conv_id, turn, depth, norm FROM d WHERE length(norm) >= 8),
+  u AS (SELECT DISTINCT conv_id, turn, depth, norm FROM d WHERE norm <> ''),
   said AS (SELECT conv_id, norm, min(turn) AS origin FROM u WHERE depth = 0 GROUP BY ALL),
   votes AS (SELECT u.conv_id, u.turn, depth, origin, sum(length(u.norm)) AS chars
     FROM u JOIN said USING (conv_id, norm) WHERE depth > 0 AND origin < u.turn GROUP BY ALL),
