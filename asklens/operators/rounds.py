@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from asklens.functions.batch_score import batch_score
 from asklens.functions.text import clean_sql
-from asklens.operators import log, masking, prompts, responses, schema, similarity
+from asklens.operators import edit, log, masking, prompts, responses, schema, similarity
 from asklens.session import written
 
 ANSWER = T.StructType([T.StructField("sql", T.StringType()), T.StructField("reasoning", T.StringType())])
@@ -98,7 +98,7 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
     draft = log.sql_skeletons(full.select("question_id", "db_id").join(draft, "question_id"), catalog)
     draft = written(draft.select("question_id", F.col("sql").alias("round_1_sql"), "skeleton"), "skeletons")
     corpus = written(log.sql_skeletons(examples, catalog), "corpus")
-    hits = written(similarity.edit_top_n(
+    hits = written(edit.edit_top_n(
         draft.select(F.col("question_id").alias("query_id"), "skeleton"),
         corpus.select(F.col("example_id").alias("id"), "skeleton"), n), "hits")
     structural = prompts.fewshot_context(hits, corpus, n, with_skeleton=True, questions=ids)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asklens.operators import compare, log, prompts, responses, schema, similarity
+from asklens.operators import compare, edit, log, prompts, responses, schema
 from asklens.plans import query, rounded
 from asklens.session import written
 from asklens.views import VIEWS, stored_catalog, table, view
@@ -168,9 +168,10 @@ SELECT k.db_id || ':' || k.qid AS query_id, r.id, round(r.score, 6) AS score, ca
 FROM k JOIN ranked r ON r.asked = k.skeleton WHERE r.rank <= 12
 """)
 def w5(spark, sf):
-    asked = written(f6(spark, sf).select(F.concat_ws(":", "db_id", "qid").alias("query_id"), "skeleton"), "asked")
-    templates = written(a14(spark, sf).select(F.concat_ws(" ", "db_id", "skeleton").alias("id"), "skeleton"), "templates")
-    return rounded(similarity.edit_top_n(asked, templates, 12))
+    found = written(f6(spark, sf).select("db_id", "qid", "skeleton"), "skeletons")
+    asked = found.select(F.concat_ws(":", "db_id", "qid").alias("query_id"), "skeleton")
+    templates = found.select("db_id", "skeleton").distinct().select(F.concat_ws(" ", "db_id", "skeleton").alias("id"), "skeleton")
+    return rounded(edit.edit_top_n(asked, templates, 12))
 
 
 _TRUTH = """

@@ -34,11 +34,15 @@ def build_session(app: str = "asklens", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see and that written intermediates go to.
 
-    ``spark.checkpoint.dir`` where the session names one, else this library's own setting
-    ``spark.asklens.dir``, else a folder inside the warehouse, which a cluster shares as well.
+    ``spark.checkpoint.dir`` where the session names one, else this library's own setting ``spark.asklens.dir``. Where driver
+    and executors are one machine, a folder of the warehouse will do; on a cluster that may be a local disk, so there one
+    of the two has to be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.asklens.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", None) or spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_asklens"
     return named.rstrip("/")
 
