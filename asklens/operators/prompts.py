@@ -134,31 +134,44 @@ def training_pairs(examples: DataFrame, lineage: DataFrame, texts: DataFrame,
         "example_id", "db_id", filled(template).alias("input"), output.alias("output"))
 
 
-# Buckets are prefixes of the shuffle key; only the bucket that the cut falls into is ranked.
-_PREFIX = 4
+_DIGITS = 4        # hex digits by which one pass over the rows lengthens the known part of the cut
+_HASH = 64         # hex digits of a row's place in the order
+_RANKED = 10_000   # rows that are put in order by one task
+_COPIES = 100_000  # equal rows made by one step
 
 
 def split_pairs(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "example_id") -> DataFrame:
     """Add ``split``: a seeded shuffle cut exactly at int(n * (1 - ratio)).
 
-    The order is that of md5(seed:key), then key. Rows are counted per key prefix (at most 65,536
-    groups); prefix sums decide whole buckets, and row numbers are needed in one bucket only.
+    The order is that of md5(seed:key), then of the md5 of the whole row. The hash that the cut falls on is found digits
+    at a time: a pass counts rows by the next digits (at most 65,536 groups) behind those known so far, and by all digits once
+    ``_RANKED`` rows or fewer are left. Then each row is told by comparison with that hash, without a shuffle. Rows that
+    are equal throughout, if the cut falls between them, are counted and made anew, however many they are. The
+    passes run when the function is called.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).withColumn(
-        "_b", F.substring("_h", 1, _PREFIX))
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_n").over(Window.partitionBy())
-    places = counts.select(
-        "_b", F.sum("_n").over(everything).alias("_end"), "_n",
-        F.floor(total.cast("double") * (1 - ratio)).cast("bigint").alias("_cut"))
-    placed = places.withColumn("_start", F.col("_end") - F.col("_n"))
-    # Whole buckets on either side of the cut, and the one the cut goes through.
-    sided = placed.withColumn("_side", F.when(F.col("_end") <= F.col("_cut"), "train").when(
-        F.col("_start") >= F.col("_cut"), "validation"))
-    joined = hashed.join(sided, "_b")
-    whole = joined.where(F.col("_side").isNotNull()).withColumn("split", F.col("_side"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    cut = joined.where(F.col("_side").isNull()).withColumn("split", F.when(
-        F.col("_start") + rank <= F.col("_cut"), "train").otherwise("validation"))
-    return whole.unionByName(cut).select(*df.columns, "split")
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.select(row.alias("row"), F.concat(own, F.md5(F.to_json(row))).alias("h"))
+    at, bucket, left = "", None, None
+    while len(at) < _HASH:
+        some = hashed.where(F.col("h").startswith(at)) if at else hashed
+        digits = _HASH if bucket is not None and bucket <= _RANKED else len(at) + _DIGITS
+        groups = some.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        end = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        cut = F.lit(left) if left is not None else F.floor(
+            F.sum("n").over(Window.partitionBy()).cast("double") * (1 - ratio)).cast("bigint")
+        hit = groups.select("b", "n", end.alias("end"), cut.alias("cut")).where("end > cut").orderBy("b").first()
+        if hit is None:  # no row lies behind the cut
+            return df.withColumn("split", F.lit("train"))
+        at, bucket, left = hit["b"], hit["n"], hit["cut"] - (hit["end"] - hit["n"])
+    side = F.when(F.col("h") < at, "train").otherwise("validation").alias("split")
+    if left == 0:
+        return hashed.select("row.*", side)
+    equal = hashed.where(F.col("h") == at).groupBy("h").agg(F.any_value("row").alias("row"))
+    sides = F.array(*[F.struct(F.lit(name).alias("split"), F.lit(n).cast("bigint").alias("n"))
+                      for name, n in (("train", left), ("validation", bucket - left))])
+    steps = equal.select("row", F.explode(sides).alias("s")).select("row", "s.*", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("s.n") - 1, F.lit(_COPIES).cast("bigint"))).alias("step"))
+    count = F.least(F.lit(_COPIES), F.col("n") - F.col("step")).cast("int")
+    made = steps.repartition("step").select("row", "split", F.explode(F.sequence(F.lit(1), count)).alias("copy"))
+    return hashed.where(F.col("h") != at).select("row.*", side).unionByName(made.select("row.*", "split"))

@@ -161,6 +161,32 @@ def test_split_keeps_rows_without_a_key(spark):
     assert counts == {"train": 2, "validation": 2}
 
 
+def test_split_of_many_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "_RANKED", 50)
+    monkeypatch.setattr(prompts, "_COPIES", 1000)
+    # Nine in ten rows have the key 7; of these, half are equal throughout and the rest differ elsewhere.
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("example_id"),
+        F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-1).alias("x"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    for ratio in (0.0, 0.1, 0.5, 1.0):
+        out = prompts.split_pairs(rows, ratio)
+        counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+        want = int(20_000 * (1 - ratio))
+        assert counts.get("train", 0) == want and counts.get("validation", 0) == 20_000 - want
+        flat = "example_id", "x"
+        assert out.select(*flat).exceptAll(rows.select(*flat)).count() == 0
+        # Along the order of the hashes, the training part ends where the other begins.
+        ends = {r.split: (r.lo, r.hi) for r in out.withColumn("h", F.expr("md5(concat('42:', example_id))")).groupBy("split").agg(
+            F.min("h").alias("lo"), F.max("h").alias("hi")).collect()}
+        assert len(ends) == 1 or ends["train"][1] <= ends["validation"][0]
+    assert prompts.split_pairs(rows.limit(0)).count() == 0
+
+
+def test_split_compares_with_the_cut_alone(spark):
+    plan = prompts.split_pairs(spark.range(100_000).withColumnRenamed("id", "example_id"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_training_pairs(spark, sample, catalog):
     lineage, _ = query_lineage(sample, catalog, key="example_id")
     pairs = {r.example_id: r for r in prompts.training_pairs(
