@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,14 +63,37 @@ def merge_examples(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(_unseen(existing, new), allowMissingColumns=True)
 
 
-def append_examples(index: DataFrame, new: DataFrame, derive) -> DataFrame:
+def example_key(question: str = "question", sql: str = "sql") -> Column:
+    """128 bits that tell (question, sql) apart, NULL from empty text included."""
+    parts = F.to_json(F.struct(F.col(question).alias("q"), F.col(sql).alias("s")))
+    return F.unhex(F.md5(parts))
+
+
+def stored_keys(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """The keys of ``batch`` that the stored corpus has; of the corpus, only its column ``key`` is read."""
+    return index.select("key").join(batch.select("key"), "key", "left_semi")
+
+
+def append_examples(index: DataFrame, new: DataFrame, derive, replace: DataFrame | None = None) -> DataFrame:
     """Rows to append to a stored corpus: unseen (question, sql) with derived columns.
 
     ``derive(df)`` adds the corpus columns (skeleton, vector, cell) and runs on the unseen rows
-    only; what is stored is not computed again.
+    only; what is stored is not computed again. An index with a column ``key`` (``example_key``) is asked by that column
+    alone: the batch's keys, which are few, are matched with the scan of the stored ones, so neither texts nor the corpus
+    are shuffled; the rows get their ``key`` too. Without the column the texts are compared. ``replace`` takes
+    the place of the stored corpus for this call: its rows, repeats left out, are derived and nothing stored is looked at.
     """
-    unseen = _unseen(index, new).select("example_id", "question", "sql", "db_id")
-    return derive(written(unseen, "unseen"))
+    keyed = "key" in index.columns
+    if replace is not None:
+        index, new = index.limit(0), replace
+    if not keyed:
+        return derive(written(_unseen(index, new).select("example_id", "question", "sql", "db_id"), "unseen"))
+    rows = new.select("example_id", "question", "sql", "db_id", example_key().alias("key"))
+    batch = written(rows.groupBy("key").agg(
+        F.min(F.struct("example_id", "question", "sql", "db_id")).alias("r")).select("r.*", "key"), "batch")
+    unseen = written(batch.join(stored_keys(index, batch), "key", "left_anti"), "unseen")
+    derived = derive(unseen.drop("key"))
+    return derived.withColumn("key", example_key())
 
 
 VARIATION = T.StructType([T.StructField(c, T.StringType()) for c in ("q1", "reasoning1", "q2", "reasoning2")])

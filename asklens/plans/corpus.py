@@ -415,7 +415,8 @@ def u4(spark, sf):
             "cell", F.pmod(F.length("skeleton"), F.lit(8)).cast("int"))
 
     path = fresh_path(spark, "corpus")
-    corpus_store.write_index(derive(ex.where("quantity <= 10").drop("quantity")), path)
+    stored_rows = derive(ex.where("quantity <= 10").drop("quantity"))
+    corpus_store.write_index(stored_rows.withColumn("key", prepare.example_key()), path)
     new = ex.where("quantity > 10").drop("quantity")
     corpus_store.append_index(prepare.append_examples(corpus_store.read_index(spark, path), new, derive), path)
     return corpus_store.read_index(spark, path).select("example_id", "question", "sql", "db_id", "skeleton", "cell")

@@ -187,6 +187,36 @@ def test_split_compares_with_the_cut_alone(spark):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_append_asks_the_stored_keys_alone(spark, tmp_path):
+    fields = "example_id int, question string, sql string, db_id string"
+    old = spark.createDataFrame([(1, "q", "s", "d"), (2, None, "s", "d"), (3, "", "s", "d"), (3, "", "s", "d")], fields)
+    path = str(tmp_path / "index")
+    old.withColumn("key", prepare.example_key()).withColumn("cell", F.lit(0)).write.parquet(path)
+    index = spark.read.parquet(path)
+    new = spark.createDataFrame([(9, "q", "s", "x"), (8, "q", "S", "d"), (7, "q", "S", "d"), (6, None, None, "d"),
+                                 (5, None, "s", "d"), (4, "qs", "", "d")], fields)
+    calls = []
+
+    def derive(rows):
+        calls.append(rows)
+        return rows.withColumn("cell", F.lit(1))
+
+    out = prepare.append_examples(index, new, derive)
+    assert sorted((r.example_id, r.question, r.sql) for r in out.collect()) == [(4, "qs", ""), (6, None, None), (7, "q", "S")]
+    assert sorted(out.columns) == ["cell", "db_id", "example_id", "key", "question", "sql"]
+    plain = prepare.append_examples(index.drop("key"), new, derive)
+    assert sorted(r.example_id for r in plain.collect()) == [4, 6, 7]
+    out.select(*index.columns).write.mode("append").parquet(path)
+    assert prepare.append_examples(spark.read.parquet(path), new, derive).count() == 0
+    assert prepare.append_examples(index, new.limit(0), derive).count() == 0
+    # A corpus for one call stands alone.
+    other = prepare.append_examples(index, new, derive, replace=old)
+    assert sorted(r.example_id for r in other.collect()) == [1, 2, 3]
+    # The match reads the key column of the corpus and nothing else of it.
+    seen = prepare.stored_keys(index, new.withColumn("key", prepare.example_key()))
+    assert "ReadSchema: struct<key:binary>" in seen._jdf.queryExecution().executedPlan().toString()
+
+
 def test_training_pairs(spark, sample, catalog):
     lineage, _ = query_lineage(sample, catalog, key="example_id")
     pairs = {r.example_id: r for r in prompts.training_pairs(
