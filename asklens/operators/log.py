@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from asklens.functions.text import let
 from asklens.session import written
@@ -242,6 +243,36 @@ def template_counts(log: DataFrame, catalog: DataFrame | None = None, weight: st
         F.sum("_n").alias("n"), F.min("sql").alias("sample_sql"))
 
 
+def template_sketches(skeletons: DataFrame, by: list[str], most: int = 10_000) -> DataFrame:
+    """(by, sketch, n_rows): a sketch of the commonest templates per group, for logs too varied to count exactly.
+
+    ``skeletons`` has ``skeleton`` (NULL does not count). A sketch tracks ``most`` templates whatever the log holds, so a stored table with
+    one for each database and day grows with the days alone, and new days are added without reading old logs.
+    """
+    return skeletons.where(F.col("skeleton").isNotNull()).groupBy(*by).agg(
+        F.expr(f"approx_top_k_accumulate(skeleton, {int(most)})").alias("sketch"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def heavy_templates(sketches: DataFrame, k: int, by: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """(by, skeleton, n, most_wrong): the k commonest templates per group, or over all, out of merged sketches.
+
+    ``n`` is wrong by at most ``most_wrong``: 2.625 times the group's rows over the number of templates tracked, rounded up.
+    Equal counts are ordered by template. ``most`` is that of the merged sketch; the parts may track another number.
+    A group whose templates all occur less often than ``most_wrong`` may give fewer than k of them.
+    """
+    groups, most = by or [], int(most)
+    found = sketches.groupBy(*groups).agg(
+        F.expr(f"approx_top_k_combine(sketch, {most})").alias("_s"), F.sum("n_rows").alias("_n"),
+        F.least(F.min("sketch.maxItemsTracked"), F.lit(most)).alias("_least"))
+    wrong = F.ceil(F.col("_n") * 2.625 / F.col("_least")).cast("bigint")
+    # All templates that a group tracks, so that ties at place k are cut by name; there are at most ``most``.
+    every = found.where("_n > 0").select(
+        *groups, F.explode(F.expr(f"approx_top_k_estimate(_s, {most})")).alias("_e"), wrong.alias("most_wrong"))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("_e.count"), "_e.item"))
+    return every.withColumn("_r", place).where(F.col("_r") <= k).select(
+        *groups, F.col("_e.item").alias("skeleton"), F.col("_e.count").alias("n"), "most_wrong")
+
+
 # The alternatives of the template token pattern, tried in this order, any case,
 # without word boundaries (so ORDER BY gives OR, DER, BY).
 COMPAT_TOKENS = (

@@ -320,3 +320,18 @@ SELECT coalesce(skeleton, sql) AS skeleton, count(*) AS n FROM v_rich_log GROUP
 """)
 def a14_rich(spark, sf):
     return log.template_counts(view(spark, sf, "v_rich_log").select("db_id", "sql")).groupBy("skeleton").agg(F.sum("n").alias("n"))
+
+
+@query("a14_heavy_templates", """
+WITH c AS (SELECT db_id, coalesce(skeleton, sql) AS skeleton, count(*) AS n FROM v_rich_log GROUP BY 1, 2),
+every AS (SELECT 'all' AS db_id, skeleton, cast(sum(n) AS bigint) AS n FROM c GROUP BY 2 UNION ALL SELECT * FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n DESC, skeleton) AS place,
+             sum(n) OVER (PARTITION BY db_id) AS total FROM every)
+SELECT db_id, skeleton, n, cast(ceil(total * 2.625 / 10000) AS bigint) AS most_wrong FROM r WHERE place <= 20
+""")
+def a14_heavy(spark, sf):
+    """The twenty commonest templates per database and of all, out of one stored sketch per database."""
+    rows = log.sql_skeletons(view(spark, sf, "v_rich_log").select("db_id", "sql"))
+    sketches = written(log.template_sketches(rows, ["db_id"]), "sketches")
+    of_all = log.heavy_templates(sketches, 20).withColumn("db_id", F.lit("all"))
+    return log.heavy_templates(sketches, 20, ["db_id"]).unionByName(of_all)
