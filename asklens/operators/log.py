@@ -261,7 +261,8 @@ def heavy_templates(sketches: DataFrame, k: int, by: list[str] | None = None, mo
     A group whose templates all occur less often than ``most_wrong`` may give fewer than k of them.
     """
     groups, most = by or [], int(most)
-    found = sketches.groupBy(*groups).agg(
+    # A group by a constant, as no sketches at all have nothing to merge into.
+    found = sketches.groupBy(*(groups or [F.lit("all")])).agg(
         F.expr(f"approx_top_k_combine(sketch, {most})").alias("_s"), F.sum("n_rows").alias("_n"),
         F.least(F.min("sketch.maxItemsTracked"), F.lit(most)).alias("_least"))
     wrong = F.ceil(F.col("_n") * 2.625 / F.col("_least")).cast("bigint")

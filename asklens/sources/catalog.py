@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.window import Window
 
 from asklens.schemas import CATALOG, SPIDER_SCHEMA_FILE
+from asklens.session import written
 
 
 def _file_stem() -> Column:
@@ -52,23 +61,84 @@ TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "TEXT", "double":
               "float": "FLOAT", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
 
 
+# What stands for a stored table whose footer was not read.
+FOOTER = T.StructType([
+    T.StructField("table_name", T.StringType()), T.StructField("path", T.StringType()),
+    T.StructField("col_idx", T.IntegerType()), T.StructField("col_name", T.StringType()),
+    T.StructField("type", T.StringType()), T.StructField("reason", T.StringType())])
+
+
+def table_footers(paths: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(table_name, path, col_idx, col_name, type, reason): the stored columns of the Parquet tables (table_name, path).
+
+    Each task opens the footers of its own paths, one file of each folder, and no data. Types have Spark's
+    names. A path that cannot be read is one row with a ``reason`` and no column; so is a NULL path. Paths may be
+    local or addresses that Arrow opens; all executors must see them.
+    """
+    def opened(path: str):
+        place, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
+            fs.LocalFileSystem(), path)
+        if place.get_file_info(name).type == fs.FileType.Directory:
+            files = place.get_file_info(fs.FileSelector(name, recursive=True))
+            data = sorted(f.path for f in files if f.is_file and not f.base_name.startswith(("_", ".")))
+            if not data:
+                raise FileNotFoundError("no data file")
+            name = data[0]
+        with place.open_input_file(name) as file:
+            return pq.ParquetFile(file).schema_arrow
+
+    def named(kind: pa.DataType) -> str:
+        while pa.types.is_dictionary(kind):
+            kind = kind.value_type
+        # Unsigned numbers are read as the next wider signed ones.
+        wider = {pa.uint8(): "smallint", pa.uint16(): "int", pa.uint32(): "bigint", pa.uint64(): "decimal(20,0)"}
+        return wider.get(kind) or from_arrow_type(kind).simpleString()
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for table, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    if path is None:
+                        raise FileNotFoundError("no path")
+                    rows += [(table, path, k, f.name, named(f.type), None) for k, f in enumerate(opened(path))]
+                except (OSError, pa.ArrowException, PySparkException) as problem:
+                    lines = str(problem).splitlines() or [""]
+                    rows.append((table, path, None, None, None, f"{type(problem).__name__}: {lines[0]}"))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=FOOTER.names)
+
+    asked = paths.select("table_name", "path")
+    return (asked.repartition(partitions) if partitions else asked).mapInArrow(footers, FOOTER)
+
+
+def catalog_of_footers(footers: DataFrame, db_id: str) -> DataFrame:
+    """Catalog rows of the readable tables of ``table_footers``, numbered in name order, columns in stored order.
+
+    Of several paths with one table name the first by path counts.
+    """
+    # Spark's name of a type, as the catalog writes it.
+    shown = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    good = footers.where("reason IS NULL")
+    firsts = good.groupBy("table_name").agg(F.min("path").alias("path"))
+    numbered = firsts.withColumn("table_idx", F.row_number().over(Window.orderBy("table_name")) - 1)
+    rows = good.join(numbered, ["table_name", "path"])
+    return rows.select(*[c.cast(f.dataType).alias(f.name) for f, c in zip(CATALOG.fields, (
+        F.lit(db_id), F.col("table_idx"), F.col("table_name"), F.col("col_idx"), F.col("col_name"),
+        F.coalesce(shown[F.col("type")], F.upper("type")), F.lit(None)), strict=True)])
+
+
 def catalog_from_tables(spark: SparkSession, tables: dict[str, str], db_id: str) -> DataFrame:
     """Catalog rows by reading the stored schemas of Parquet tables (name -> path).
 
-    Only file footers are read, never data. Tables are numbered in name order. A path that
-    cannot be opened is skipped, as is every table after the first with the same name.
+    Only file footers are read, never data, by tasks. Tables are numbered in name order. A path that
+    cannot be opened is left out; ``table_footers`` gives it with a reason. Tables that one job should not list on the driver
+    come as a table of paths to ``table_footers``.
     """
-    rows = []
-    for table_idx, name in enumerate(sorted(tables)):
-        try:
-            fields = spark.read.parquet(tables[name]).schema.fields
-        except Exception as problem:  # a corrupt or missing table must not stop the others
-            print(f"skipping {tables[name]}: {type(problem).__name__}")
-            continue
-        for col_idx, field in enumerate(fields):
-            plain = field.dataType.simpleString()
-            rows.append((db_id, table_idx, name, col_idx, field.name, TYPE_NAMES.get(plain, plain.upper()), None))
-    return spark.createDataFrame(rows, CATALOG)
+    listed = spark.createDataFrame(sorted(tables.items()), "table_name string, path string")
+    return catalog_of_footers(written(table_footers(listed, min(max(len(tables), 1), 200)), "footers"), db_id)
 
 
 def first_of_each_db(catalogs: list[DataFrame]) -> DataFrame:

@@ -81,6 +81,34 @@ def test_catalog_from_tables_skips_broken_ones(spark, tmp_path):
     assert merged.count() == 2
 
 
+def test_footers_are_read_by_tasks_in_one_job(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({
+        "u": pa.array([1], pa.uint32()), "d": pa.array(["x"]).dictionary_encode(), "t": pa.array([0], pa.timestamp("us", "UTC")),
+        "l": pa.array([[1.5]], pa.list_(pa.float64()))}), str(tmp_path / "one.parquet"))
+    (tmp_path / "bad.parquet").write_text("broken")
+    (tmp_path / "empty").mkdir()
+    odd = [("bad", str(tmp_path / "bad.parquet")), ("empty", str(tmp_path / "empty")), ("gone", "/nowhere"),
+           ("none", None), ("web", "what://ever")]
+    paths = spark.createDataFrame([(f"t{k:04d}", str(tmp_path / "one.parquet")) for k in range(1000)] + odd, "table_name string, path string")
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("footers", "footers")
+    rows = cat.table_footers(paths, 8).collect()
+    context.setJobGroup("rest", "rest")
+    # Adaptive execution counts the shuffle of the paths as a job of its own.
+    assert len(tracker.getJobIdsForGroup("footers")) <= 2
+    assert len(rows) == 4005 and {r.table_name for r in rows if r.reason} == {name for name, _ in odd}
+    assert all(r.col_name is None for r in rows if r.reason)
+    assert [(r.col_name, r.type) for r in sorted((r for r in rows if r.table_name == "t0007"), key=lambda r: r.col_idx)] == [
+        ("u", "bigint"), ("d", "string"), ("t", "timestamp"), ("l", "array<double>")]
+    found = cat.catalog_of_footers(cat.table_footers(paths, 8), "db").where("table_idx = 7").orderBy("col_idx").collect()
+    assert [(r.table_name, r.col_type) for r in found] == [
+        ("t0007", "BIGINT"), ("t0007", "TEXT"), ("t0007", "TIMESTAMP"), ("t0007", "ARRAY<DOUBLE>")]
+    assert cat.catalog_from_tables(spark, {}, "db").count() == 0
+
+
 def test_read_descriptions(spark, tmp_path):
     put(tmp_path, "b.csv", "column_name,data_type,description\nid,INT,\"the \"\"key\"\", unique\"\n,TEXT,no name\nname,,\n")
     put(tmp_path, "a.csv", "Type,Column,Extra\r\nINT,x,1\r\n\r\n,y,\r\n")
