@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +49,60 @@ def question_vectors(questions: DataFrame, examples: DataFrame, catalog: DataFra
             vectors.where("NOT q").select(F.col("k").alias("id"), "embedding"))
 
 
-def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFrame, make_fn: Callable,
+@dataclass(frozen=True)
+class StoredCorpus:
+    """Examples with SQL templates and question vectors, and what makes the vectors of new questions alike."""
+
+    rows: DataFrame  # example_id, question, sql, db_id, skeleton, embedding
+    words: DataFrame
+    weights: PipelineModel
+
+    def vectors(self, questions: DataFrame, catalog: DataFrame) -> DataFrame:
+        """(query_id, embedding) of questions (question_id, db_id, question), by the corpus's words and weights."""
+        masked = masking.question_skeletons(
+            questions.select(F.col("question_id").alias("example_id"), "question", "db_id"), catalog, words=self.words)
+        return masking.text_vectors(masked, "question_skeleton", weights=self.weights).select(
+            F.col("example_id").alias("query_id"), "embedding")
+
+
+def write_corpus(examples: DataFrame, catalog: DataFrame, path: str, dim: int = 384) -> None:
+    """Store examples (example_id, question, sql, db_id) ready for ``generate_answers``: templates, vectors, word counts, weights.
+
+    The folder must not exist. Rows come last, so one without ``rows`` is unfinished.
+    """
+    spark = examples.sparkSession
+    masking.word_counts(examples).write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    masked = written(masking.question_skeletons(examples, catalog, words=words), "masked")
+    weights = masking.fit_vectors(masked, "question_skeleton", dim)
+    weights.save(f"{path}/weights")
+    vectors = masking.text_vectors(masked, "question_skeleton", weights=weights).drop("question_skeleton")
+    log.sql_skeletons(vectors, catalog).select(
+        "example_id", "question", "sql", "db_id", "skeleton", "embedding").write.parquet(f"{path}/rows")
+
+
+def read_corpus(spark: SparkSession, path: str) -> StoredCorpus:
+    return StoredCorpus(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/words"), PipelineModel.load(f"{path}/weights"))
+
+
+def _others(search: Callable[[int], DataFrame], n: int, own: DataFrame | None) -> DataFrame:
+    """The n best hits (query_id, id, rank, ...) that are not a question's own examples, ranked anew.
+
+    ``search(m)`` gives the m best; as many more are asked for as any question owns.
+    """
+    if own is None:
+        return search(n)
+    pairs = own.select(F.col("question_id").alias("query_id"), F.col("example_id").alias("id")).distinct()
+    most = pairs.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    rest = search(n + most).join(pairs, ["query_id", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return rest.withColumn("rank", place).where(F.col("rank") <= n)
+
+
+def generate_answers(questions: DataFrame, examples: DataFrame | StoredCorpus, catalog: DataFrame, make_fn: Callable,
                      linking: DataFrame | None = None, n: int = 3, batch_size: int = 16,
-                     partitions: int | None = None, run_dir: str | None = None) -> DataFrame:
+                     partitions: int | None = None, run_dir: str | None = None,
+                     own: DataFrame | None = None) -> DataFrame:
     """Final answers of ``questions`` (question_id, db_id, question, evidence).
 
     Round 1 shows the n examples (example_id, question, sql, db_id) with the most similar question
@@ -59,8 +112,11 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
 
     Beside the final answer a row has both rounds' texts, reasoning and validity, the number of examples shown
     and ``error``, that of the last failed model call: an outage is told from a bad answer. ``partitions`` spreads the model calls.
-    With a ``run_dir`` the responses of both rounds are kept there, and a repeated run asks only for
-    questions that have none without error.
+    With a ``run_dir`` the responses of both rounds are kept there beside a hash of their prompts, and a repeated run asks only for
+    questions that have none without error to the same prompt.
+
+    With a ``StoredCorpus`` the stored vectors and templates are read as they are, and only the questions are masked and weighted.
+    ``own`` (question_id, example_id) names examples not to be shown for a question, such as the one it was taken from.
     """
     texts = schema.schema_json(schema.schema_text_rows(schema.schema_text(catalog, "typed")))
     if linking is None:
@@ -76,20 +132,29 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
         spark = rows.sparkSession
         if run_dir is None:
             return written(parsed_answers(written(batch_score(rows, make_fn, batch_size, partitions=partitions), label)), label + "-parsed")
-        kept = spark.createDataFrame([], "question_id string, response string, error string") if not _exists(spark, f"{run_dir}/{label}") \
-            else spark.read.schema(f"question_id {rows.schema['question_id'].dataType.simpleString()}, response string, error string").parquet(
-                f"{run_dir}/{label}")
-        done = kept.where("error IS NULL").select(F.col("question_id").cast(rows.schema["question_id"].dataType)).distinct()
+        kind = rows.schema["question_id"].dataType
+        layout = T.StructType([T.StructField("question_id", kind)] + [
+            T.StructField(c, T.StringType()) for c in ("asked", "response", "error")])
+        hashes = rows.select("question_id", F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("asked"))
+        kept = spark.read.schema(layout).parquet(f"{run_dir}/{label}") if _exists(spark, f"{run_dir}/{label}") \
+            else spark.createDataFrame([], layout)
+        done = kept.where("error IS NULL").join(hashes, ["question_id", "asked"], "left_semi").select("question_id").distinct()
         new = batch_score(rows, make_fn, batch_size, done=done, partitions=partitions)
-        new.write.mode("append").parquet(f"{run_dir}/{label}")
-        every = spark.read.schema(new.schema).parquet(f"{run_dir}/{label}")
+        new.join(hashes, "question_id").select(*layout.names).write.mode("append").parquet(f"{run_dir}/{label}")
+        every = spark.read.schema(layout).parquet(f"{run_dir}/{label}")
         # The successful response of a question that was asked again is the one that counts.
-        last = every.join(rows.select("question_id"), "question_id", "left_semi").groupBy("question_id").agg(F.min_by(
+        last = every.join(hashes, ["question_id", "asked"], "left_semi").groupBy("question_id").agg(F.min_by(
             F.struct("response", "error"), F.struct(F.col("error").isNotNull(), F.xxhash64("response"))).alias("r"))
         return written(parsed_answers(last.select("question_id", "r.response", "r.error")), label + "-parsed")
 
-    asked, known = question_vectors(full, examples, catalog)
-    near = written(similarity.knn_exact(asked, known, n), "near")
+    if isinstance(examples, StoredCorpus):
+        corpus = examples.rows
+        asked, known = written(examples.vectors(full, catalog), "asked"), corpus.select(F.col("example_id").alias("id"), "embedding")
+        examples = corpus
+    else:
+        corpus = None
+        asked, known = question_vectors(full, examples, catalog)
+    near = written(_others(lambda m: similarity.knn_exact(asked, known, m), n, own), "near")
     similar = prompts.fewshot_context(near, examples, n, questions=ids)
     first = answered(prompted(full, similar, prompts.DRAFT_TEMPLATE), "round1")
 
@@ -97,10 +162,11 @@ def generate_answers(questions: DataFrame, examples: DataFrame, catalog: DataFra
     draft = valid.select("question_id", F.coalesce(F.nullif("sql", F.lit("")), "raw").alias("sql"))
     draft = log.sql_skeletons(full.select("question_id", "db_id").join(draft, "question_id"), catalog)
     draft = written(draft.select("question_id", F.col("sql").alias("round_1_sql"), "skeleton"), "skeletons")
-    corpus = written(log.sql_skeletons(examples, catalog), "corpus")
-    hits = written(edit.edit_top_n(
-        draft.select(F.col("question_id").alias("query_id"), "skeleton"),
-        corpus.select(F.col("example_id").alias("id"), "skeleton"), n), "hits")
+    if corpus is None:
+        corpus = written(log.sql_skeletons(examples, catalog), "corpus")
+    drafts = draft.select(F.col("question_id").alias("query_id"), "skeleton")
+    shapes = corpus.select(F.col("example_id").alias("id"), "skeleton")
+    hits = written(_others(lambda m: edit.edit_top_n(drafts, shapes, m), n, own), "hits")
     structural = prompts.fewshot_context(hits, corpus, n, with_skeleton=True, questions=ids)
     second = answered(prompted(full.join(draft, "question_id"), structural, prompts.REFINE_TEMPLATE), "round2")
     def told(answers: DataFrame, i: int) -> DataFrame:

@@ -280,6 +280,57 @@ def test_text_vectors_are_unit_length(spark):
     assert out[1] == out[3] != out[2]
 
 
+def test_vectors_of_old_rows_do_not_change(spark, tmp_path):
+    old = spark.createDataFrame([(1, "how many [ENTITY] are there"), (2, "list all [ENTITY]"), (3, "list many")], "id int, t string")
+    masking.fit_vectors(old, "t", 64).save(str(tmp_path / "weights"))
+    from pyspark.ml import PipelineModel
+
+    weights = PipelineModel.load(str(tmp_path / "weights"))
+    more = old.unionByName(spark.createDataFrame([(4, "list list how"), (5, None)], "id int, t string"))
+    before = {r.id: r.embedding for r in masking.text_vectors(old, "t", 64).collect()}
+    after = {r.id: r.embedding for r in masking.text_vectors(more, "t", weights=weights).collect()}
+    assert set(after) == {1, 2, 3, 4} and all(after[i] == before[i] for i in before)
+
+
+def test_two_rounds_on_a_stored_corpus(spark, sample, catalog, tmp_path):
+    from asklens.operators import rounds
+
+    path, run = str(tmp_path / "corpus"), str(tmp_path / "run")
+    rounds.write_corpus(sample, catalog, path, 64)
+    stored = rounds.read_corpus(spark, path)
+
+    def model():
+        import re
+
+        def fn(texts):
+            # The SQL texts shown, as one answer.
+            return [json.dumps({"sql": "SELECT '" + "|".join(sorted(re.findall(r"(?m)^SQL: (.*)$", t))).replace("'", "") + "'", "reasoning": ""})
+                    for t in texts]
+
+        return fn
+
+    questions = sample.select(F.col("example_id").alias("question_id"), "db_id", "question", F.lit("").alias("evidence"))
+    own = questions.select("question_id", F.col("question_id").alias("example_id"))
+    out = {r.question_id: r for r in rounds.generate_answers(questions, stored, catalog, model, run_dir=run, own=own).collect()}
+    sqls = {r.example_id: r.sql.replace("'", "") for r in sample.collect()}
+    assert len(out) == 12
+    for key, r in out.items():
+        for text in (r.round_1_text, r.round_2_text):
+            shown = text[len("SELECT '"):-1].split("|")
+            assert len(shown) == 3 and sqls[key] not in shown and set(shown) <= set(sqls.values())
+    # The first round shows the nearest by the stored vectors.
+    asked = stored.vectors(questions, catalog)
+    vec = {r.query_id: r.embedding for r in asked.collect()}
+    kept = {r.example_id: r.embedding for r in stored.rows.collect()}
+    assert all(vec[i] == pytest.approx(kept[i]) for i in kept)
+    best = sorted(((sum((a - b) ** 2 for a, b in zip(vec[0], kept[i], strict=True)), i) for i in kept if i != 0))[:3]
+    assert out[0].round_1_text[len("SELECT '"):-1] == "|".join(sorted(sqls[i] for _, i in best))
+    # With its own example allowed, a question is shown it first; a changed prompt is asked again.
+    again = {r.question_id: r for r in rounds.generate_answers(questions, stored, catalog, model, run_dir=run).collect()}
+    assert all(sqls[k] in r.round_1_text for k, r in again.items())
+    assert spark.read.parquet(run + "/round1").count() == 24
+
+
 def test_linking_scores(spark):
     p = spark.createDataFrame([(1, "table", "A"), (1, "table", "A"), (1, "table", "B")], "question_id int, kind string, item string")
     t = spark.createDataFrame([(1, "table", "A"), (1, "column", "A.x")], "question_id int, kind string, item string")
