@@ -20,9 +20,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What the method adds.
-IBAN = "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}"
+# How many characters an account number of a country has.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN = "(?i:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + ")"
 SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
-_IBAN, _SSN = re.compile(IBAN), re.compile(SSN)
+_IBAN, _SSN = re.compile("(?=[A-Za-z]{2}[0-9]{2})" + IBAN, re.ASCII), re.compile(SSN)
 _BESIDE_IBAN, _BESIDE_SSN = re.compile("[A-Za-z0-9]"), re.compile("[0-9-]")
 _DIGIT = re.compile("[0-9]")
 SPAN = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()),
@@ -99,8 +105,7 @@ def find_spans(text: str | None, weights: Weights) -> list[tuple[str, int, int,
                 if 9 <= len(_DIGIT.findall(m[0])) <= 15:
                     found.append((3, *m.span()))
         for m in _IBAN.finditer(text):
-            code = m[0].replace(" ", "")
-            if _alone(text, m, _BESIDE_IBAN) and 15 <= len(code) <= 34 and mod97(code):
+            if _alone(text, m, _BESIDE_IBAN) and mod97(m[0].replace(" ", "")):
                 found.append((4, *m.span()))
         found += [(5, *m.span()) for m in _SSN.finditer(text) if _alone(text, m, _BESIDE_SSN)]
     found.sort(key=lambda f: (f[1], f[0], f[2]))
@@ -118,7 +123,7 @@ def personal_data(docs: DataFrame, weights: Weights = Weights(), text_col: str =
     """``docs`` with the array ``out`` of spans (kind, start, end, score) in each whole text.
 
     The four base kinds are always listed: their form and checksum decide, context moves the score alone. Account
-    numbers (modulo 97) and, where context supports them, social security numbers are added. Null and empty
+    numbers (as long as their country's are, in either case, modulo 97) and, where context supports them, social security numbers are added. Null and empty
     texts have no spans. A column named like ``out`` is replaced. No shuffle; linear in the text.
     """
     fields = docs.drop(out).schema.fields
@@ -166,6 +171,11 @@ def listed(spans: str | Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scores(spans: str) -> Column:
+    """The scores of spans in hundredths, comma-joined."""
+    return F.array_join(F.transform(F.col(spans), lambda s: F.round(100 * s["score"]).cast("int")), ",")
+
+
 def count_of(spans: str, kind: str) -> Column:
     """How many spans are of a kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

@@ -49,24 +49,18 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY, level: int = LEVEL)
 
 
 class Measure:
-    """Features of a text: normalised size difference, plain compressed share, log of the length."""
+    """The size of a text compressed by the bad dictionary less that by the good one, over the larger of the two."""
 
     def __init__(self, model: Model):
-        self.size, self.plain = model.piece, zstandard.ZstdCompressor(level=model.level)
-        self.by = []
+        self.size, self.by = model.piece, []
         for raw in (model.bad, model.good):
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=model.level)
             self.by.append(zstandard.ZstdCompressor(level=model.level, dict_data=d))
 
-    def __call__(self, text: bytes) -> tuple[float, float, float]:
-        bad, good, plain = 0, 0, 0
-        for piece in pieces(text, self.size):
-            bad += len(self.by[0].compress(piece))
-            good += len(self.by[1].compress(piece))
-            plain += len(self.plain.compress(piece))
-        n = max(1, len(text))
-        return (bad - good) / n, plain / n, float(np.log(n))
+    def __call__(self, text: bytes) -> float:
+        bad, good = (sum(len(c.compress(piece)) for piece in pieces(text, self.size)) for c in self.by)
+        return (bad - good) / max(1, bad, good)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_pieces: int = MOST_PIECES,
@@ -74,9 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     """Dictionaries and calibration from at most ``most_rows`` labelled documents outside the held-out fifth.
 
     Half of the sample (by crc32 of the id) gives the dictionaries, ``most_pieces`` pieces of smallest hash for
-    each label; the other half calibrates the score by a logistic model on the size difference, the plain
-    compressed share and the length. So the driver holds two bounded samples of pieces and three numbers per
-    row. Without both labels in both halves every score is the share of label 1 (0.5 without any label).
+    each label; the other half calibrates the score by a logistic model on the size difference alone.
+    So the driver holds two bounded samples of pieces and a number per row. Without both labels in both halves every score is the share of label 1 (0.5 without any label).
     """
     spark = docs.sparkSession
     rows = written(training_rows(docs, labels, label, most_rows, id_col, text_col), "labelled")
@@ -95,31 +88,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
                    .limit(most_pieces).collect()] for y in (1, 0)}
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    flat = Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))))
+    flat = Model(b"", b"", (0.0, float(np.log(share / (1 - share)))))
     if not samples[0] or not samples[1]:
         return flat
-    model = Model(dictionary(samples[1], size), dictionary(samples[0], size), (0.0, 0.0, 0.0, 0.0))
+    model = Model(dictionary(samples[1], size), dictionary(samples[0], size), (0.0, 0.0))
     sent = Shipped(spark, model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Measure(sent.value)
         for batch in batches:
             found = [of(x.encode()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))],
-                                             names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["label", "difference"])
 
-    found = tuned.select("label", "text").mapInArrow(measured, "label int, a double, b double, c double").collect()
+    found = tuned.select("label", "text").mapInArrow(measured, "label int, difference double").collect()
     sent.unpersist()
-    table = np.array(sorted((r["a"], r["b"], r["c"], r["label"]) for r in found), float).reshape(-1, 4)
-    if len(np.unique(table[:, 3])) < 2:
+    table = np.array(sorted((r["difference"], r["label"]) for r in found), float).reshape(-1, 2)
+    if len(np.unique(table[:, 1])) < 2:
         return flat
-    return Model(model.good, model.bad, tuple(float(w) for w in logistic(table[:, :3], table[:, 3])))
+    return Model(model.good, model.bad, tuple(float(w) for w in logistic(table[:, :1], table[:, 1])))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the column ``out`` (double, 0 to 1): how likely label 1 is, from the whole text alone.
 
-    Null and empty texts are scored as length 1 without content. A column of the same name is replaced; no shuffle.
+    Null and empty texts have difference 0; an empty table gives no rows, repeated rows the same score. A column of the same name is replaced; no shuffle.
     """
     sent = Shipped(docs.sparkSession, model)
     fields = docs.drop(out).schema.fields
@@ -129,8 +121,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         of = Measure(sent.value) if sent.value.good else None
         w = np.array(sent.value.weights)
         for batch in batches:
-            found = np.array([of((x.as_py() or "").encode()) if of else (0, 0, 0) for x in batch.column(place)], float).reshape(-1, 3)
-            made = 1 / (1 + np.exp(-np.clip(found @ w[:3] + w[3], -500, 500)))
+            found = np.array([of((x.as_py() or "").encode()) if of else 0 for x in batch.column(place)], float)
+            made = 1 / (1 + np.exp(-np.clip(found * w[0] + w[1], -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, out])
 
     return docs.drop(out).mapInArrow(rows, StructType([*fields, StructField(out, DoubleType())]))

@@ -216,6 +216,8 @@ def _personal_check() -> str:
         f"SELECT doc_id, t, {k} AS kind, unnest(range(1, len(m) + 1)) AS k, m, g FROM (SELECT doc_id, t, "
         f"regexp_extract_all(t, {_quoted(p)}) AS m, string_split_regex(t, {_quoted(p)}) AS g FROM d)" for k, p in enumerate(forms))
     near = lambda words: "(" + " OR ".join(f"contains(near, {_quoted(x)})" for x in words) + ")"
+    score = " ".join(f"WHEN {k} THEN {w.prior[k]} + {w.context} * {near(words)}::int - {w.against} * {near(w.unlikely)}::int"
+                     for k, words in enumerate(w.words))
     listed = "coalesce(string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, kind, b){}, '')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -223,10 +225,10 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   placed AS (SELECT doc_id, t, kind, m[k] AS s, cast(list_sum(list_transform(g[1:k], lambda x: length(x)))
       + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS bigint) AS a FROM raw),
   found AS (SELECT doc_id, kind, s, a, cast(a + length(s) AS bigint) AS b, regexp_replace(s, '[^0-9]', '', 'g') AS digits,
-      replace(s, ' ', '') AS code, CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END AS before, substr(t, a + length(s) + 1, 1) AS after,
+      upper(replace(s, ' ', '')) AS code, CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END AS before, substr(t, a + length(s) + 1, 1) AS after,
       lower(substr(t, greatest(a - {w.reach}, 0) + 1, a - greatest(a - {w.reach}, 0)) || ' ' || substr(t, a + length(s) + 1, {w.reach})) AS near
       FROM placed),
-  checked AS (SELECT *, list_sum(list_transform(range(0, length(digits)), lambda k: CASE
+  checked AS (SELECT *, CASE kind {score} END AS score, list_sum(list_transform(range(0, length(digits)), lambda k: CASE
         WHEN k % 2 = 0 THEN cast(substr(digits, length(digits) - k, 1) AS int)
         WHEN cast(substr(digits, length(digits) - k, 1) AS int) > 4 THEN 2 * cast(substr(digits, length(digits) - k, 1) AS int) - 9
         ELSE 2 * cast(substr(digits, length(digits) - k, 1) AS int) END)) % 10 = 0 AS luhn,
@@ -237,12 +239,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     OR (kind = 1 AND list_bool_and(list_transform(string_split(s, '.'), lambda p: length(ltrim(p, '0')) <= 3
         AND coalesce(try_cast(ltrim(p, '0') AS int), 0) <= 255)))
     OR (kind = 2 AND length(digits) BETWEEN 12 AND 19 AND luhn) OR (kind = 3 AND length(digits) BETWEEN 9 AND 15)
-    OR (kind = 4 AND NOT regexp_matches(before || after, '[A-Za-z0-9]') AND length(code) BETWEEN 15 AND 34 AND mod97
-        AND {w.prior[4]} + {w.context} * {near(w.words[4])}::int - {w.against} * {near(w.unlikely)}::int >= {w.least})
+    OR (kind = 4 AND NOT regexp_matches(before || after, '[A-Za-z0-9]') AND mod97 AND score >= {w.least})
     OR (kind = 5 AND NOT regexp_matches(before || after, '[0-9-]')
-        AND {w.prior[5]} + {w.context} * {near(w.words[5])}::int - {w.against} * {near(w.unlikely)}::int >= {w.least}))
+        AND score >= {w.least}))
 SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{n}" for k, n in enumerate(personal.BASE))},
-  sha256({listed.format(" FILTER (kind < 4)")}) AS base_sha256, {listed.format("")} AS spans
+  sha256({listed.format(" FILTER (kind < 4)")}) AS base_sha256, {listed.format("")} AS spans,
+  coalesce(string_agg(cast(round(100 * least(1, greatest(0, score))) AS int), ',' ORDER BY a, kind, b) FILTER (kind IS NOT NULL), '') AS scores
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
 """
 
@@ -253,7 +255,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = personal.personal_data(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", *(personal.count_of("pii", k).alias(f"n_{k}") for k in personal.BASE),
-        F.sha2(personal.listed("pii", personal.BASE), 256).alias("base_sha256"), personal.listed("pii").alias("spans"))
+        F.sha2(personal.listed("pii", personal.BASE), 256).alias("base_sha256"), personal.listed("pii").alias("spans"), personal.scores("pii").alias("scores"))
 
 
 def _line_check() -> str:

@@ -76,3 +76,24 @@ def test_grams_of_long_texts(monkeypatch):
     monkeypatch.setattr(toxicity, "_PIECE", 7)
     assert set(toxicity.grams(text).tolist()) == whole
     assert len(toxicity.grams(text)) == len(whole)
+
+
+def test_quality_score_is_the_calibrated_size_difference(spark):
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    slope, bias = model.weights
+    assert slope > 0
+
+    def size(raw: bytes, text: bytes) -> int:
+        tool = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw))
+        return sum(len(tool.compress(text[k:k + model.piece])) for k in range(0, len(text), model.piece))
+
+    for r in quality.score(docs, model).collect():
+        text = (r["text"] or "").encode()
+        bad, good = size(model.bad, text), size(model.good, text)
+        want = 1 / (1 + math.exp(-(slope * (bad - good) / max(1, bad, good) + bias)))
+        assert abs(r["score"] - want) < 1e-9

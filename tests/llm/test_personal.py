@@ -45,6 +45,14 @@ def test_query_against_brute_force(spark, documents):
 def test_added_kinds_and_context():
     spans = personal.find_spans("iban DE89 3704 0044 0532 0130 00, wrong GB82WEST12345698765433", W)
     assert [(k, a, b) for k, a, b, _ in spans if k == "iban"] == [("iban", 5, 32)]
+    # Words around an account number are no part of it, and its case does not matter.
+    for text, start, end in (
+            ("IBAN DE89 3704 0044 0532 0130 00 EUR 50", 5, 32), ("IBAN DE89 3704 0044 0532 0130 00 PLEASE", 5, 32),
+            ("DE89370400440532013000 BIC COBADEFF", 0, 22), ("konto de89370400440532013000.", 6, 28), ("NO9386011117947", 0, 15),
+            ("GB82 WEST 1234 5698 7654 32 DE89370400440532013000", 0, 27)):
+        found = [(a, b) for k, a, b, _ in personal.find_spans(text, W) if k == "iban"]
+        assert found[0] == (start, end) and len(found) == 1 + ("GB82" in text), text
+    assert personal.find_spans("DE893704004405320130001", W) == [] == personal.find_spans("QQ89370400440532013000", W)
     assert [k for k, *_ in personal.find_spans("ssn 078-05-1120", W)] == ["ssn"]
     assert personal.find_spans("code 078-05-1120", W) == []
     near, far = (personal.find_spans(t, W)[0][3] for t in ("host 10.0.0.1", "version 10.0.0.1"))
