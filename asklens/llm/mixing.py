@@ -213,6 +213,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return placed.mapInArrow(dealt, f"{kinds}, source_size long, target double, taken long, pieces {PIECES}")
 
 
+def words_by_shard(pieces: str) -> Column:
+    """What each output shard takes of a document, as shard:words in order of shards, comma-joined."""
+    shards = F.array_sort(F.array_distinct(F.transform(F.col(pieces), lambda p: p["shard"])))
+    words = lambda s: F.aggregate(
+        F.filter(F.col(pieces), lambda p: p["shard"] == s), F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"])
+    return F.array_join(F.transform(shards, lambda s: F.concat_ws(":", s, words(s))), ",")
+
+
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, key: int = 1, id_col: str = "doc_id", text_col: str = "text",
                     source_col: str = "source", size_col: str | None = "n_chars", **other) -> DataFrame:
     """The documents of the mix with their columns: a row for each document and epoch that the mix takes of.

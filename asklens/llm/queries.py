@@ -187,9 +187,10 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_source_mixing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
+    """Every document with the words that the mix takes of it, in all and for each output shard."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken",
+                                   mixing.words_by_shard("pieces").alias("shard_words"))
 
 
 @query("op6_training_order")

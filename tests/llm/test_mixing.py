@@ -59,6 +59,31 @@ def test_shards_hold_the_trees_counts(documents):
     assert len(sizes) == 6 and max(sizes) - min(sizes) <= 2
 
 
+def test_every_shard_draws_its_own_quota_of_each_source(documents):
+    block, shards = 50, 6
+    rows = mixing.mix(documents, block=block, shards=shards).withColumn("shard_words", mixing.words_by_shard("pieces")).collect()
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    first = {n: next(r for r in rows if r["source"] == n) for n in names}
+    quotas = [mixing.quota(k, first[n]["source_size"], first[n]["target"], 1, block) for k, n in enumerate(names)]
+    tree = mixing.splitting_tree(np.array([q.places for q in quotas]), shards, 1)
+    words = {}
+    for k, n in enumerate(names):
+        own = [(r, p) for r in rows if r["source"] == n for p in r["pieces"]]
+        # A place is one rank of one shard; each shard has as many of a source as the tree says, no two share any.
+        places = {(p["shard"], p["rank"]) for _, p in own}
+        assert [sum(s == shard for s, _ in places) for shard in range(shards)] == tree[:, k].tolist()
+        assert len({rank for _, rank in places}) == len(places) == quotas[k].places
+        for _, p in own:
+            words[p["shard"]] = words.get(p["shard"], 0) + p["stop"] - p["start"]
+    listed = {}
+    for r in rows:
+        parts = [tuple(map(int, x.split(":"))) for x in r["shard_words"].split(",") if x]
+        assert sum(w for _, w in parts) == r["taken"] and [s for s, _ in parts] == sorted({p["shard"] for p in r["pieces"]})
+        for s, w in parts:
+            listed[s] = listed.get(s, 0) + w
+    assert listed == words
+
+
 def test_quotas_meet_their_words():
     rng = np.random.default_rng(0)
     for _ in range(400):
