@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asklens.schemas import PAIR
+from asklens.sources.json_ranges import json_entries
 
 _OBJECT = "map<string,string>"
 
 
-def _objects(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+def _objects(spark: SparkSession, path: str, lines: bool, split_bytes: int | None = None) -> DataFrame:
     """Each JSON object as a case-sensitive map ``o``, with ``file`` and ``pos`` in the file.
 
-    A JSON array is one document and is parsed by one task per file, so a large corpus
-    should come as many files or, with ``lines=True``, as JSON lines, which Spark splits.
+    A JSON array is one document and is parsed by one task per file, unless ``split_bytes`` has it read by ranges of that size.
+    JSON lines (``lines=True``) are split by Spark.
     """
+    if split_bytes and not lines:
+        entries = json_entries(spark, path, split_bytes)
+        return entries.select(F.from_json("value", _OBJECT).alias("o"), "file", "pos")
     if lines:
         text = spark.read.text(path).where(F.trim("value") != "")
         return text.select(
@@ -46,13 +50,14 @@ def _field(*names: str) -> Column:
 
 
 def read_examples(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False,
-                  strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                  strict: bool = False, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Example corpus from JSON; ``Question``/``SQL`` are accepted for ``question``/``sql``.
 
     Returns (good, bad): rows lacking either required key go to ``bad`` with the keys they have.
     ``strict=True`` raises when there is any. ``limit`` keeps the first rows by path and place (not for ``lines``).
+    ``split_bytes`` reads large arrays by ranges of that size, from local paths or addresses that Arrow opens.
     """
-    objects = _first(_objects(spark, path, lines), limit, lines)
+    objects = _first(_objects(spark, path, lines, split_bytes), limit, lines)
     question, sql = _field("Question", "question"), _field("SQL", "sql")
     fields = objects.select(
         _number(question, sql, F.col("o")["db_id"]), question.alias("question"), sql.alias("sql"),
@@ -81,14 +86,25 @@ def read_spider(spark: SparkSession, path: str, limit: int | None = None, lines:
         F.coalesce(F.col("o")["db_id"], empty).alias("db_id"))
 
 
-def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json", split_bytes: int | None = None) -> DataFrame:
     """Examples from a directory of JSON files of mixed shapes.
 
     A file is a list of examples, or an object holding such a list under ``data`` or
     ``examples``, or one bare example. Files describing a schema are skipped.
+    With ``split_bytes``, lists are read by ranges of that size; objects are read whole.
     """
+    if split_bytes:
+        entries = json_entries(spark, path, split_bytes, pattern)
+        files = entries.where("NOT listed").select(F.regexp_replace("value", r"^\s+", "").alias("v"))
+        return _example_rows(_file_entries(files).unionByName(
+            entries.where("listed").select(F.from_json("value", _OBJECT).alias("o"))))
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
         F.regexp_replace("value", r"^\s+", "").alias("v"))
+    return _example_rows(_file_entries(files))
+
+
+def _file_entries(files: DataFrame) -> DataFrame:
+    """The examples ``o`` in whole documents ``v``."""
     whole = F.from_json("v", _OBJECT)
     listed = F.col("v").startswith("[")
     # "examples" counts only without "data"; an empty list leaves the object itself.
@@ -99,7 +115,10 @@ def read_example_dir(spark: SparkSession, path: str, pattern: str = "*.json") ->
         .when(is_list, F.from_json(wrapped, f"array<{_OBJECT}>"))
         .when(whole["table_names_original"].isNotNull(), F.array().cast(f"array<{_OBJECT}>"))
         .otherwise(F.array(whole)))
-    rows = files.select(F.explode(entries).alias("o"))
+    return files.select(F.explode(entries).alias("o"))
+
+
+def _example_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         _number(F.col("o")["question"], F.coalesce(F.col("o")["query"], F.col("o")["SQL"]), F.col("o")["db_id"]),
         F.coalesce(F.col("o")["question"], F.lit("")).alias("question"),
