@@ -48,6 +48,17 @@ def s1_lines(spark, sf):
     return good
 
 
+@query("s1_read_examples_ranges", """
+SELECT example_id, question, sql, db_id FROM v_log_examples
+""")
+def s1_ranges(spark, sf):
+    """Documents of many entries, read by byte ranges smaller than they are."""
+    path = fresh_path(spark, "example-ranges")
+    documents(view(spark, sf, "v_log_examples"), F.struct("example_id", "question", "sql", "db_id"), path)
+    good, _ = examples.read_examples(spark, path, split_bytes=1 << 16)
+    return good
+
+
 @query("s2_read_spider", """
 SELECT example_id, question, CASE WHEN db_id LIKE '%3' THEN '' ELSE sql END AS sql, db_id FROM v_examples
 """)
