@@ -429,8 +429,13 @@ def test_intermediates_have_a_place_on_any_session(spark):
         class conf:  # noqa: N801
             @staticmethod
             def get(key, default=None):
-                return {"spark.sql.warehouse.dir": "file:/shared/warehouse"}.get(key, default)
+                return {"spark.sql.warehouse.dir": "file:/shared/warehouse", "spark.master": master}.get(key, default)
 
+    master = "local[2]"
     assert session.shared_dir(Plain) == "file:/shared/warehouse/_asklens"
+    # On several machines the warehouse may be a local disk, so a folder has to be named.
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(Plain)
     kept = session.written(spark.range(3), "kept")
     assert kept.count() == 3
