@@ -2,7 +2,7 @@
 
 Every SQL text is cut into tokens; texts that differ only in literals share a shape. Shapes are
 made distinct first, with a map-side combine, and each token of a shape gets a role from its
-neighbours and from the list it stands in; a ``catalog`` may be passed but is not needed for that. The log itself
+neighbours and from the list it stands in; lineage may ask a catalog for the owner of a column. The log itself
 only meets the written table of shapes again, which is broadcast when it is small.
 """
 
@@ -215,7 +215,7 @@ def _skeleton() -> Column:
     return F.regexp_replace(F.array_join(F.transform("_t", spaced), ""), r"[\s;]+$", "")
 
 
-def sql_skeletons(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def sql_skeletons(log: DataFrame) -> DataFrame:
     """Add ``skeleton`` to a log (db_id, sql, ...): tables, columns and literals as placeholders.
 
     Aliases, qualifiers, function names and keywords stay. A text that is no statement or has
@@ -226,7 +226,7 @@ def sql_skeletons(log: DataFrame, catalog: DataFrame | None = None) -> DataFrame
     return _onto(shaped, found).withColumn("skeleton", F.coalesce("skeleton", "sql")).drop("_shape")
 
 
-def template_counts(log: DataFrame, catalog: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+def template_counts(log: DataFrame, weight: str | None = None) -> DataFrame:
     """(db_id, skeleton, n, sample_sql): how often each template occurs in each database.
 
     Texts that only differ in literals are merged by a first aggregation, which combines on the
@@ -326,11 +326,30 @@ def token_frequencies(skeletons: DataFrame, mode: str = "compat") -> DataFrame:
     return per_template.groupBy("token").agg(F.sum("_n").alias("n"), F.sum("_w").alias("n_skeletons"))
 
 
+def _held_columns(refs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Add ``_held``, (table, its columns in lower case) for the tables of a shape, and ``_known``: all of them are in the catalog.
+
+    Names meet in any letter case. A table that the text itself defines by WITH is unknown, whatever the catalog has of its name.
+    The lists are as long as the text's own tables and their columns.
+    """
+    stored = catalog.where(F.col("table_name").isNotNull()).groupBy(
+        F.col("db_id").alias("_d"), F.lower("table_name").alias("_n")).agg(F.collect_set(F.lower("col_name")).alias("_cols"))
+    named = refs.withColumn("_table", F.explode_outer(F.array_distinct(F.transform("_tables", lambda e: e["name"]))))
+    same = (F.col("db_id").eqNullSafe(F.col("_d")) & (F.lower("_table") == F.col("_n"))
+            & ~F.array_contains("_ctes", F.lower("_table")))
+    return named.join(stored, same, "left").groupBy("db_id", "_shape").agg(
+        F.first("_tables").alias("_tables"), F.first("_columns").alias("_columns"),
+        F.bool_and(F.col("_cols").isNotNull()).alias("_known"),
+        F.collect_list(F.struct("_table", "_cols")).alias("_held"))
+
+
 def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "qid") -> tuple[DataFrame, DataFrame]:
     """Tables and columns every query uses: ((db_id, key, kind, item), quarantine).
 
     Aliases are resolved to their tables and ``*`` is skipped. A column without a qualifier belongs
-    to the only table of the query, else it is listed as ``?.column``. Letter case is kept and
+    to the only table of the query, else it is listed as ``?.column``. With a ``catalog`` it belongs to the one table of
+    the query that has such a column there, provided that the catalog has all tables of the query; otherwise it
+    stays ``?.column``. Letter case is kept and
     names of common table expressions count as tables. Texts that are no statement go to
     the quarantine with a reason.
     """
@@ -347,16 +366,26 @@ def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "
         owner = F.when(F.get("_t", i - 1)["tok"] == ".", _bare(F.get("_t", i - 2)["tok"]))
         return F.when(x["role"] == "column", F.struct(owner.alias("owner"), _bare(x["tok"]).alias("name")))
 
+    ctes = F.transform(F.filter("_t", lambda x: x["role"] == "cte"), lambda x: F.lower(_bare(x["tok"])))
     refs = roles.select(
         "db_id", "_shape",
         F.filter(F.transform("_t", entry), lambda e: e.isNotNull()).alias("_tables"),
-        F.filter(F.transform("_t", column), lambda e: e.isNotNull()).alias("_columns"))
+        F.filter(F.transform("_t", column), lambda e: e.isNotNull()).alias("_columns"),
+        *([] if catalog is None else [ctes.alias("_ctes")]))
+    if catalog is not None:
+        refs = _held_columns(refs, catalog)
     names = F.array_distinct(F.transform("_tables", lambda e: e["alias"]))
 
+    def settled(c: Column) -> Column:
+        if catalog is None:
+            return F.lit("?")
+        held = F.filter("_held", lambda t: F.array_contains(t["_cols"], F.lower(c["name"])))
+        return F.when(F.col("_known") & (F.size(held) == 1), F.get(held, F.lit(0))["_table"]).otherwise("?")
+
     def owner_of(c: Column) -> Column:
         match = F.filter("_tables", lambda e: e["alias"] == c["owner"])
         return F.when(c["owner"].isNull(), F.when(
-            F.size(names) == 1, F.element_at("_tables", F.lit(-1))["name"]).otherwise("?")).when(
+            F.size(names) == 1, F.element_at("_tables", F.lit(-1))["name"]).otherwise(settled(c))).when(
             F.size(match) > 0, F.element_at(match, F.lit(-1))["name"]).otherwise(c["owner"])
 
     items = F.concat(

@@ -77,7 +77,7 @@ def write_corpus(examples: DataFrame, catalog: DataFrame, path: str, dim: int =
     weights = masking.fit_vectors(masked, "question_skeleton", dim)
     weights.save(f"{path}/weights")
     vectors = masking.text_vectors(masked, "question_skeleton", weights=weights).drop("question_skeleton")
-    log.sql_skeletons(vectors, catalog).select(
+    log.sql_skeletons(vectors).select(
         "example_id", "question", "sql", "db_id", "skeleton", "embedding").write.parquet(f"{path}/rows")
 
 
@@ -160,10 +160,10 @@ def generate_answers(questions: DataFrame, examples: DataFrame | StoredCorpus, c
 
     valid = responses.validate_answers(first.withColumnRenamed("sql", "raw"), "raw")
     draft = valid.select("question_id", F.coalesce(F.nullif("sql", F.lit("")), "raw").alias("sql"))
-    draft = log.sql_skeletons(full.select("question_id", "db_id").join(draft, "question_id"), catalog)
+    draft = log.sql_skeletons(full.select("question_id", "db_id").join(draft, "question_id"))
     draft = written(draft.select("question_id", F.col("sql").alias("round_1_sql"), "skeleton"), "skeletons")
     if corpus is None:
-        corpus = written(log.sql_skeletons(examples, catalog), "corpus")
+        corpus = written(log.sql_skeletons(examples), "corpus")
     drafts = draft.select(F.col("question_id").alias("query_id"), "skeleton")
     shapes = corpus.select(F.col("example_id").alias("id"), "skeleton")
     hits = written(_others(lambda m: edit.edit_top_n(drafts, shapes, m), n, own), "hits")

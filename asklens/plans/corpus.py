@@ -136,7 +136,7 @@ def s5(spark, sf):
     """Stored columns with the number of logged queries that touch their table."""
     stored = cat.catalog_from_tables(spark, {t: f"{sf}/{t}.parquet" for t in _stored_names()}, "stored")
     log = view(spark, sf, "v_query_log")
-    lineage, _ = query_lineage(log.select("db_id", "qid", "sql"), stored)
+    lineage, _ = query_lineage(log.select("db_id", "qid", "sql"))
     used = lineage.where("kind = 'table'").join(log.select("db_id", "qid", "n"), ["db_id", "qid"]).groupBy(
         F.col("item").alias("table_name")).agg(F.sum("n").alias("queries"))
     return stored.join(used, "table_name", "left").select(
@@ -220,7 +220,7 @@ x AS (SELECT e.*, CASE WHEN question = '' OR sql = '' THEN 'missing question or
 
 def _usable(spark, sf):
     ex = view(spark, sf, "v_log_examples")
-    lineage, _ = query_lineage(ex.select("db_id", "example_id", "sql"), stored_catalog(spark, sf), key="example_id")
+    lineage, _ = query_lineage(ex.select("db_id", "example_id", "sql"), key="example_id")
     return prepare.usable_examples(ex, view(spark, sf, "v_catalog"), lineage)
 
 
@@ -419,10 +419,9 @@ SELECT example_id, question, sql, db_id, skeleton, cast(length(skeleton) % 8 AS
 """)
 def u4(spark, sf):
     ex = view(spark, sf, "v_log_examples")
-    stored = stored_catalog(spark, sf)
 
     def derive(rows: DataFrame) -> DataFrame:
-        return sql_skeletons(rows, stored).drop("parsable").withColumn(
+        return sql_skeletons(rows).drop("parsable").withColumn(
             "cell", F.pmod(F.length("skeleton"), F.lit(8)).cast("int"))
 
     path = fresh_path(spark, "corpus")

@@ -29,7 +29,7 @@ k AS (SELECT db_id, qid, string_agg(CASE WHEN i = 1 OR tok IN (',', ')', '.') OR
 
 @query("f6_sql_skeletons", f"WITH {_SKELETONS.strip()} SELECT db_id, qid, skeleton, true AS parsable FROM k")
 def f6(spark, sf):
-    rows = log.sql_skeletons(view(spark, sf, "v_query_log"), stored_catalog(spark, sf))
+    rows = log.sql_skeletons(view(spark, sf, "v_query_log"))
     return rows.select("db_id", "qid", "skeleton", "parsable")
 
 
@@ -38,7 +38,7 @@ SELECT example_id, sql NOT LIKE 'no idea%' AS parsable, CASE WHEN sql LIKE 'no i
        'SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE] AND [COLUMN] = [VALUE]' END AS skeleton FROM v_log_examples
 """)
 def f6_examples(spark, sf):
-    rows = log.sql_skeletons(view(spark, sf, "v_log_examples"), stored_catalog(spark, sf))
+    rows = log.sql_skeletons(view(spark, sf, "v_log_examples"))
     return rows.select("example_id", "skeleton", "parsable")
 
 
@@ -70,7 +70,7 @@ SELECT k.db_id, k.skeleton, cast(sum(l.n) AS bigint) AS n, min(l.sql) AS sample_
 FROM k JOIN v_query_log l ON l.db_id = k.db_id AND l.qid = k.qid GROUP BY k.db_id, k.skeleton
 """)
 def a14(spark, sf):
-    return log.template_counts(view(spark, sf, "v_query_log"), stored_catalog(spark, sf), weight="n")
+    return log.template_counts(view(spark, sf, "v_query_log"), weight="n")
 
 
 _LINEAGE = _TOKENS + r""",
@@ -88,6 +88,19 @@ lineage AS (SELECT db_id, qid, 'table' AS kind, name AS item FROM tables UNION A
 
 @query("j4_query_lineage", f"WITH {_LINEAGE.strip()} SELECT * FROM lineage")
 def j4(spark, sf):
+    return log.query_lineage(view(spark, sf, "v_query_log"))[0]
+
+
+# Stored columns have unique names but for those that several tables share; each belongs to the tables the statement names.
+@query("j4_catalog_lineage", f"""
+WITH {_LINEAGE.strip()},
+held AS (SELECT DISTINCT l.db_id, l.qid, l.item AS table_name, s.col_name FROM lineage l
+         JOIN v_stored s ON s.db_id = l.db_id AND s.table_name = l.item WHERE l.kind = 'table'),
+owners AS (SELECT db_id, qid, col_name, count(*) AS n, max(table_name) AS name FROM held GROUP BY db_id, qid, col_name)
+SELECT DISTINCT l.db_id, l.qid, l.kind, CASE WHEN starts_with(l.item, '?.') AND o.n = 1 THEN o.name || '.' || o.col_name ELSE l.item END AS item
+FROM lineage l LEFT JOIN owners o ON o.db_id = l.db_id AND o.qid = l.qid AND l.kind = 'column' AND o.col_name = substring(l.item, 3)
+""")
+def j4_catalog(spark, sf):
     return log.query_lineage(view(spark, sf, "v_query_log"), stored_catalog(spark, sf))[0]
 
 
@@ -95,7 +108,7 @@ def j4(spark, sf):
 SELECT db_id, example_id, sql, 'not a complete SQL statement' AS reason FROM v_log_examples WHERE sql LIKE 'no idea%'
 """)
 def j4_quarantine(spark, sf):
-    return log.query_lineage(view(spark, sf, "v_log_examples"), stored_catalog(spark, sf), key="example_id")[1]
+    return log.query_lineage(view(spark, sf, "v_log_examples"), key="example_id")[1]
 
 
 _QUESTION = "'What does statement ' || qid || ' of \"' || db_id || '\" return, asked for in more than eighty characters?'"
@@ -137,7 +150,7 @@ def _pairs(spark, sf, quoted: int | None):
         F.lit("What does statement "), "qid", F.lit(' of "'), "db_id",
         F.lit('" return, asked for in more than eighty characters?')).alias("question"))
     stored = stored_catalog(spark, sf)
-    lineage, _ = log.query_lineage(asked, stored, key="example_id")
+    lineage, _ = log.query_lineage(asked, key="example_id")
     pairs = prompts.training_pairs(asked, lineage.drop("db_id"), schema.schema_text(stored), quoted=quoted)
     return pairs.select("example_id", "db_id", F.md5("input").alias("input_md5"), "output")
 

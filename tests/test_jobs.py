@@ -218,7 +218,7 @@ def test_append_asks_the_stored_keys_alone(spark, tmp_path):
 
 
 def test_training_pairs(spark, sample, catalog):
-    lineage, _ = query_lineage(sample, catalog, key="example_id")
+    lineage, _ = query_lineage(sample, key="example_id")
     pairs = {r.example_id: r for r in prompts.training_pairs(
         sample, lineage.drop("db_id"), schema.schema_text(catalog)).collect()}
     # The weather database has no schema.

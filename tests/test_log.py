@@ -5,7 +5,7 @@ from asklens.operators import log
 
 def skeletons(spark, catalog, *sqls, db="harbour"):
     rows = spark.createDataFrame([(db, i, s) for i, s in enumerate(sqls)], "db_id string, qid int, sql string")
-    return [r.skeleton for r in log.sql_skeletons(rows, catalog).orderBy("qid").collect()]
+    return [r.skeleton for r in log.sql_skeletons(rows).orderBy("qid").collect()]
 
 
 def lineage(spark, catalog, sql, db="harbour"):
@@ -32,20 +32,20 @@ def test_skeletons(spark, catalog):
 def test_unparsable_text_stays(spark, catalog):
     odd = ["not sql at all", "SELECT (a FROM t", "SELECT 'open FROM t", "", None]
     rows = spark.createDataFrame([("x", i, s) for i, s in enumerate(odd)], "db_id string, qid int, sql string")
-    out = log.sql_skeletons(rows, catalog).orderBy("qid").collect()
+    out = log.sql_skeletons(rows).orderBy("qid").collect()
     assert [r.skeleton for r in out] == odd
     assert not any(r.parsable for r in out)
 
 
 def test_no_literal_text_survives(spark, catalog, sample):
-    texts = [r.skeleton for r in log.sql_skeletons(sample, catalog).collect()]
+    texts = [r.skeleton for r in log.sql_skeletons(sample).collect()]
     assert len(texts) == 12
     assert not any(w in t for t in texts for w in ("1990", "12", "Petrel", "45", "80", "90"))
 
 
 def test_null_database_keeps_rows(spark, catalog):
     rows = spark.createDataFrame([(None, 1, "SELECT a FROM b")], "db_id string, qid int, sql string")
-    assert log.sql_skeletons(rows, catalog).collect()[0].skeleton == "SELECT [COLUMN] FROM [TABLE]"
+    assert log.sql_skeletons(rows).collect()[0].skeleton == "SELECT [COLUMN] FROM [TABLE]"
 
 
 def test_lineage(spark, catalog):
@@ -68,6 +68,37 @@ def test_lineage_of_subqueries_and_names(spark, catalog):
     assert lineage(spark, catalog, "no statement (") == (set(), set(), 1)
 
 
+def test_the_catalog_settles_columns(spark, catalog):
+    def columns(sql, db="harbour"):
+        return lineage(spark, catalog, sql, db)[1]
+
+    join = "FROM ferry AS F JOIN Landing L ON F.id = L.ferry_id"
+    assert lineage(spark, None, f"SELECT Built, berth_id {join}")[1] >= {"?.Built", "?.berth_id"}
+    # Names meet in any case and keep that of the text; ferry_id is held by two tables of the catalog, but one of the query.
+    assert columns(f"SELECT Built, berth_id, ferry_id {join}") == {
+        "ferry.Built", "Landing.berth_id", "Landing.ferry_id", "ferry.id", "Landing.ferry_id"}
+    assert columns("SELECT ferry_id, fare FROM Sailing, Landing") == {"?.ferry_id", "Sailing.fare"}
+    assert columns(f"SELECT unheard {join}") >= {"?.unheard"}
+    # A table joined with itself is one table.
+    assert columns("SELECT fare FROM Sailing a JOIN Sailing b ON a.no = b.no") == {"Sailing.fare", "Sailing.no"}
+    # Tables unknown to the catalog, of another database, or defined by the text may hold the column as well.
+    assert columns("SELECT fare FROM Sailing, Weather") == {"?.fare"}
+    assert columns("SELECT fare FROM Sailing, Landing", db="orchard") == {"?.fare"}
+    assert columns("WITH Landing AS (SELECT fare AS built FROM Sailing) SELECT built FROM Ferry, Landing") == {"?.fare", "?.built"}
+
+
+def test_a_catalog_with_repeats_and_nulls(spark):
+    rows = spark.createDataFrame([("d", "SELECT x, y FROM a, b"), (None, "SELECT x, y FROM a, b")], "db_id string, sql string").withColumn(
+        "qid", F.lit(1))
+    held = spark.createDataFrame(
+        [("d", "a", "x"), ("d", "A", "X"), ("d", "b", None), ("d", None, "y"), (None, "a", "x"), (None, "b", "y"), (None, "b", "y")],
+        "db_id string, table_name string, col_name string")
+    found = log.query_lineage(rows, held)[0].where("kind = 'column'").collect()
+    assert sorted((str(r.db_id), r.item) for r in found) == [("None", "a.x"), ("None", "b.y"), ("d", "?.y"), ("d", "a.x")]
+    nothing = log.query_lineage(rows, held.limit(0))[0].where("kind = 'column'").collect()
+    assert {r.item for r in nothing} == {"?.x", "?.y"} and len(nothing) == 4
+
+
 def test_tokens_compat_and_strict(spark):
     one = spark.range(1)
 
@@ -84,7 +115,7 @@ def test_template_counts_merge_literals(spark, catalog):
     rows = spark.createDataFrame(
         [("clinic", f"SELECT ward FROM Visit WHERE cost > {i}", 2) for i in range(50)]
         + [("clinic", "free text one", 1), ("clinic", "free text two", 1)], "db_id string, sql string, n int")
-    out = {r.skeleton: (r.n, r.sample_sql) for r in log.template_counts(rows, catalog, weight="n").collect()}
+    out = {r.skeleton: (r.n, r.sample_sql) for r in log.template_counts(rows, weight="n").collect()}
     assert out["SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] > [VALUE]"] == (100, "SELECT ward FROM Visit WHERE cost > 0")
     assert out["free text one"][0] == out["free text two"][0] == 1
 
