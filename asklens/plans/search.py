@@ -228,12 +228,37 @@ def f9(spark, sf):
                   (F.count_distinct("digest") > 0.9 * F.count("*")).alias("differ"))
 
 
+def _similar(spark, sf, examples):
+    """(hits, masked): the three nearest questions of every question, by vectors of their templates."""
+    masked = written(masking.question_skeletons(examples, view(spark, sf, "v_catalog")), "masked")
+    vectors = written(masking.text_vectors(masked, "question_skeleton").select("example_id", "embedding"), "vectors")
+    return similarity.knn_exact(
+        vectors.withColumnRenamed("example_id", "query_id"), vectors.withColumnRenamed("example_id", "id"), 3), masked
+
+
+# The nearest question has the asking one's own template, as that is at distance 0; distances do not fall along the ranks, and
+# ids rise where they are equal.
+@query("w2_similar_questions_verdict", """
+SELECT count(*) AS questions, cast(count(*) * least(3, count(*)) AS bigint) AS hits, true AS ranked, true AS own_first, true AS ordered FROM v_examples
+""")
+def similar_verdict(spark, sf):
+    hits, masked = _similar(spark, sf, view(spark, sf, "v_examples"))
+    texts = masked.select(F.col("example_id").alias("id"), F.col("question_skeleton").alias("text"))
+    own = texts.select(F.col("id").alias("query_id"), F.col("text").alias("own"))
+    near = F.array_sort(F.collect_list(F.struct("rank", "distance", "id", "text")))
+    each = hits.join(texts, "id").join(own, "query_id").groupBy("query_id", "own").agg(near.alias("near"))
+    steps = F.zip_with(F.slice("near", 1, F.size("near") - 1), F.slice("near", 2, F.size("near")), lambda a, b: (
+        (a["distance"] < b["distance"]) | ((a["distance"] == b["distance"]) & (a["id"] < b["id"]))))
+    return each.agg(
+        F.count("*").alias("questions"), F.sum(F.size("near")).alias("hits"),
+        F.every(F.transform("near", lambda h: h["rank"]) == F.transform("near", lambda h, i: i + 1)).alias("ranked"),
+        F.every((F.get("near", F.lit(0))["distance"] < 1e-9) & (F.get("near", F.lit(0))["text"] == F.col("own"))).alias("own_first"),
+        F.every(F.forall(steps, lambda s: s)).alias("ordered"))
+
+
 @query("w2_similar_questions")
 def similar_questions(spark, sf):
     """Question templates to vectors to neighbours to few-shot blocks, all questions at once."""
     examples = view(spark, sf, "v_examples")
-    masked = masking.question_skeletons(examples, view(spark, sf, "v_catalog"))
-    vectors = written(masking.text_vectors(masked, "question_skeleton").select("example_id", "embedding"), "vectors")
-    hits = similarity.knn_exact(
-        vectors.withColumnRenamed("example_id", "query_id"), vectors.withColumnRenamed("example_id", "id"), 3)
+    hits, _ = _similar(spark, sf, examples)
     return prompts.fewshot_context(hits, examples.select("example_id", "question", "sql"))
