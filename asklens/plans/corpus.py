@@ -13,7 +13,7 @@ from asklens.session import fresh_path, written
 from asklens.sources import catalog as cat
 from asklens.sources import corpus_store, examples, records
 from asklens.streaming import running
-from asklens.views import stored_catalog, table, view
+from asklens.views import table, view
 
 # --- readers and writers --------------------------------------------------------------------
 
