@@ -12,18 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from asklens.operators.graph import PACK_BYTES, query_packs
-from asklens.operators.similarity import _cheapest, _with_score
+from asklens.operators.similarity import ASKED_BYTES, _cheapest, _scanned, _with_score
 from asklens.session import written
 
 ENTRIES = 16              # of a part's codebook
 SAMPLE = 65_536           # vectors, of smallest id hash, that codebooks are trained on
 ROUNDS = 12               # of training
 HELD = 4_000_000          # (query, row) pairs that a task keeps at a time
-_TOGETHER = 256           # queries that look at a batch side by side
-_BATCH = 4096             # rows that they look at together
+_BATCH = 4096             # rows that are encoded together
 
 
 def residuals(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +57,7 @@ def train_books(corpus: DataFrame, centres: np.ndarray, parts: int, entries: int
 
 
 def encode_vectors(corpus: DataFrame, centres: np.ndarray, books: np.ndarray) -> DataFrame:
-    """``corpus`` (id, embedding) with ``cell`` and ``code`` (a byte per part); rows without id or vector are left out."""
+    """``corpus`` (id, embedding) with ``cell`` and ``code`` (a byte per part), by cell within each task; rows without id or vector are left out."""
     if books.shape[1] > 256:
         raise ValueError("a byte tells 256 entries apart")
     rows = corpus.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
@@ -76,23 +73,7 @@ def encode_vectors(corpus: DataFrame, centres: np.ndarray, books: np.ndarray) ->
                     names=["id", "embedding", "cell", "code"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(coded, f"{kinds}, cell int, code binary")
-
-
-class _Nearest:
-    """The rows of least cost for each query, as batches pass."""
-
-    def __init__(self, queries: int, most: int):
-        self.cost, self.ids = np.full((queries, most), np.inf), np.full((queries, most), None, object)
-
-    def add(self, of: np.ndarray, cost: np.ndarray, ids: np.ndarray) -> None:
-        """``cost`` (queries ``of``, rows ``ids``); of equal costs those met first stay."""
-        most = self.cost.shape[1]
-        best = np.argsort(cost, axis=1, kind="stable")[:, :most]
-        every = np.concatenate([self.cost[of], np.take_along_axis(cost, best, axis=1)], axis=1)
-        names = np.concatenate([self.ids[of], ids[best]], axis=1)
-        order = np.argsort(every, axis=1, kind="stable")[:, :most]
-        self.cost[of], self.ids[of] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+    return rows.mapInArrow(coded, f"{kinds}, cell int, code binary").sortWithinPartitions("cell")
 
 
 def knn_codes(queries: DataFrame, index: DataFrame, n: int, centres: np.ndarray, books: np.ndarray, probes: int,
@@ -101,58 +82,19 @@ def knn_codes(queries: DataFrame, index: DataFrame, n: int, centres: np.ndarray,
 
     ``index`` is (id, embedding, cell, code) from :func:`encode_vectors`, usually stored. Same columns as
     :func:`knn_exact`. Packs of queries of a checked size go to the index, which is not shuffled: the first pass reads cells and codes and keeps the best
-    ``compared`` rows per task and query, the second reads the vectors of the rows that are left.
+    ``compared`` rows per task and query, the second reads the vectors of the rows that are left. A code stands for one vector, its cell's centre
+    and the entries it names, so the scan is a product of matrices; of equally near codes those of the smaller ids are kept.
     """
-    spark, kind = index.sparkSession, queries.schema["query_id"].dataType
-    probes = min(probes, len(centres))
-    schema = StructType([StructField("query_id", kind), StructField("id", index.schema["id"].dataType), StructField("cost", DoubleType())])
-    found = []
-    for rows in query_packs(queries, min(PACK_BYTES, max(1, HELD // compared) * centres.shape[1] * 4)):
-        asked = np.array([r["embedding"] for r in rows], float)
-        apart = (asked ** 2).sum(1)[:, None] + (centres ** 2).sum(1)[None, :] - 2.0 * (asked @ centres.T)
-        near = np.argsort(apart, axis=1, kind="stable")[:, :probes]
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], asked, near, centres, books))
-
-        def scanned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            keys, asked, near, centres, books = sent.value
-            parts, entries, width = books.shape
-            best = _Nearest(len(asked), compared)
-            for batch in batches:
-                cells = batch.column(1).to_numpy()
-                for cell in np.unique(cells):
-                    of = np.flatnonzero((near == cell).any(axis=1))
-                    rows = np.flatnonzero(cells == cell)
-                    for a in range(0, len(rows), _BATCH):
-                        piece = batch.take(pa.array(rows[a:a + _BATCH]))
-                        ids = np.array(piece.column(0).to_pylist() + [None], object)[:-1]
-                        codes = np.array([np.frombuffer(c.as_py(), np.uint8) for c in piece.column(2)])
-                        for b in range(0, len(of), _TOGETHER):
-                            own = of[b:b + _TOGETHER]
-                            left = (asked[own] - centres[cell]).reshape(len(own), parts, 1, width)
-                            table = ((left - books[None]) ** 2).sum(3)
-                            cost = np.zeros((len(own), len(ids)))
-                            for p in range(parts):
-                                cost += table[:, p][:, codes[:, p]]
-                            best.add(own, cost, ids)
-            q, k = np.nonzero(np.isfinite(best.cost))
-            for a in range(0, len(q), 65_536):
-                i, j = q[a:a + 65_536], k[a:a + 65_536]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[x] for x in i], to_arrow_type(kind)), pa.array(best.ids[i, j].tolist(), to_arrow_type(schema["id"].dataType)),
-                     pa.array(best.cost[i, j])], names=["query_id", "id", "cost"])
-
-        chosen = _cheapest(index.select("id", "cell", "code").mapInArrow(scanned, schema), compared).select("query_id", "id")
-        given = queries.select("query_id", F.col("embedding").alias("x"))
-        near_rows = written(chosen, "near-codes").join(index.select("id", F.col("embedding").alias("y")), "id").join(given, "query_id")
-        square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v)
-        found.append(near_rows.select("query_id", "id", square.alias("cost")).distinct())
-    if not found:
-        return _with_score(_cheapest(spark.createDataFrame([], schema), n))
-    if len(found) > 1:
-        found = [written(_cheapest(f, n).drop("rank"), "by-codes") for f in found]
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return _with_score(_cheapest(whole, n))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("payload"))
+
+    def decode(codes: pa.Array, cell: np.ndarray) -> np.ndarray:
+        numbers = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), len(books))
+        return centres[cell] + books[np.arange(len(books)), numbers].reshape(len(codes), -1)
+
+    rows = index.select("id", F.col("code").alias("payload"), "cell")
+    bytes_held = max(1, HELD // compared) * (8 * (centres.shape[1] + 3 * compared) + len(centres))
+    chosen = _scanned(asked, rows, compared, False, min(ASKED_BYTES, bytes_held), centres, probes, decode).select("query_id", "id")
+    given = queries.select("query_id", F.col("embedding").alias("x"))
+    near_rows = written(chosen, "near-codes").join(index.select("id", F.col("embedding").alias("y")), "id").join(given, "query_id")
+    square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q.cast("double")) ** 2), F.lit(0.0), lambda s, v: s + v)
+    return _with_score(_cheapest(near_rows.select("query_id", "id", square.alias("cost")).distinct(), n))

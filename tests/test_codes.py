@@ -62,3 +62,11 @@ def test_the_scan_reads_codes_only(spark, points, tmp_path):
     codes.encode_vectors(_frame(spark, points), centres, books).write.parquet(path)
     plan = spark.read.parquet(path).select("id", "cell", "code")._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan
+
+
+def test_of_equal_codes_the_smaller_ids_are_compared(spark):
+    centres, books = np.zeros((3, 2)) + [[0], [9], [18]], np.zeros((1, 1, 2))
+    x = [[0.1, 0.001 * k] for k in range(60)] + [[9.0, 9.0]] * 5
+    corpus = _frame(spark, x).orderBy("id", ascending=False).coalesce(1)
+    found = codes.knn_codes(_frame(spark, x[:1], "query_id"), codes.encode_vectors(corpus, centres, books), 3, centres, books, 1, 4)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [0, 1, 2]
