@@ -8,6 +8,8 @@ only meets the written table of shapes again, which is broadcast when it is smal
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,56 +75,64 @@ def _bare(t: Column) -> Column:
     return F.when(t.rlike(r'^(?:"|`|\[)'), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
-# What the quick way of finding literals cannot tell apart from names and comments.
-_NEEDS_TOKENS = r"[\"`\[]|--|/\*"
-_LITERAL = r"'[^']*+(?:''[^']*+)*+'|(?<![\p{L}\p{N}_$.])(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
+# What the quick way of finding literals cannot tell apart from names and comments, and blanks that have to be evened out.
+_NEEDS_TOKENS = ('"', "`", "[", "--", "/*")
+_UNEVEN = ("  ", "\t", "\n", "\x0b", "\f", "\r")
+# A digit is met before what stands in front of it is looked at, as most characters are none.
+_LITERAL = (r"'[^']*+(?:''[^']*+)*+'"
+            r"|(?:\d(?<![\p{L}\p{N}_$.]\d)\d*+(?:\.\d*+)?|\.(?<![\p{L}\p{N}_$.]\.)\d++)(?:[eE][+-]?\d++)?")
 _STATEMENT = r"(?is)^[\s(]*+(?:SELECT|WITH|INSERT|UPDATE|DELETE|VALUES)\b[^']*+$"
 
 
 def _with_shapes(log: DataFrame) -> DataFrame:
-    """Add ``parsable`` and ``_shape``: the text with literals replaced and blanks evened out.
+    """Add ``_shape``: the text with literals replaced and blanks evened out.
 
-    A text that is no statement, or has unbalanced quotes or parentheses, is its own shape.
-    Rows only see cheap string functions; texts with quoted names or comments are cut into tokens.
+    Rows only see cheap string functions; texts with quoted names or comments are cut into tokens. Whether a text is a
+    statement is asked of its shape, once per distinct one.
     """
+    def holds(marks: tuple[str, ...]) -> Column:
+        return reduce(Column.__or__, [F.contains(sql, F.lit(m)) for m in marks])
+
     sql = F.coalesce("sql", F.lit(""))
-    quick = F.regexp_replace(F.regexp_replace(sql, _LITERAL, VALUE.replace("[", r"\[")), r"\s+", " ")
-    shape = F.when(sql.rlike(_NEEDS_TOKENS), F.array_join(sql_tokens(sql), " ")).otherwise(quick)
-    shaped = log.withColumn("_s", shape)
+    quick = F.regexp_replace(sql, _LITERAL, VALUE.replace("[", r"\["))
+    shape = F.when(holds(_NEEDS_TOKENS), F.array_join(sql_tokens(sql), " ")).when(
+        holds(_UNEVEN), F.regexp_replace(quick, r"\s+", " ")).otherwise(quick)
+    # A non-null column: joining on it then adds no null filter, which would repeat the expression on the scan.
+    return log.withColumn("_shape", F.coalesce(shape, F.lit("")))
+
 
-    # Few references to the shape, since a filter on this flag repeats the expression.
+def _is_statement(s: str) -> Column:
+    """Whether a shape begins as a statement and has balanced quotes and parentheses."""
     # Parentheses are balanced if their running depth ends at 0 and never falls below. It is walked only
     # for texts with several of them.
-    opened = F.length("_s") - F.length(F.translate("_s", "(", ""))
-    closed = F.length("_s") - F.length(F.translate("_s", ")", ""))
+    opened = F.length(s) - F.length(F.translate(s, "(", ""))
+    closed = F.length(s) - F.length(F.translate(s, ")", ""))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
-    depth = F.aggregate(F.split(F.regexp_replace("_s", "[^()]+", ""), ""), zero, lambda a, t: let(
+    depth = F.aggregate(F.split(F.regexp_replace(s, "[^()]+", ""), ""), zero, lambda a, t: let(
         a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0),
         lambda d: F.struct(d.alias("depth"), F.least(a["least"], d).alias("least"))))
-    nested = F.when(opened != closed, False).when(opened <= 1, F.instr("_s", "(") <= F.instr("_s", ")")).otherwise(
-        depth["least"] == 0)
-    parsable = F.col("_s").rlike(_STATEMENT) & nested
-    # The last coalesce makes the shape a non-null column: joining on it then adds no null filter,
-    # which would repeat the expression on the scan.
-    own = F.when(F.col("parsable"), F.col("_s")).otherwise(F.col("sql"))
-    return shaped.withColumn("parsable", parsable).withColumn("_shape", F.coalesce(own, F.lit(""))).drop("_s")
+    nested = F.when(opened != closed, False).when(opened <= 1, F.instr(s, "(") <= F.instr(s, ")")).otherwise(depth["least"] == 0)
+    return F.col(s).rlike(_STATEMENT) & nested
 
 
-def _distinct_shapes(shaped: DataFrame) -> DataFrame:
-    """The distinct (db_id, _shape) of statements: a log of any size has few of them."""
-    # The flag is an aggregate here: a filter on it stays above the aggregation.
-    return shaped.groupBy("db_id", "_shape").agg(F.bool_or("parsable").alias("parsable")).where("parsable").drop("parsable")
+def _distinct_shapes(shaped: DataFrame, *by: str) -> DataFrame:
+    """The distinct ``_shape`` of statements: a log of any size and of any number of databases has few of them. With ``by``, per group."""
+    # The condition asks for the count as well: a filter on the shape alone would run on every row below the aggregation.
+    every = shaped.groupBy(*by, "_shape").agg(F.count(F.lit(1)).alias("_c"))
+    return every.where(F.when(F.col("_c") > 0, _is_statement("_shape"))).drop("_c")
 
 
 def _onto(shaped: DataFrame, found: DataFrame) -> DataFrame:
-    """Join what was worked out per shape back to the log.
+    """Join what was worked out per shape, or per database and shape, back to the log, with ``parsable``: the row has such a shape.
 
     The shapes are written first: the planner then knows their size, and sends a small table to the
     log instead of shuffling the log on its hottest shapes.
     """
-    right = written(found, "shapes").withColumnRenamed("db_id", "_db").withColumnRenamed("_shape", "_s")
-    same = F.col("db_id").eqNullSafe(F.col("_db")) & (F.col("_shape") == F.col("_s")) & F.col("parsable")
-    return shaped.join(right, same, "left").drop("_db", "_s")
+    right = written(found, "shapes").withColumnRenamed("_shape", "_s").withColumn("parsable", F.lit(True))
+    same = F.col("_shape") == F.col("_s")
+    if "db_id" in found.columns:
+        right, same = right.withColumnRenamed("db_id", "_db"), F.col("db_id").eqNullSafe(F.col("_db")) & same
+    return shaped.join(right, same, "left").drop("_db", "_s").withColumn("parsable", F.coalesce("parsable", F.lit(False)))
 
 
 def _classified(shapes: DataFrame) -> DataFrame:
@@ -222,25 +232,18 @@ def sql_skeletons(log: DataFrame) -> DataFrame:
     unbalanced quotes or parentheses keeps its own text and has ``parsable`` false.
     """
     shaped = _with_shapes(log)
-    found = _classified(_distinct_shapes(shaped)).select("db_id", "_shape", _skeleton().alias("skeleton"))
+    found = _classified(_distinct_shapes(shaped)).select("_shape", _skeleton().alias("skeleton"))
     return _onto(shaped, found).withColumn("skeleton", F.coalesce("skeleton", "sql")).drop("_shape")
 
 
 def template_counts(log: DataFrame, weight: str | None = None) -> DataFrame:
     """(db_id, skeleton, n, sample_sql): how often each template occurs in each database.
 
-    Texts that only differ in literals are merged by a first aggregation, which combines on the
-    map side; roles are worked out once per shape. ``weight`` names a column with the number of
-    occurrences of a row.
+    The aggregation combines on the map side; roles are worked out once per shape, whatever databases it occurs in.
+    ``weight`` names a column with the number of occurrences of a row.
     """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    shapes = _with_shapes(log).groupBy("db_id", "_shape").agg(
-        n.alias("_n"), F.min("sql").alias("sql"), F.bool_or("parsable").alias("parsable"))
-    statements = _classified(shapes.where("parsable")).withColumn("skeleton", _skeleton())
-    kept = ["db_id", "skeleton", "_n", "sql"]
-    others = shapes.where(~F.col("parsable")).withColumn("skeleton", F.col("sql"))
-    return statements.select(kept).unionByName(others.select(kept)).groupBy("db_id", "skeleton").agg(
-        F.sum("_n").alias("n"), F.min("sql").alias("sample_sql"))
+    return sql_skeletons(log).groupBy("db_id", "skeleton").agg(n.alias("n"), F.min("sql").alias("sample_sql"))
 
 
 def template_sketches(skeletons: DataFrame, by: list[str], most: int = 10_000) -> DataFrame:
@@ -354,7 +357,9 @@ def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "
     the quarantine with a reason.
     """
     shaped = _with_shapes(log)
-    roles = _classified(_distinct_shapes(shaped))
+    # Only the catalog makes the databases differ.
+    pairs = None if catalog is None else written(_distinct_shapes(shaped, "db_id"), "database-shapes")
+    roles = _classified(_distinct_shapes(shaped) if pairs is None else pairs.select("_shape").distinct())
     # A table and the alias that follows it; without one the table goes by its own name.
     def entry(x: Column, i: Column) -> Column:
         after, second = F.get("_t", i + 1), F.get("_t", i + 2)
@@ -368,12 +373,12 @@ def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "
 
     ctes = F.transform(F.filter("_t", lambda x: x["role"] == "cte"), lambda x: F.lower(_bare(x["tok"])))
     refs = roles.select(
-        "db_id", "_shape",
+        "_shape",
         F.filter(F.transform("_t", entry), lambda e: e.isNotNull()).alias("_tables"),
         F.filter(F.transform("_t", column), lambda e: e.isNotNull()).alias("_columns"),
         *([] if catalog is None else [ctes.alias("_ctes")]))
     if catalog is not None:
-        refs = _held_columns(refs, catalog)
+        refs = _held_columns(pairs.join(written(refs, "roles"), "_shape"), catalog)
     names = F.array_distinct(F.transform("_tables", lambda e: e["alias"]))
 
     def settled(c: Column) -> Column:
@@ -393,11 +398,12 @@ def query_lineage(log: DataFrame, catalog: DataFrame | None = None, key: str = "
             F.lit("table").alias("kind"), t.alias("item"))),
         F.transform(F.array_distinct(F.transform("_columns", lambda c: F.concat(
             owner_of(c), F.lit("."), c["name"]))), lambda t: F.struct(F.lit("column").alias("kind"), t.alias("item"))))
-    per_shape = refs.select("db_id", "_shape", items.alias("_items"))
+    per_shape = refs.select(*([] if catalog is None else ["db_id"]), "_shape", items.alias("_items"))
+    judged = _onto(shaped.select("db_id", key, "sql", "_shape"), per_shape)
     # explode() would add a size filter that repeats the whole expression below the projections.
-    rows = _onto(shaped.select("db_id", key, "_shape", "parsable"), per_shape).select(
+    rows = judged.select(
         "db_id", key, F.explode_outer("_items").alias("i")).where(F.col("i").isNotNull()).select(
         "db_id", key, "i.kind", "i.item")
-    bad = shaped.where(~F.col("parsable")).select(
+    bad = judged.where(~F.col("parsable")).select(
         "db_id", key, "sql", F.lit("not a complete SQL statement").alias("reason"))
     return rows, bad

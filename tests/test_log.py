@@ -135,3 +135,16 @@ def test_sketches_of_templates_merge_and_keep_their_bound(spark):
     # NULL templates do not count; no rows give no templates.
     none = log.template_sketches(spark.createDataFrame([(1, None)], "day int, skeleton string"), ["day"])
     assert none.count() == 0 and log.heavy_templates(none, 3).count() == 0
+
+
+def test_a_shape_is_worked_out_once_for_all_databases(spark):
+    rows = [(f"db{k}", k, f"SELECT a FROM t WHERE b = {k}.5e3  AND c < .{k}") for k in range(1, 9)] + [("db1", 90, "why 5?"), ("db1", 91, "why 6?"), ("db1", 92, None)]
+    given = spark.createDataFrame(rows, "db_id string, qid int, sql string")
+    shapes = log._distinct_shapes(log._with_shapes(given)).collect()
+    assert [r["_shape"] for r in shapes] == ["SELECT a FROM t WHERE b = [VALUE] AND c < [VALUE]"]
+    counts = {(r["db_id"], r["skeleton"], r["n"]) for r in log.template_counts(given).collect()}
+    assert {c[1:] for c in counts if c[0] == "db1"} == {
+        ("SELECT [COLUMN] FROM [TABLE] WHERE [COLUMN] = [VALUE] AND [COLUMN] < [VALUE]", 1), ("why 5?", 1), ("why 6?", 1), (None, 1)}
+    lineage, bad = log.query_lineage(given)
+    assert lineage.where("kind = 'table'").count() == 8
+    assert sorted(r["qid"] for r in bad.collect()) == [90, 91, 92]
