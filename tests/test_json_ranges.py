@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from asklens.sources import examples as src
+from asklens.sources import json_ranges
 from asklens.sources.json_ranges import json_entries
 
 
@@ -58,3 +59,35 @@ def test_folders_of_mixed_files_by_ranges(spark, tmp_path):
     whole = src.read_example_dir(spark, str(tmp_path))
     split = src.read_example_dir(spark, str(tmp_path), split_bytes=16)
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 5
+
+
+def test_marks_by_arrays_as_by_steps():
+    """Any bytes, in any state: what arrays find is what a walk mark by mark finds."""
+    rng = random.Random(7)
+    bits = [b"a", b"\\", b'"', b",", b"[", b"]", b"{", b"}", b"\0", b"\\\\", b'\\"', b"\n", b'"x":"y",']
+    fast = 0
+    for _ in range(20_000):
+        data = b"".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        fast += all(json_ranges.ends(data))
+        for state, end in enumerate(json_ranges.ends(data)):
+            depth = rng.randint(0, 2)
+            want = json_ranges._walk(data, state, depth)
+            assert json_ranges.scan(data, state, depth) == want, (data, state, depth)
+            assert end is None or (end[0], depth + end[1]) == want[:2], (data, state)
+    assert fast > 1000
+
+
+def test_documents_are_bounded_files(spark, tmp_path, monkeypatch):
+    """A file is a document of many rows, however many rows there are; none is lost."""
+    from asklens.plans import staging
+
+    rows = spark.range(0, 20_000, 1, 4).select("id", F.lit('a "b" \\').alias("t"))
+    staging.documents(rows, F.struct("id", "t"), str(tmp_path / "one"), '{"data": %s}')
+    files = sorted((tmp_path / "one").rglob("part-*.txt"))
+    assert len(files) == 4 and sum(len(json.loads(f.read_text())["data"]) for f in files) == 20_000
+    monkeypatch.setattr(staging, "DOCUMENT_CHARS", 1000)
+    staging.documents(rows, F.struct("id", "t"), str(tmp_path / "many"))
+    files = sorted((tmp_path / "many").rglob("part-*.txt"))
+    lists = [json.loads(f.read_text()) for f in files]
+    assert len(files) > 100 and max(len(f.read_text()) for f in files) < 1200
+    assert sorted(e["id"] for one in lists for e in one) == list(range(20_000))
