@@ -23,18 +23,19 @@ def _file_stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def read_catalog(spark: SparkSession, path: str, combined: bool = False, pattern: str = "*.json") -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, combined: bool = False, pattern: str = "*.json", lines: bool = False) -> DataFrame:
     """Catalog rows from Spider schema JSON.
 
     ``path`` is one combined file holding a list (``combined=True``) or a folder with one object
     per file. In a folder, files that hold lists (example files) are skipped and a missing
-    db_id is the file's stem. Wildcard columns (table index -1) and columns of unknown tables are
+    db_id is the file's stem. With ``lines`` a file holds an object per line, so that many databases need few files, which
+    Spark splits. Wildcard columns (table index -1) and columns of unknown tables are
     dropped; a table without columns keeps one row with a NULL column.
     """
     if combined:
         schemas = spark.read.schema(SPIDER_SCHEMA_FILE).json(path, multiLine=True)
     else:
-        text = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select("value", _file_stem().alias("stem"))
+        text = spark.read.text(path, wholetext=not lines, pathGlobFilter=pattern).select("value", _file_stem().alias("stem"))
         objects = text.where(~F.regexp_replace("value", r"^\s+", "").startswith("["))
         schemas = objects.select(F.from_json("value", SPIDER_SCHEMA_FILE).alias("s"), "stem").select(
             F.coalesce("s.db_id", "stem").alias("db_id"), "s.table_names_original", "s.column_names_original",
@@ -174,14 +175,20 @@ def read_descriptions(spark: SparkSession, path: str, pattern: str = "*.csv",
     columns of one table and are small.
     """
     named = F.col(folder_key).cast("string") if folder_key else _file_stem()
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
-        F.regexp_extract_all("value", F.lit(_CSV_RECORD), F.lit(0)).alias("ls"), named.alias("table_name"))
+    return parse_descriptions(spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
+        named.alias("table_name"), "value"))
+
+
+def parse_descriptions(files: DataFrame) -> DataFrame:
+    """As :func:`read_descriptions`, of a table (table_name, value) of whole files; many small ones are better kept in one."""
+    files = files.select(F.regexp_extract_all("value", F.lit(_CSV_RECORD), F.lit(0)).alias("ls"), "table_name")
     # Headers differ per file, so cells are addressed by their place in the file's own header.
     header = F.transform(_csv_cells(F.col("ls")[0]), lambda h: F.regexp_replace(h, "^﻿", ""))
-    lines = files.select(
-        "table_name", header.alias("h"),
-        F.posexplode(F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0)))).alias("pos", "l"))
-    rows = lines.withColumn("c", _csv_cells(F.col("l")))
+    # The header is made before the lines are unfolded; else each line would carry the whole file along.
+    parts = files.select("table_name", header.alias("h"), F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0))).alias("rest"))
+    lines = parts.select("table_name", "h", F.posexplode("rest").alias("pos", "l"))
+    # Unfolded, so that each use of a cell does not cut its line again.
+    rows = lines.select("table_name", "h", "pos", F.explode_outer(F.array(_csv_cells(F.col("l")))).alias("c"))
 
     def cell(field: str) -> Column:
         place = F.lit(0)

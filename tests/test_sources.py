@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -155,3 +156,16 @@ def test_pairs_skip_blank_lines(spark, tmp_path):
     put(tmp_path, "p.jsonl", '{"input": "a", "output": "b", "db_id": "d"}\n\n{"input": "é\\n", "output": "c", "db_id": ""}\n')
     assert [(r.input, r.output) for r in examples.read_pairs(spark, str(tmp_path / "p.jsonl")).collect()] == [
         ("a", "b"), ("é\n", "c")]
+
+
+def test_many_databases_need_few_files(spark, tmp_path, monkeypatch):
+    """The staged schemas and descriptions of s4 and s6 are far fewer files than databases."""
+    from asklens import plans, session
+
+    plans.load_all()
+    monkeypatch.setattr(session, "_MADE", [])
+    for name in ("s4_read_catalog", "s6_read_descriptions"):
+        session._MADE.clear()
+        rows = plans.QUERIES[name](spark, "/root/testdata/sf0.1")
+        files = [f for p in session._MADE for f in Path(p.removeprefix("file:")).rglob("part-*")]
+        assert 0 < len(files) <= 100 and rows.select(rows.columns[0]).distinct().count() == 1000
